@@ -51,7 +51,7 @@ VIEWS: dict[str, str] = {
                o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT) AS intime,
                o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 + o_orderkey % 97 AS INT) AS outtime,
                CAST(o_orderkey % 97 AS DOUBLE) / 10 AS los
-        FROM {orders} WHERE o_orderkey % 8 <> 7""",
+        FROM {orders} WHERE o_orderstatus <> 'P'""",
     "labevents": """
         SELECT o_custkey AS subject_id,
                CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE l_orderkey END AS hadm_id,
@@ -71,10 +71,16 @@ VIEWS: dict[str, str] = {
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "d_procedures": """
         SELECT CAST(s_suppkey AS STRING) AS icd9_code, s_name AS short_title FROM {supplier}""",
+    "stay_admissions": """
+        SELECT event_id AS hadm_id, user_id AS subject_id, ts AS admittime,
+               ts + INTERVAL '1' HOUR * CAST(event_id % 90 AS INT) AS dischtime,
+               CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS hospital_expire_flag
+        FROM {events} WHERE event_type = 'signup'""",
     "stays": """
-        SELECT event_id AS icustay_id, user_id AS subject_id, ts AS intime,
+        SELECT event_id * 10 AS icustay_id, event_id AS hadm_id, user_id AS subject_id, ts AS intime,
                CASE WHEN event_id % 41 = 0 THEN NULL
-                    ELSE ts + INTERVAL '1' HOUR * CAST(event_id % 72 AS INT) END AS outtime
+                    ELSE ts + INTERVAL '1' HOUR * CAST(event_id % 72 AS INT) END AS outtime,
+               CAST(event_id % 72 AS DOUBLE) / 24 AS los
         FROM {events} WHERE event_type = 'signup'""",
     "measures": """
         SELECT event_id AS row_id, user_id AS subject_id, ts AS charttime,
@@ -119,7 +125,7 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "category_members": """
         SELECT p_type AS category, min(p_partkey) AS pos, p_name AS disease
-        FROM {part} WHERE p_size % 5 < 2 GROUP BY p_type, p_name""",
+        FROM {part} WHERE p_name NOT LIKE '% ring' GROUP BY p_type, p_name""",
     "turns": """
         SELECT conv_id * 1000 + turn AS turn_id, conv_id, turn, role, text FROM {conversations}""",
 }

@@ -67,8 +67,17 @@ def completed_years(at: Column | str, born: Column | str) -> Column:
 
 
 def hours_between(later: Column | str, earlier: Column | str) -> Column:
-    micros = F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
-    return micros / F.lit(3.6e9)
+    """Hours as a double, from whole microseconds and independent of the session time zone."""
+    gap = _col(later) - _col(earlier)
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    micros = minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+    return micros.cast("double") / F.lit(3.6e9)
+
+
+def hour_number(at: Column | str) -> Column:
+    """Hours since 1970 on the wall clock; never decreases with time."""
+    return F.datediff(_col(at), F.lit("1970-01-01").cast("date")) * 24 + F.hour(_col(at))
 
 
 def add_hours(at: Column | str, hours: int) -> Column:
@@ -190,6 +199,11 @@ def creatinine_band(peak: Column | str) -> Column:
 # ---- text and arrays --------------------------------------------------------
 
 
+def strip(text: Column | str) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+
+
 def first_sentence(text: Column | str) -> Column:
     return F.substring_index(_col(text), ".", 1)
 
@@ -197,11 +211,22 @@ def first_sentence(text: Column | str) -> Column:
 def strip_prefix(text: Column, prefix: str) -> Column:
     """Drop a leading phrase, case-insensitively, and trim what follows it."""
     hit = F.lower(text).startswith(prefix.lower())
-    return F.when(hit, F.trim(F.substring(text, len(prefix) + 1, 1 << 30))).otherwise(text)
+    return F.when(hit, strip(F.substring(text, len(prefix) + 1, 1 << 30))).otherwise(text)
 
 
 def non_empty(*columns: str) -> Column:
     """Wide columns as an array, trimmed, without missing or blank entries."""
     return F.filter(
-        F.array(*[F.trim(F.col(c)) for c in columns]), lambda x: x.isNotNull() & (x != "")
+        F.array(*[strip(c) for c in columns]), lambda x: x.isNotNull() & (x != "")
     )
+
+
+# ---- repeatable order -------------------------------------------------------
+
+
+def mixed(key: Column | str, seed: int = 42) -> Column:
+    """Number in [0, 1000003) that looks unrelated to a numeric key and never changes.
+
+    The key breaks ties, so an order by (mixed, key) does not depend on partitioning.
+    """
+    return F.pmod(F.pmod(_col(key), F.lit(1000003)) * 7919 + seed, F.lit(1000003))

@@ -42,14 +42,20 @@ def _window(keys: list[str]):
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: list[str], by: list[str] | None = None
+    df: DataFrame,
+    order: str,
+    sums: list[str],
+    by: list[str] | None = None,
+    tie: str | None = None,
+    points: list[float] | None = None,
 ) -> DataFrame:
-    """Add ``<sum>_before`` (strictly smaller rows) and ``<sum>_all`` for each summed column.
+    """Add ``<sum>_before`` (rows that come earlier) and ``<sum>_all`` for each summed column.
 
-    Expects one row per (group, order value); aggregate ties first.
+    Expects one row per (group, order value, tie value); aggregate other ties first.
     """
     by = by or []
-    points = split_points(df, order)
+    in_order = [order] + ([tie] if tie else [])
+    points = split_points(df, order) if points is None else points
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_in") for s in sums])
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +65,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{s}_in").over(across), F.lit(0)).alias(f"_{s}_off") for s in sums],
         *[F.sum(f"_{s}_in").over(_window(by)).alias(f"{s}_all") for s in sums],
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(
+    inside = Window.partitionBy(*by, "_slice").orderBy(*in_order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     joined = _null_safe_join(cut, offsets, [*by, "_slice"])
@@ -132,19 +138,48 @@ def exact_percentiles(
 
 
 def smallest_share(
-    df: DataFrame, order: str, share: float, by: list[str] | None = None, flag: str = "in_share"
+    df: DataFrame,
+    order: str,
+    share: float,
+    by: list[str] | None = None,
+    tie: str | None = None,
+    flag: str = "in_share",
 ) -> DataFrame:
-    """Flag the first ``floor(share * n)`` rows of each group in order of a unique column.
+    """Flag the first ``floor(share * n)`` rows of each group in (order, tie) order.
 
     Ranks come from ordered slices, so neither a class nor the whole table is sorted in one task.
     """
-    by = by or []
-    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by)
+    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, tie)
     return ranked.withColumn(
         flag, F.col("_one_before") < F.floor(F.col("_one_all") * F.lit(share) + F.lit(1e-9))
     ).drop("_one", "_one_before", "_one_all")
 
 
+def next_row(
+    df: DataFrame,
+    order: str,
+    columns: list[str],
+    prefix: str = "next_",
+    points: list[float] | None = None,
+) -> DataFrame:
+    """Values of the row that follows in order over the whole table; NULL on the last row.
+
+    The last row of a slice takes the first row of the next slice that has rows.
+    """
+    points = split_points(df, order) if points is None else points
+    cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
+    inside = Window.partitionBy("_slice").orderBy(order)
+    firsts = cut.groupBy("_slice").agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    follows = firsts.select(
+        "_slice", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_slice")).alias("_next_first")
+    )
+    here = cut.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
+    joined = here.join(follows, "_slice").withColumn("_next", F.coalesce("_next", "_next_first"))
+    return joined.select(
+        *df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in columns]
+    )
+
+
 def next_in_time(
     df: DataFrame,
     keys: list[str],
