@@ -126,6 +126,24 @@ VIEWS: dict[str, str] = {
     "category_members": """
         SELECT p_type AS category, min(p_partkey) AS pos, p_name AS disease
         FROM {part} WHERE p_name NOT LIKE '% ring' GROUP BY p_type, p_name""",
+    "answers": """
+        SELECT case_id, disease,
+               CASE case_id % 5 WHEN 0 THEN concat('The disease is ', disease, '. Because of the signs.')
+                    WHEN 1 THEN concat('disease: ', upper(disease)) WHEN 2 THEN 'ERROR' WHEN 3 THEN disease
+                    ELSE concat('The patient has Disease: ', disease, '.') END AS direct,
+               CASE WHEN case_id % 4 = 0 THEN 'No idea' WHEN case_id % 4 = 1 THEN concat('So the diagnosis is ', disease)
+                    ELSE concat('Fever. The most likely disease is: ', disease, '. The DIAGNOSIS IS: ', disease, '!') END AS chain,
+               CASE WHEN case_id % 3 = 0 THEN 'small ring' ELSE concat(disease, ' ') END AS few_shot,
+               CASE case_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN concat('POTENTIAL DISEASES:', chr(10), '1. ', disease)
+                    WHEN 2 THEN NULL
+                    ELSE concat('POTENTIAL DISEASES:', chr(10), '1. red widget (old)', chr(10), '2.  ', disease, chr(10),
+                                'x 3. no', chr(10), '10. small ring') END AS listed,
+               CASE WHEN case_id % 7 = 0 THEN 'no order' ELSE concat('RANKING:', chr(10), '1. ', disease, chr(10), '2. red widget') END AS ranking,
+               concat('DISEASE: ', disease, chr(10), 'REASONING: x', chr(10), 'CONFIDENCE: ', CAST(40 + case_id % 60 AS STRING), '%',
+                      chr(10), 'DISEASE: small ring', chr(10), 'confidence 70%') AS confidence,
+               CASE WHEN case_id % 4 = 0 THEN 'unclear' ELSE concat('Severity: ', CAST(case_id % 11 AS STRING), '/10') END AS severity,
+               CASE case_id % 4 WHEN 0 THEN 'Heart' WHEN 1 THEN 'ECONOMY' WHEN 2 THEN 'PROMO' ELSE 'Other' END AS category
+        FROM {cases}""",
     "turns": """
         SELECT conv_id * 1000 + turn AS turn_id, conv_id, turn, role, text FROM {conversations}""",
 }
@@ -138,26 +156,27 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            text = VIEWS[name]
-            used = {t: self.base(t) for t in re.findall(r"{(\w+)}", text) if t != "ntz"}
-            return self.spark.sql(text.replace("{ntz}", "TIMESTAMP_NTZ"), **used)
         if name in BASE:
-            return self.base(name)
-        raise AttributeError(name)
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in VIEWS:
+            raise AttributeError(name)
+        used = {t: getattr(self, t) for t in _inputs(name)}
+        return self.spark.sql(VIEWS[name].replace("{ntz}", "TIMESTAMP_NTZ"), **used)
+
+
+def _inputs(view: str) -> list[str]:
+    return [t for t in re.findall(r"{(\w+)}", VIEWS[view]) if t != "ntz"]
 
 
 def with_views(body: str) -> str:
-    """Prefix a DuckDB statement with the views its text names."""
-    named = [v for v in VIEWS if re.search(rf"\b{v}\b", body)]
+    """Prefix a DuckDB statement with the views its text names, and the views those name."""
+    named = {v for v in VIEWS if re.search(rf"\b{v}\b", body)}
+    named |= {t for v in named for t in _inputs(v) if t in VIEWS}
     if not named:
         return body
     ctes = []
-    for v in named:
+    for v in (v for v in VIEWS if v in named):
         text = VIEWS[v].replace("{ntz}", "TIMESTAMP")
         ctes.append(f"{v} AS ({re.sub(r'{(\w+)}', r'\1', text)})")
     body = body.strip()

@@ -1 +1,266 @@
-"""."""
+"""Notes and vectors TX-1 to TX-17."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardlens.catalog import query
+from wardlens.plans import features as f
+from wardlens.plans import models as m
+from wardlens.plans import notes as n
+
+COPIES = """
+    SELECT n.*, copies FROM noteevents n JOIN (
+      SELECT hadm_id, count(*) AS copies FROM diagnoses WHERE icd9_code LIKE '584%' GROUP BY 1) d
+    ON n.hadm_id = d.hadm_id"""
+PATTERNS = {"NUMBER": r"\b[0-9]+\b", "EMAIL": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "NAME": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"}
+
+
+@query("tx01_note_cohort", COPIES)
+def _(t):
+    return n.note_cohort(t.noteevents, t.diagnoses, "584")
+
+
+@query(
+    "tx01_note_cohort_rows",
+    """SELECT n.row_id, n.hadm_id, n.category FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id
+       WHERE icd9_code LIKE '584%'""",
+)
+def _(t):
+    return n.repeated(n.note_cohort(t.noteevents, t.diagnoses, "584")).select("row_id", "hadm_id", "category")
+
+
+@query(
+    "tx02_cohort_sizes",
+    """SELECT cohort, count(*) AS note_rows FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id
+       JOIN (VALUES ('index', '584'), ('similar', '586'), ('different', '590')) v(cohort, prefix)
+         ON starts_with(icd9_code, prefix) GROUP BY 1""",
+)
+def _(t):
+    return n.cohort_sizes(
+        t.noteevents, t.diagnoses, {"index": "584", "similar": "586", "different": "590"}
+    )
+
+
+@query(
+    "tx02_combined_cohorts",
+    """SELECT n.row_id, 'similar' AS cohort FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id WHERE icd9_code LIKE '586%'
+       UNION ALL
+       SELECT n.row_id, 'different' AS cohort FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id WHERE icd9_code LIKE '590%'""",
+)
+def _(t):
+    parts = [
+        n.repeated(n.note_cohort(t.noteevents, t.diagnoses, p)).select("row_id", F.lit(c).alias("cohort"))
+        for c, p in (("similar", "586"), ("different", "590"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "tx03_labelled_notes",
+    """SELECT row_id, label, copy, text, row_number() OVER (ORDER BY (k % 1000003 * 7919 + 42) % 1000003, k, row_id, label, copy) - 1 AS position
+       FROM (SELECT n.row_id, label, text, n.row_id * 2 + label + copy * 15485863 AS k, copy FROM (
+             SELECT n.row_id, label, text, row_number() OVER (PARTITION BY n.row_id, label ORDER BY icd9_code) AS copy
+             FROM noteevents n JOIN (SELECT hadm_id, icd9_code, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d
+               ON n.hadm_id = d.hadm_id) n)""",
+)
+def _(t):
+    return n.labelled_notes(t.noteevents, t.diagnoses, "584")
+
+
+def _terms(t):
+    """One- and two-word terms of the benchmark items as the entity dictionary."""
+    words = t.benchmark.select(n.tokens("text").alias("w"))
+    parts = [
+        words.select(F.explode(n.ngrams("w", k)).alias("term")).distinct().withColumn("label", F.lit(label))
+        for k, label in ((1, "WORD"), (2, "PHRASE"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+GRAMS = r"""
+    WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+    terms AS (SELECT DISTINCT unnest(w) AS term, 'WORD' AS label FROM b
+              UNION ALL SELECT DISTINCT w[i] || ' ' || w[i + 1], 'PHRASE' FROM b, range(1, 100000) r(i) WHERE i < len(w)),
+    c AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, copies FROM (%s) WHERE text IS NOT NULL),
+    g AS (SELECT unnest(w) AS term, copies FROM c
+          UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), copies FROM c)
+    """ % COPIES
+TERM_COUNTS = GRAMS + "SELECT term AS entity, label, sum(copies)::BIGINT AS n FROM g JOIN terms USING (term) GROUP BY 1, 2"
+
+
+@query("tx04_term_entities", TERM_COUNTS)
+def _(t):
+    return n.term_entities(n.note_cohort(t.noteevents, t.diagnoses, "584"), _terms(t))
+
+
+@query(
+    "tx04_pattern_entities",
+    " UNION ALL ".join(
+        f"""SELECT entity, '{label}' AS label, sum(copies)::BIGINT AS n FROM (
+              SELECT unnest(regexp_extract_all(text, '{p}')) AS entity, copies FROM ({COPIES}) WHERE text IS NOT NULL) GROUP BY 1"""
+        for label, p in PATTERNS.items()
+    ),
+)
+def _(t):
+    return n.pattern_entities(n.note_cohort(t.noteevents, t.diagnoses, "584"), PATTERNS)
+
+
+@query(
+    "tx04_all_note_words",
+    r"""SELECT word, count(*) AS n FROM (
+          SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) GROUP BY 1""",
+)
+def _(t):
+    return n.token_counts(t.documents)
+
+
+@query(
+    "tx05_tokens",
+    r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::INT AS n_tokens,
+               md5(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ')) AS digest FROM documents""",
+)
+def _(t):
+    words = n.tokens("text")
+    return t.documents.select(
+        "doc_id", F.size(words).alias("n_tokens"), F.md5(F.array_join(words, " ")).alias("digest")
+    )
+
+
+def _word_model(t):
+    return n.word_vectors(t.noteevents, size=100, window=5, min_count=2, partitions=4)
+
+
+@query("tx06_word_vectors")
+def _(t):
+    return n.vector_table(_word_model(t)).select("word", F.size("vector").alias("dims"), n.norm(F.col("vector")).alias("length"))
+
+
+@query("tx07_nearest_words")
+def _(t):
+    return n.nearest_words(n.vector_table(_word_model(t)), ["the", "and", "renal failure", "dialysis"])
+
+
+@query("tx15_token_vectors")
+def _(t):
+    placed = n.token_vectors(t.noteevents, n.vector_table(_word_model(t)))
+    return placed.groupBy("row_id").agg(F.count(F.lit(1)).alias("tokens"), F.avg(F.get("vector", F.lit(0))).alias("mean_first"))
+
+
+@query("tx16_frequent_word_vectors")
+def _(t):
+    return n.frequent_word_vectors(t.noteevents, n.vector_table(_word_model(t)), 1000)
+
+
+@query("tx08_word_mean_embedding")
+def _(t):
+    model = _word_model(t)
+    return n.word_mean_vectors(model, t.noteevents.select("row_id", "text")).drop("text")
+
+
+@query(
+    "tx08_batch_encoder",
+    """SELECT row_id, round(coalesce(len(regexp_replace(text, '[^a]', '', 'g'))
+                / nullif(len(regexp_replace(text, '[^a-z]', '', 'g')), 0)::DOUBLE, 0), 4) AS share_a,
+              round(coalesce(len(regexp_replace(text, '[^z]', '', 'g'))
+                / nullif(len(regexp_replace(text, '[^a-z]', '', 'g')), 0)::DOUBLE, 0), 4) AS share_z
+       FROM noteevents""",
+)
+def _(t):
+    out = n.embed(t.noteevents.select("row_id", "text"), n.letter_encoder, 26)
+    return out.select(
+        "row_id",
+        F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("share_a"),
+        F.round(F.get("vector", F.lit(25)).cast("double"), 4).alias("share_z"),
+    )
+
+
+COSINE = "list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])"
+
+
+@query(
+    "tx09_similarity_to_first",
+    f"""SELECT a.vec_id, b.vec_id AS anchor, round({COSINE}, 6) AS similarity
+        FROM vectors a, (SELECT * FROM vectors ORDER BY vec_id LIMIT 10) b""",
+)
+def _(t):
+    out = n.similarity_to_first(t.vectors, "vec_id", "vector", 10)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "tx10_group_similarity",
+    f"""SELECT a.category AS group_a, b.category AS group_b, round(avg({COSINE}), 6) AS mean_similarity
+        FROM vectors a JOIN vectors b ON a.category <= b.category GROUP BY 1, 2""",
+)
+def _(t):
+    out = n.group_similarity(t.vectors, "category", "vector", 64)
+    return out.withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+@query("tx11_projection")
+def _(t):
+    return n.project(t.vectors, "vector", 64).select("vec_id", "pca1", "pca2")
+
+
+@query("tx12_three_clusters")
+def _(t):
+    flat = n.project(t.vectors, "vector", 64).select("vec_id", "category", "pca1", "pca2")
+    return n.clusters(flat, ["pca1", "pca2"], 3)
+
+
+@query("tx12_twelve_clusters_scaled")
+def _(t):
+    scaled = n.centred(t.vectors, "vector", 64, scale=True)
+    return n.clusters(scaled, "vector", 12).select("vec_id", "category", "cluster")
+
+
+@query("tx13_cluster_by_category")
+def _(t):
+    scaled = n.centred(t.vectors, "vector", 64, scale=True)
+    return n.cross_table(n.clusters(scaled, "vector", 12), "cluster", "category")
+
+
+@query(
+    "tx13_cross_table",
+    """SELECT lang, count(*) FILTER (WHERE quality = 0) AS "0", count(*) FILTER (WHERE quality = 1) AS "1"
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
+)
+def _(t):
+    return n.cross_table(t.documents.join(t.labels, "doc_id"), "lang", "quality", [0, 1])
+
+
+@query(
+    "tx12_standardised_vectors",
+    """SELECT vec_id, round((embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER (), 5) AS v0,
+              round((embedding[64]::DOUBLE - avg(embedding[64]::DOUBLE) OVER ()) / stddev_pop(embedding[64]::DOUBLE) OVER (), 5) AS v63
+       FROM embeddings""",
+)
+def _(t):
+    scaled = n.centred(t.vectors, "vector", 64, scale=True)
+    return scaled.select(
+        "vec_id",
+        F.round(F.get("vector", F.lit(0)), 5).alias("v0"),
+        F.round(F.get("vector", F.lit(63)), 5).alias("v63"),
+    )
+
+
+@query("tx14_note_classifier_accuracy")
+def _(t):
+    rows = (
+        t.documents.join(t.labels, "doc_id")
+        .where(F.col("text").isNotNull())
+        .select("doc_id", "text", F.col("quality").alias("label"))
+    )
+    split = f.split_rows(rows, "doc_id")
+    model = m.note_classifier(split.where(~F.col("is_test")))
+    scored = m.with_probability(model, split, keep=["doc_id", "is_test", "label"])
+    return m.accuracy_by_side(scored, "label", "p")
+
+
+@query(
+    "tx17_preview",
+    "SELECT row_id, hadm_id, category, charttime, text FROM noteevents ORDER BY row_id LIMIT 10",
+)
+def _(t):
+    return n.preview(t.noteevents)

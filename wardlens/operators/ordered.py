@@ -46,15 +46,15 @@ def running_totals(
     order: str,
     sums: list[str],
     by: list[str] | None = None,
-    tie: str | None = None,
+    ties: tuple[str, ...] = (),
     points: list[float] | None = None,
 ) -> DataFrame:
     """Add ``<sum>_before`` (rows that come earlier) and ``<sum>_all`` for each summed column.
 
-    Expects one row per (group, order value, tie value); aggregate other ties first.
+    Expects one row per (group, order value, tie values); aggregate other ties first.
     """
     by = by or []
-    in_order = [order] + ([tie] if tie else [])
+    in_order = [order, *ties]
     points = split_points(df, order) if points is None else points
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_in") for s in sums])
@@ -142,14 +142,14 @@ def smallest_share(
     order: str,
     share: float,
     by: list[str] | None = None,
-    tie: str | None = None,
+    ties: tuple[str, ...] = (),
     flag: str = "in_share",
 ) -> DataFrame:
-    """Flag the first ``floor(share * n)`` rows of each group in (order, tie) order.
+    """Flag the first ``floor(share * n)`` rows of each group in (order, ties) order.
 
     Ranks come from ordered slices, so neither a class nor the whole table is sorted in one task.
     """
-    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, tie)
+    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties)
     return ranked.withColumn(
         flag, F.col("_one_before") < F.floor(F.col("_one_all") * F.lit(share) + F.lit(1e-9))
     ).drop("_one", "_one_before", "_one_all")

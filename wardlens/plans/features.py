@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import completed_years, hours_between, mentions_word, mixed
@@ -20,7 +20,7 @@ def split_stratified(
 ) -> DataFrame:
     """Mark ``floor(share * n)`` rows of every class as test rows."""
     ordered = df.withColumn("_mixed", mixed(key, seed))
-    return smallest_share(ordered, "_mixed", share, [by], tie=key, flag="is_test").drop("_mixed")
+    return smallest_share(ordered, "_mixed", share, [by], ties=(key,), flag="is_test").drop("_mixed")
 
 
 def split_positional(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
@@ -28,12 +28,13 @@ def split_positional(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     return smallest_share(df, key, share, flag="is_train")
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Add each row's position in a seeded random order."""
+def shuffled(df: DataFrame, key: str | Column, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add each row's position in a seeded random order; (key, ties) must tell rows apart."""
+    keyed = df.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_one", F.lit(1))
     ranked = running_totals(
-        df.withColumn("_mixed", mixed(key, seed)).withColumn("_one", F.lit(1)), "_mixed", ["_one"], tie=key
+        keyed.withColumn("_mixed", mixed("_key", seed)), "_mixed", ["_one"], ties=("_key", *ties)
     )
-    return ranked.withColumnRenamed("_one_before", "position").drop("_mixed", "_one", "_one_all")
+    return ranked.withColumnRenamed("_one_before", "position").drop("_key", "_mixed", "_one", "_one_all")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
