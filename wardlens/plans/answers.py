@@ -304,11 +304,13 @@ def candidate_sets(members: DataFrame, mapping: DataFrame, others: int = 2) -> D
 def settle_category(answers: DataFrame, sets: DataFrame, column: str = "answer") -> DataFrame:
     """Attach the candidate set of the answered category; an unknown one becomes the largest."""
     largest = sets.agg(F.max_by("category", F.struct("size", "category"))).scalar()
-    known = answers.join(sets.select(F.col("category").alias(column)), column, "left_semi").withColumn(
-        "category", F.col(column)
+    known = sets.select(F.col("category").alias(column), F.lit(True).alias("_known"))
+    return (
+        answers.join(known, column, "left")
+        .withColumn("category", F.when(F.col("_known"), F.col(column)).otherwise(largest))
+        .drop("_known")
+        .join(sets.select("category", "candidates"), "category")
     )
-    unknown = answers.join(sets.select(F.col("category").alias(column)), column, "left_anti").withColumn("category", largest)
-    return known.unionByName(unknown).join(sets.select("category", "candidates"), "category")
 
 
 def by_category(
