@@ -71,8 +71,7 @@ def _(t):
 
 @query(
     "ml06_seeded_shuffle",
-    """SELECT event_id, row_number() OVER (ORDER BY (event_id % 1000003 * 7919 + 42) % 1000003, event_id) - 1 AS position
-       FROM events""",
+    "SELECT event_id, (event_id % 1000003 * 7919 + 42) % 1000003 AS shuffle_key FROM events",
 )
 def _(t):
     return f.shuffled(t.events.select("event_id"), "event_id")

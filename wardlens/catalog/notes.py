@@ -58,7 +58,7 @@ def _(t):
 
 @query(
     "tx03_labelled_notes",
-    """SELECT row_id, label, copy, text, row_number() OVER (ORDER BY (k % 1000003 * 7919 + 42) % 1000003, k, row_id, label, copy) - 1 AS position
+    """SELECT row_id, label, copy, text, (k % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
        FROM (SELECT n.row_id, label, text, n.row_id * 2 + label + copy * 15485863 AS k, copy FROM (
              SELECT n.row_id, label, text, row_number() OVER (PARTITION BY n.row_id, label ORDER BY icd9_code) AS copy
              FROM noteevents n JOIN (SELECT hadm_id, icd9_code, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.session import cut_lineage
+
 MAX_SLICES = 256
 
 
@@ -46,16 +48,18 @@ def running_totals(
     order: str,
     sums: list[str],
     by: list[str] | None = None,
-    ties: tuple[str, ...] = (),
     points: list[float] | None = None,
 ) -> DataFrame:
     """Add ``<sum>_before`` (rows that come earlier) and ``<sum>_all`` for each summed column.
 
-    Expects one row per (group, order value, tie values); aggregate other ties first.
+    Expects one row per (group, order value): aggregate first. The input is read three times (cuts,
+    slice totals, rows), so it is written out once instead of being computed again; a caller that
+    passes the cut points has done so.
     """
     by = by or []
-    in_order = [order, *ties]
-    points = split_points(df, order) if points is None else points
+    if points is None:
+        df = cut_lineage(df)
+        points = split_points(df, order)
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_in") for s in sums])
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +69,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{s}_in").over(across), F.lit(0)).alias(f"_{s}_off") for s in sums],
         *[F.sum(f"_{s}_in").over(_window(by)).alias(f"{s}_all") for s in sums],
     )
-    inside = Window.partitionBy(*by, "_slice").orderBy(*in_order).rowsBetween(
+    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
     joined = _null_safe_join(cut, offsets, [*by, "_slice"])
@@ -84,20 +88,20 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
+def _around_ranks(df: DataFrame, value: str, by: list[str], ranks: list[Column]) -> DataFrame:
+    """Distinct values near the wanted zero-based ranks, as (by, _v, _n, _before, _all).
 
-    Equal values are combined first; then only the slices that hold a wanted rank are sorted.
+    Ranks may use ``_all``, the number of values in the group. Equal values are combined first and
+    written out once; then only the slices that hold a wanted rank are sorted.
     """
-    by = by or []
-    counted = (
+    counted = cut_lineage(
         df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
+        .groupBy(*by, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cut = counted.withColumn("_slice", slice_of(F.col("_v"), split_points(counted, "_v")))
+    cut = counted.withColumn(
+        "_slice", slice_of(F.col("_v").cast("double"), split_points(counted, "_v"))
+    )
     totals = cut.groupBy(*by, "_slice").agg(F.sum("_n").alias("_in"))
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     spans = totals.select(
@@ -107,24 +111,35 @@ def exact_percentiles(
         F.coalesce(F.sum("_in").over(across), F.lit(0)).alias("_off"),
         F.sum("_in").over(_window(by)).alias("_all"),
     )
-
-    def rank(fraction: float) -> Column:
-        return F.lit(fraction) * (F.col("_all") - 1)
-
     wanted = F.lit(False)
-    for f in fractions.values():
-        for r in (F.floor(rank(f)), F.ceil(rank(f))):
-            wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_in")))
+    for r in ranks:
+        wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_in")))
     kept = _null_safe_join(cut, spans.where(wanted).drop("_in"), [*by, "_slice"])
     inside = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0
+        Window.unboundedPreceding, -1
     )
-    ended = kept.withColumn("_end", F.col("_off") + F.sum("_n").over(inside))
+    return kept.withColumn(
+        "_before", F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ).drop("_slice", "_off")
+
+
+def exact_percentiles(
+    df: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None
+) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group."""
+    by = by or []
+
+    def rank(fraction: float) -> Column:
+        return F.lit(fraction) * (F.col("_all") - 1)
+
+    numbers = df.withColumn(value, F.col(value).cast("double"))
+    ranks = [r for f in fractions.values() for r in (F.floor(rank(f)), F.ceil(rank(f)))]
+    near = _around_ranks(numbers, value, by, ranks).withColumn("_end", F.col("_before") + F.col("_n"))
     picks = []
     for name, f in fractions.items():
         picks.append(F.min(F.when(F.col("_end") > F.floor(rank(f)), F.col("_v"))).alias(f"_lo_{name}"))
         picks.append(F.min(F.when(F.col("_end") > F.ceil(rank(f)), F.col("_v"))).alias(f"_hi_{name}"))
-    picked = ended.groupBy(*by).agg(F.max("_all").alias("_all"), *picks)
+    picked = near.groupBy(*by).agg(F.max("_all").alias("_all"), *picks)
     return picked.select(
         *by,
         *[
@@ -139,80 +154,103 @@ def exact_percentiles(
 
 def smallest_share(
     df: DataFrame,
-    order: str,
+    order: Column,
+    tie: str,
     share: float,
     by: list[str] | None = None,
-    ties: tuple[str, ...] = (),
     flag: str = "in_share",
 ) -> DataFrame:
-    """Flag the first ``floor(share * n)`` rows of each group in (order, ties) order.
+    """Flag the first ``floor(share * n)`` rows of each group in (order, tie) order.
 
-    Ranks come from ordered slices, so neither a class nor the whole table is sorted in one task.
+    The cut-off of a group is found on the narrow order column: the order value that holds the last
+    wanted rank and, among the rows that share it, the last wanted tie value. Whole rows are then
+    compared with one cut-off row per group and are not sorted at all.
     """
-    ranked = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties)
-    return ranked.withColumn(
-        flag, F.col("_one_before") < F.floor(F.col("_one_all") * F.lit(share) + F.lit(1e-9))
-    ).drop("_one", "_one_before", "_one_all")
+    by = by or []
+    wanted = F.floor(F.col("_all") * F.lit(share) + F.lit(1e-9))
+    narrow = df.select(*by, order.alias("_order"), F.col(tie).alias("_tie"))
+    near = _around_ranks(narrow, "_order", by, [wanted - 1])
+    edge = near.where((F.col("_before") < wanted) & (F.col("_before") + F.col("_n") >= wanted)).select(
+        *by, F.col("_v").alias("_order_cut"), (wanted - F.col("_before")).alias("_need")
+    )
+    shared = _null_safe_join(
+        narrow.withColumnRenamed("_order", "_order_cut"), edge, [*by, "_order_cut"]
+    )
+    ranked = first_rows(shared, [*by, "_order_cut"], ["_tie"], None)
+    cuts = ranked.where(F.col("rn") == F.col("_need")).select(
+        *by, "_order_cut", F.col("_tie").alias("_tie_cut")
+    )
+    if by:
+        joined = _null_safe_join(df, cuts, by, "left")
+    else:
+        joined = df.withColumn("_cut", cuts.select(F.struct("_order_cut", "_tie_cut")).scalar())
+        joined = joined.select("*", "_cut._order_cut", "_cut._tie_cut").drop("_cut")
+    inside = F.struct(order.alias("a"), F.col(tie).alias("b")) <= F.struct(
+        F.col("_order_cut").alias("a"), F.col("_tie_cut").alias("b")
+    )
+    hit = F.col("_order_cut").isNotNull() & inside
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_order_cut", "_tie_cut")
+
+
+def _boundary_window(keys: list[str], unit: str, is_last: str):
+    """Last rows of all units of a key together, all other rows apart by unit.
+
+    A lead over it takes a last row to the last row of the next unit; the key's other rows stay
+    spread over their units.
+    """
+    return Window.partitionBy(*keys, F.when(~F.col(is_last), F.col(unit))).orderBy(unit)
 
 
 def next_row(
-    df: DataFrame,
-    order: str,
-    columns: list[str],
-    prefix: str = "next_",
-    points: list[float] | None = None,
+    df: DataFrame, order: str, columns: list[str], points: list[float], prefix: str = "next_"
 ) -> DataFrame:
     """Values of the row that follows in order over the whole table; NULL on the last row.
 
-    The last row of a slice takes the first row of the next slice that has rows.
+    The order is cut at the given points. The last row of a slice takes the first row of the next
+    slice that has rows.
     """
-    points = split_points(df, order) if points is None else points
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     inside = Window.partitionBy("_slice").orderBy(order)
-    firsts = cut.groupBy("_slice").agg(F.min_by(F.struct(*columns), order).alias("_first"))
-    follows = firsts.select(
-        "_slice", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_slice")).alias("_next_first")
+    here = (
+        cut.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
+        .withColumn("_first", F.first(F.struct(*columns)).over(inside))
+        .withColumn("_is_last", F.col("_next").isNull())
     )
-    here = cut.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
-    joined = here.join(follows, "_slice").withColumn("_next", F.coalesce("_next", "_next_first"))
-    return joined.select(
-        *df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in columns]
+    after = F.lead("_first").over(_boundary_window([], "_slice", "_is_last"))
+    joined = here.withColumn("_after", after).withColumn(
+        "_next", F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col("_next"))
     )
+    return joined.select(*df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
 def next_in_time(
-    df: DataFrame,
-    keys: list[str],
-    time: str,
-    tie: str,
-    name: str,
-    unit: str = "DAY",
+    df: DataFrame, keys: list[str], time: str, tie: str, name: str, unit: str = "DAY"
 ) -> DataFrame:
     """Next time within a key, in (time, tie) order; NULL on the last row.
 
     Rows of a key are split by calendar unit. Inside a unit a window finds the next row; the last
-    row of a unit takes the first time of the key's next unit that has rows.
+    row of a unit takes the first time of the key's next unit that has rows. Rows without a time
+    come first.
     """
-    start = F.coalesce(F.date_trunc(unit, F.col(time)).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
-    cut = df.withColumn("_unit", start)
+    start = F.to_date(F.date_trunc(unit, F.col(time)))
+    cut = df.withColumn("_unit", F.coalesce(start, F.lit("0001-01-01").cast("date")))
     inside = Window.partitionBy(*keys, "_unit").orderBy(time, tie)
-    firsts = cut.groupBy(*keys, "_unit").agg(F.min(time).alias("_first"))
-    follows = firsts.select(
-        *keys,
-        "_unit",
-        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_unit")).alias("_next_first"),
-    )
-    here = cut.withColumn("_next", F.lead(time).over(inside)).withColumn(
-        "_is_last", F.lead(F.lit(1)).over(inside).isNull()
+    here = (
+        cut.withColumn("_next", F.lead(time).over(inside))
+        .withColumn("_is_last", F.lead(F.lit(1)).over(inside).isNull())
+        .withColumn("_first", F.first(time).over(inside))
     )
+    after = F.lead("_first").over(_boundary_window(keys, "_unit", "_is_last"))
     return (
-        _null_safe_join(here, follows, [*keys, "_unit"])
-        .withColumn(name, F.when(F.col("_is_last"), F.col("_next_first")).otherwise(F.col("_next")))
-        .drop("_unit", "_next", "_is_last", "_next_first")
+        here.withColumn("_after", after)
+        .withColumn(name, F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col("_next")))
+        .drop("_unit", "_next", "_is_last", "_first", "_after")
     )
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[Column | str], n: int, rank: str = "rn") -> DataFrame:
+def first_rows(
+    df: DataFrame, by: list[str], order: list[Column | str], n: int | None, rank: str = "rn"
+) -> DataFrame:
     """First n rows per group; Spark cuts every map partition to n rows per group before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col(rank) <= n)

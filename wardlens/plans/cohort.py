@@ -65,15 +65,11 @@ def cases_by_code(diagnoses: DataFrame, dictionary: DataFrame, prefix: str = PRE
 
 def _index_by_admission(diagnoses, dictionary, prefix, *extra) -> DataFrame:
     """Primary matches known to the dictionary: one row per admission (and title)."""
-    per_code = (
-        matching(diagnoses, prefix, primary=True)
-        .groupBy("subject_id", "hadm_id", "icd9_code")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     return (
-        per_code.join(dictionary, "icd9_code")
+        matching(diagnoses, prefix, primary=True)
+        .join(dictionary, "icd9_code")
         .groupBy("subject_id", "hadm_id", *extra)
-        .agg(F.sum("n").alias("n_index"))
+        .agg(F.count(F.lit(1)).alias("n_index"))
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import RISK_LABELS, risk_bucket
 from wardlens.operators.ordered import first_rows, next_row, running_totals, split_points
+from wardlens.session import cut_lineage
 
 THRESHOLD = 0.5
 
@@ -132,12 +133,12 @@ def roc_curve(df: DataFrame, label: str, score: str, drop_collinear: bool = True
     ``drop_collinear`` leaves out a point when the next step adds the same counts, as it lies on a
     straight line; the highest and the lowest threshold always stay.
     """
-    counts = _by_score(df, label, score)
+    counts = cut_lineage(_by_score(df, label, score))
     cuts = split_points(counts, "threshold")
     ranked = running_totals(counts, "threshold", ["pos", "neg"], points=cuts)
     if drop_collinear:
         falling = ranked.withColumn("down", -F.col("threshold"))
-        ranked = next_row(falling, "down", ["pos", "neg"], points=sorted(-c for c in cuts)).where(
+        ranked = next_row(falling, "down", ["pos", "neg"], sorted(-c for c in cuts)).where(
             F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos"))
             | (F.col("next_neg") != F.col("neg"))

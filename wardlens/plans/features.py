@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import completed_years, hours_between, mentions_word, mixed
-from wardlens.operators.ordered import running_totals, smallest_share
+from wardlens.operators.ordered import smallest_share
 from wardlens.operators.shape import first_present, most_frequent_values, pivot_means
 
 
@@ -19,22 +19,21 @@ def split_stratified(
     df: DataFrame, key: str, by: str, share: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Mark ``floor(share * n)`` rows of every class as test rows."""
-    ordered = df.withColumn("_mixed", mixed(key, seed))
-    return smallest_share(ordered, "_mixed", share, [by], ties=(key,), flag="is_test").drop("_mixed")
+    return smallest_share(df, mixed(key, seed), key, share, [by], flag="is_test")
 
 
 def split_positional(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     """Mark the first ``share`` of the rows in key order as training rows."""
-    return smallest_share(df, key, share, flag="is_train")
+    return smallest_share(df, F.col(key), key, share, flag="is_train")
 
 
 def shuffled(df: DataFrame, key: str | Column, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add each row's position in a seeded random order; (key, ties) must tell rows apart."""
-    keyed = df.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_one", F.lit(1))
-    ranked = running_totals(
-        keyed.withColumn("_mixed", mixed("_key", seed)), "_mixed", ["_one"], ties=("_key", *ties)
-    )
-    return ranked.withColumnRenamed("_one_before", "position").drop("_key", "_mixed", "_one", "_one_all")
+    """Rows in a seeded random order that depends on their key only; (key, ties) tell rows apart.
+
+    One range exchange, no global numbering.
+    """
+    value = F.col(key) if isinstance(key, str) else key
+    return df.withColumn("shuffle_key", mixed(value, seed)).orderBy("shuffle_key", value, *ties)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -77,9 +77,17 @@ def fields_of_name(path: Column | str, columns: list[str]) -> list[Column]:
 
 
 def rows_from_filenames(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """One row per file of a folder; the files are listed, not read."""
-    files = spark.read.format("binaryFile").load(folder).select("path")
-    return files.select(*fields_of_name("path", columns))
+    """One row per file of a folder; the files are listed, not read.
+
+    Spark's file sources leave out empty files and names with a leading underscore, which are just
+    the ones meant here, so the folder is listed through the Hadoop file system.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, False)
+    names = []
+    while files.hasNext():
+        names.append((files.next().getPath().toString(),))
+    return spark.createDataFrame(names, "path string").select(*fields_of_name("path", columns))
 
 
 def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
