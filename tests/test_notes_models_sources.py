@@ -63,7 +63,8 @@ def test_notes_fan_out(table, rows):
     assert rows(n.repeated(cohort), "row_id", "copy") == [(1, 1), (1, 2)]
     assert rows(n.note_cohort(notes, codes, "584", distinct=True), "row_id", "copies") == [(1, 1)]
     both = n.labelled_notes(notes, codes, "584")
-    assert rows(both, "row_id", "label") == [(1, 0), (1, 1), (1, 1), (2, 0)]
+    assert rows(both, "row_id", "label", "copies") == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
+    assert rows(n.labelled_notes(notes, codes, "584", per_class=9), "row_id", "label") == [(1, 0), (1, 1), (1, 1), (2, 0)]
     assert rows(n.labelled_notes(notes, codes, "584", per_class=1), "row_id", "label") == [(1, 0), (1, 1)]
 
 

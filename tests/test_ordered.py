@@ -25,9 +25,10 @@ def skewed(spark):
     return df.repartition(7)
 
 
-def test_next_in_time_equals_plain_lead(skewed):
+@pytest.mark.parametrize("unit", ["YEAR", "DAY", "HOUR"])
+def test_next_in_time_equals_plain_lead(skewed, unit):
     w = Window.partitionBy("k").orderBy("at", "id")
-    both = ordered.next_in_time(skewed, ["k"], "at", "id", "nxt").withColumn("want", F.lead("at").over(w))
+    both = ordered.next_in_time(skewed, ["k"], "at", "id", "nxt", unit).withColumn("want", F.lead("at").over(w))
     assert both.where(~F.col("nxt").eqNullSafe(F.col("want"))).count() == 0
     assert both.count() == 3000
 
@@ -56,7 +57,7 @@ def test_running_totals_equal_plain_window(skewed):
 @pytest.mark.parametrize("share", [0.0, 0.2, 0.999, 1.0])
 def test_share_per_class(skewed, share):
     order = F.col("id") * 7 % 11  # many ties
-    out = ordered.smallest_share(skewed, order, "id", share, ["k"])
+    out = ordered.smallest_share(skewed, order, share, ["k"], tie="id")
     rank = F.row_number().over(Window.partitionBy("k").orderBy(order, "id"))
     size = F.count("*").over(Window.partitionBy("k"))
     want = out.withColumn("want", rank <= F.floor(size * share + 1e-9))

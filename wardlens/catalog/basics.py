@@ -507,13 +507,13 @@ def _(t):
 
 @query(
     "fn15_text",
-    r"""SELECT turn_id, lower(trim(split_part(text, '.', 1))) AS head, upper(substr(text, 1, 5)) AS start, concat_ws(':', role, turn) AS tag FROM turns""",
+    r"""SELECT turn_id, lower(trim(split_part(text, '.', 1))) AS head, substr(text, 1, 5) AS start, concat_ws(':', role, turn) AS tag FROM turns""",
 )
 def _(t):
     return t.turns.select(
         "turn_id",
         F.lower(F.trim(sc.first_sentence("text"))).alias("head"),
-        F.upper(F.substring("text", 1, 5)).alias("start"),
+        F.substring("text", 1, 5).alias("start"),
         F.concat_ws(":", "role", "turn").alias("tag"),
     )
 

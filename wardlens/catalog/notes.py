@@ -58,16 +58,27 @@ def _(t):
 
 @query(
     "tx03_labelled_notes",
-    """SELECT row_id, label, copy, text, (k % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
-       FROM (SELECT n.row_id, label, text, n.row_id * 2 + label + copy * 15485863 AS k, copy FROM (
-             SELECT n.row_id, label, text, row_number() OVER (PARTITION BY n.row_id, label ORDER BY icd9_code) AS copy
-             FROM noteevents n JOIN (SELECT hadm_id, icd9_code, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d
-               ON n.hadm_id = d.hadm_id) n)""",
+    """SELECT *, ((row_id * 2 + label) % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
+       FROM (SELECT row_id, text, label, count(*) AS copies FROM noteevents n
+             JOIN (SELECT hadm_id, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d ON n.hadm_id = d.hadm_id
+             GROUP BY 1, 2, 3)""",
 )
 def _(t):
     return n.labelled_notes(t.noteevents, t.diagnoses, "584")
 
 
+@query(
+    "tx03_balanced_notes",
+    """SELECT *, ((row_id * 2 + label + copy * 15485863) % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
+       FROM (SELECT n.row_id, label, text, row_number() OVER (PARTITION BY n.row_id, label ORDER BY icd9_code) AS copy
+             FROM noteevents n JOIN (SELECT hadm_id, icd9_code, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d
+               ON n.hadm_id = d.hadm_id)
+       QUALIFY row_number() OVER (PARTITION BY label ORDER BY row_id, copy) <= 1000""",
+)
+def _(t):
+    return n.labelled_notes(t.noteevents, t.diagnoses, "584", per_class=1000)
+
+
 def _terms(t):
     """One- and two-word terms of the benchmark items as the entity dictionary."""
     words = t.benchmark.select(n.tokens("text").alias("w"))

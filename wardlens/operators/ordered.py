@@ -155,41 +155,47 @@ def exact_percentiles(
 def smallest_share(
     df: DataFrame,
     order: Column,
-    tie: str,
     share: float,
     by: list[str] | None = None,
+    tie: str | None = None,
     flag: str = "in_share",
 ) -> DataFrame:
     """Flag the first ``floor(share * n)`` rows of each group in (order, tie) order.
 
-    The cut-off of a group is found on the narrow order column: the order value that holds the last
-    wanted rank and, among the rows that share it, the last wanted tie value. Whole rows are then
-    compared with one cut-off row per group and are not sorted at all.
+    The cut-off of a group is found on narrow columns: the order value that holds the last wanted
+    rank and, among the rows that share it, the last wanted tie value. Whole rows are then compared
+    with one cut-off row per group and are not sorted at all.
     """
     by = by or []
     wanted = F.floor(F.col("_all") * F.lit(share) + F.lit(1e-9))
-    narrow = df.select(*by, order.alias("_order"), F.col(tie).alias("_tie"))
-    near = _around_ranks(narrow, "_order", by, [wanted - 1])
-    edge = near.where((F.col("_before") < wanted) & (F.col("_before") + F.col("_n") >= wanted)).select(
-        *by, F.col("_v").alias("_order_cut"), (wanted - F.col("_before")).alias("_need")
-    )
-    shared = _null_safe_join(
-        narrow.withColumnRenamed("_order", "_order_cut"), edge, [*by, "_order_cut"]
-    )
-    ranked = first_rows(shared, [*by, "_order_cut"], ["_tie"], None)
-    cuts = ranked.where(F.col("rn") == F.col("_need")).select(
-        *by, "_order_cut", F.col("_tie").alias("_tie_cut")
+    narrow = df.select(*by, order.alias("_order"), *([F.col(tie).alias("_tie")] if tie else []))
+    holds_last = (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_n") >= F.col("_need"))
+    cuts = (
+        _around_ranks(narrow, "_order", by, [wanted - 1])
+        .withColumn("_need", wanted)
+        .where(holds_last)
+        .select(*by, F.col("_v").alias("_order_cut"), (F.col("_need") - F.col("_before")).alias("_need"))
     )
+    if tie:
+        keys = [*by, "_order_cut"]
+        shared = _null_safe_join(narrow.withColumnRenamed("_order", "_order_cut"), cuts, keys)
+        cuts = (
+            _around_ranks(shared, "_tie", [*keys, "_need"], [F.col("_need") - 1])
+            .where(holds_last)
+            .select(*keys, F.col("_v").alias("_tie_cut"))
+        )
+    else:
+        cuts = cuts.drop("_need")
+    found = [c for c in cuts.columns if c not in by]
     if by:
         joined = _null_safe_join(df, cuts, by, "left")
     else:
-        joined = df.withColumn("_cut", cuts.select(F.struct("_order_cut", "_tie_cut")).scalar())
-        joined = joined.select("*", "_cut._order_cut", "_cut._tie_cut").drop("_cut")
-    inside = F.struct(order.alias("a"), F.col(tie).alias("b")) <= F.struct(
-        F.col("_order_cut").alias("a"), F.col("_tie_cut").alias("b")
-    )
-    hit = F.col("_order_cut").isNotNull() & inside
-    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_order_cut", "_tie_cut")
+        one = df.withColumn("_cut", cuts.select(F.struct(*found)).scalar())
+        joined = one.select("*", "_cut.*").drop("_cut")
+    inside = order < F.col("_order_cut")
+    at_cut = order == F.col("_order_cut")
+    inside = inside | ((at_cut & (F.col(tie) <= F.col("_tie_cut"))) if tie else at_cut)
+    return joined.withColumn(flag, F.coalesce(inside, F.lit(False))).drop(*found)
 
 
 def _boundary_window(keys: list[str], unit: str, is_last: str):
@@ -232,8 +238,8 @@ def next_in_time(
     row of a unit takes the first time of the key's next unit that has rows. Rows without a time
     come first.
     """
-    start = F.to_date(F.date_trunc(unit, F.col(time)))
-    cut = df.withColumn("_unit", F.coalesce(start, F.lit("0001-01-01").cast("date")))
+    start = F.date_trunc(unit, F.col(time)).cast("timestamp_ntz")
+    cut = df.withColumn("_unit", F.coalesce(start, F.lit("0001-01-01").cast("timestamp_ntz")))
     inside = Window.partitionBy(*keys, "_unit").orderBy(time, tie)
     here = (
         cut.withColumn("_next", F.lead(time).over(inside))
@@ -249,8 +255,8 @@ def next_in_time(
 
 
 def first_rows(
-    df: DataFrame, by: list[str], order: list[Column | str], n: int | None, rank: str = "rn"
+    df: DataFrame, by: list[str], order: list[Column | str], n: int, rank: str = "rn"
 ) -> DataFrame:
     """First n rows per group; Spark cuts every map partition to n rows per group before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked if n is None else ranked.where(F.col(rank) <= n)
+    return ranked.where(F.col(rank) <= n)

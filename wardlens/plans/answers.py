@@ -288,6 +288,8 @@ def candidate_sets(members: DataFrame, mapping: DataFrame, others: int = 2) -> D
     The first few of the category itself are members anyway, so one shared list serves all rows.
     """
     everyone = all_members(members, mapping)
+    if everyone.limit(MAX_NAMES + 1).count() > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} category members, too many for a prompt")
     opening = (
         first_rows(everyone, ["category"], ["late", "pos", "name"], others)
         .agg(F.collect_set("disease"))

@@ -19,12 +19,12 @@ def split_stratified(
     df: DataFrame, key: str, by: str, share: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Mark ``floor(share * n)`` rows of every class as test rows."""
-    return smallest_share(df, mixed(key, seed), key, share, [by], flag="is_test")
+    return smallest_share(df, mixed(key, seed), share, [by], tie=key, flag="is_test")
 
 
 def split_positional(df: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     """Mark the first ``share`` of the rows in key order as training rows."""
-    return smallest_share(df, F.col(key), key, share, flag="is_train")
+    return smallest_share(df, F.col(key), share, flag="is_train")
 
 
 def shuffled(df: DataFrame, key: str | Column, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -72,21 +72,42 @@ def cohort_sizes(notes: DataFrame, diagnoses: DataFrame, cohorts: dict[str, str]
 def labelled_notes(
     notes: DataFrame, diagnoses: DataFrame, *prefixes: str, per_class: int | None = None
 ) -> DataFrame:
-    """Positive and negative note rows in seeded random order, the label travelling with the row.
+    """Positive and negative notes in seeded random order, the label travelling with the row.
 
-    The negation works on diagnosis rows, so a note with both kinds of code is in both classes.
-    ``per_class`` keeps the first n rows of each class, in note order.
+    The negation works on diagnosis rows, so a note with both kinds of code is in both classes. A
+    note's fan-out is its ``copies``; with ``per_class`` the first n copies of each class, in note
+    order, are rows of their own.
     """
-    columns = ["row_id", "text", "label", "copy"]
-    sides = []
-    for label, negate in ((1, False), (0, True)):
-        side = repeated(note_cohort(notes, diagnoses, *prefixes, negate=negate)).withColumn("label", F.lit(label))
-        if per_class is not None:
-            side = side.orderBy("row_id", "copy").limit(per_class)
-        sides.append(side.select(*columns))
-    both = sides[0].unionByName(sides[1])
-    key = F.col("row_id") * 2 + F.col("label") + F.col("copy") * 15485863
-    return shuffled(both, key, ties=("row_id", "label", "copy"))
+    hit = has_prefix("icd9_code", *prefixes)
+    sides = diagnoses.where(F.col("icd9_code").isNotNull()).groupBy("hadm_id").agg(
+        F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
+    )
+    classes = F.array(
+        F.struct(F.lit(1).alias("label"), F.col("pos").alias("copies")),
+        F.struct(F.lit(0).alias("label"), F.col("neg").alias("copies")),
+    )
+    both = (
+        notes.join(sides, "hadm_id")
+        .select("row_id", "text", F.inline(classes))
+        .where(F.col("copies") > 0)
+    )
+    key = F.col("row_id") * 2 + F.col("label")
+    if per_class is None:
+        return shuffled(both, key)
+    parts = [
+        repeated(
+            both.where(F.col("label") == label)
+            .orderBy("row_id")
+            .limit(per_class)
+            .withColumn("copies", F.least(F.col("copies"), F.lit(per_class)))
+        )
+        .orderBy("row_id", "copy")
+        .limit(per_class)
+        for label in (1, 0)
+    ]
+    return shuffled(
+        parts[0].unionByName(parts[1]), key + F.col("copy") * 15485863, ties=("row_id", "label", "copy")
+    )
 
 
 def preview(notes: DataFrame, n: int = 10) -> DataFrame:
@@ -310,6 +331,7 @@ def group_similarity(vectors: DataFrame, group: str, vector: str, dims: int) ->
     groups = sums.limit(MAX_GROUPS + 1).collect()
     if len(groups) > MAX_GROUPS:
         raise ValueError(f"{group} has more than {MAX_GROUPS} values, too many for a similarity table")
+    sums = vectors.sparkSession.createDataFrame(groups, sums.schema)
     others = [
         F.struct(F.lit(r["g"]).alias("group_b"), F.lit(r["n"]).alias("n_b"), _literal(r["s"]).alias("s_b"))
         for r in groups
