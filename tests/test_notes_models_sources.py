@@ -141,3 +141,11 @@ def test_pruning_and_pushdown(spark):
     df = readers.read_columns(spark, "/root/testdata/sf0.001/orders.parquet", "o_orderkey", "o_orderstatus").where("o_orderstatus LIKE 'F%'")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(o_orderstatus,F)" in plan and "o_totalprice" not in plan
+
+
+def test_save_table_replaces(spark, table, rows):
+    spark.sql("CREATE DATABASE IF NOT EXISTS wardlens_test")
+    for value in (1, 2):
+        out = writers.save_table(table("a long", [(value,)]), "wardlens_test.replaced")
+    assert rows(out) == [(2,)] == rows(readers.read_table(spark, "wardlens_test.replaced"))
+    spark.sql("DROP DATABASE wardlens_test CASCADE")

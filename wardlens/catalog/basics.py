@@ -439,6 +439,16 @@ def _(t):
     return one.unionByName(t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")))
 
 
+@query(
+    "se02_columns_side_by_side",
+    """SELECT c.c_custkey, c.c_acctbal, o.n_orders FROM customer c
+       JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey""",
+)
+def _(t):
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return t.customer.select("c_custkey", "c_acctbal").join(counts, "c_custkey")
+
+
 @query(
     "se03_list_union",
     """SELECT case_id, array_to_string(list_sort(list_distinct(list_filter([symptom_1, symptom_2, symptom_2, symptom_5], lambda s: s IS NOT NULL))), '|') AS merged

@@ -61,6 +61,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE l_quantity / 20 END AS valuenum,
                CASE WHEN l_returnflag = 'R' THEN 'abnormal' ELSE NULL END AS flag
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "ward_labs": """
+        SELECT l_orderkey - l_orderkey % 10 AS hadm_id, l_suppkey % 20 AS itemid,
+               CASE WHEN l_partkey % 31 = 0 THEN 'ERROR' WHEN l_partkey % 37 = 0 THEN NULL
+                    ELSE CAST(l_quantity AS STRING) END AS value
+        FROM {lineitem}""",
     "d_labitems": """
         SELECT DISTINCT l_suppkey % 20 AS itemid,
                CASE WHEN l_suppkey % 20 IN (3, 12) THEN 'Creatinine'

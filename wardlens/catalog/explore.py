@@ -100,6 +100,54 @@ def _(t):
     )
 
 
+DENSE = _trimmed(5).replace("labevents", "ward_labs")
+
+
+def _dense(t):
+    """Trimmed matrix over pooled admissions, where all five labels are usually present."""
+    m, labels = x.trimmed_lab_matrix(t.ward_labs, t.d_labitems, t.admissions, 5)
+    return m.select("hadm_id", "mortality", *[F.col(c).alias(f"lab_{i}") for i, c in enumerate(labels, 1)])
+
+
+FIVE = [f"lab_{i}" for i in range(1, 6)]
+
+
+@query(
+    "ex04_lab_matrix_top5",
+    DENSE + "SELECT hadm_id, mortality, " + ", ".join(f"round({c}, 6) AS {c}" for c in FIVE) + " FROM m5",
+)
+def _(t):
+    return _dense(t).select("hadm_id", "mortality", *[F.round(c, 6).alias(c) for c in FIVE])
+
+
+@query(
+    "ex05_pair_correlations_top5",
+    DENSE
+    + " UNION ALL ".join(
+        f"""SELECT mortality, '{a}' AS x, '{b}' AS y, count(*) AS n, CASE WHEN count(*) > 2 THEN round(corr({a}, {b}), 6) END AS corr
+            FROM m5 GROUP BY mortality"""
+        for i, a in enumerate(FIVE)
+        for b in FIVE[i + 1 :]
+    ),
+)
+def _(t):
+    out = x.pair_correlations(_dense(t), FIVE, "mortality")
+    return out.withColumn("corr", F.when(F.col("n") > 2, F.round("corr", 6)))
+
+
+@query(
+    "ex05_histograms_top5",
+    DENSE
+    + " UNION ALL ".join(
+        f"""SELECT mortality, '{c}' AS "column", least(floor(({c} - lo) / nullif(hi - lo, 0) * 10), 9)::INT AS bin, count(*) AS n
+            FROM m5, (SELECT min({c}) AS lo, max({c}) AS hi FROM m5) GROUP BY ALL"""
+        for c in FIVE
+    ),
+)
+def _(t):
+    return x.histograms(_dense(t), FIVE, "mortality")
+
+
 PAIRS = [(1, 2), (1, 3), (2, 3)]
 
 

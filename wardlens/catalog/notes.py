@@ -13,7 +13,7 @@ COPIES = """
     SELECT n.*, copies FROM noteevents n JOIN (
       SELECT hadm_id, count(*) AS copies FROM diagnoses WHERE icd9_code LIKE '584%' GROUP BY 1) d
     ON n.hadm_id = d.hadm_id"""
-PATTERNS = {"NUMBER": r"\b[0-9]+\b", "EMAIL": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "NAME": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"}
+PATTERNS = {"NUMBER": r"[0-9]+", "EMAIL": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "NAME": r"[A-Z][a-z]+ [A-Z][a-z]+"}
 
 
 @query("tx01_note_cohort", COPIES)
