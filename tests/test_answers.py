@@ -92,3 +92,32 @@ def test_treatment_context_leaves_out_own_disease(table, rows):
     assert out[1] == ("sleep", "\n\n".join([line("b", ""), line("c", "x; y"), line("d", "z")]))
     assert out[2] == (fv.NO_PRECAUTIONS, "\n\n".join([line("a", "sleep"), line("c", "x; y"), line("d", "z")]))
     assert out[3] == (fv.NO_PRECAUTIONS, "")
+
+
+def test_two_passes_ask_each_case_once(spark, table, rows, tmp_path):
+    cases = table("case_id long, disease string, symptoms array<string>", [(i, "Flu", [f"s{i}"]) for i in range(6)])
+    log = str(tmp_path / "calls")
+
+    def first(prompt, system):
+        with open(log, "a") as out:
+            out.write("first\n")
+        case = prompt.split("Given these symptoms: s")[1][0]
+        if case == "0":
+            raise RuntimeError("down")
+        return {"1": "none", "2": "1. Flu"}.get(case, "1. Cold\n2. Flu\n3. Gout\n4. Acne")
+
+    def second(prompt, system):
+        with open(log, "a") as out:
+            out.write("second\n")
+        assert "Cold, Flu, Gout\n" in prompt
+        if "symptoms: s3" in prompt:
+            raise RuntimeError("down")
+        return "RANKING:\n1. Flu\n2. Cold" if "symptoms: s4" in prompt else "unsure"
+
+    out = a.narrow_down(cases, ["Cold", "Flu"], a.python_responder(first, "case_id"), a.python_responder(second, "case_id"))
+    assert rows(out, "case_id", "prediction") == [
+        (0, fv.FAILED), (1, fv.NO_ANSWER), (2, "Flu"), (3, fv.FAILED), (4, "Flu"), (5, "Cold")
+    ]
+    out.count()
+    calls = open(log).read().split()
+    assert calls.count("first") == 6 and calls.count("second") == 3

@@ -12,6 +12,11 @@ from wardlens.operators import ordered
 from wardlens.plans import features as f
 
 
+@pytest.fixture(autouse=True, params=[40, 10**9], ids=["many slices", "one slice"])
+def slices(request, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", request.param)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(3)

@@ -12,6 +12,7 @@ from wardlens.operators import joins, ordered, shape
 from wardlens.plans import cohort as c
 from wardlens.plans import features as f
 from wardlens.plans import models as m
+from wardlens.session import scratch_path
 from wardlens.sources import readers, writers
 
 # ---- sources and sinks ------------------------------------------------------
@@ -19,7 +20,7 @@ from wardlens.sources import readers, writers
 
 @query("src01_snk02_csv_round_trip", "SELECT row_id, hadm_id, charttime, category, text FROM noteevents")
 def _(t):
-    path = writers.scratch_path(t.spark, "notes")
+    path = scratch_path(t.spark, "notes")
     notes = t.noteevents.select("row_id", "hadm_id", "charttime", "category", "text")
     writers.save_csv(notes, path)
     return readers.read_csv(t.spark, path, notes.schema)
@@ -52,7 +53,7 @@ FIELDS = """SELECT CAST(hadm_id * 10 + seq_num AS VARCHAR) AS row_id, CAST(subje
 @query("src04_repair_csv", FIELDS)
 def _(t):
     """Every record is written as one quoted cell, every third one broken into two cells."""
-    path = writers.scratch_path(t.spark, "broken")
+    path = scratch_path(t.spark, "broken")
     first = "concat_ws(',', hadm_id * 10 + seq_num, subject_id, hadm_id)"
     lines = t.diagnoses.select(
         F.when(F.col("seq_num") % 3 == 0, F.expr(f"""concat('"', {first}, '",",', seq_num, ',', icd9_code, '"')"""))
@@ -93,7 +94,7 @@ def _(t):
 )
 def _(t):
     table = c.readmissions(t.diagnoses, t.admissions, ordered=False)
-    return writers.save_parquet(table, writers.scratch_path(t.spark, "readmissions"))
+    return writers.save_parquet(table, scratch_path(t.spark, "readmissions"))
 
 
 @query(
@@ -102,7 +103,7 @@ def _(t):
 )
 def _(t):
     matrix = t.embeddings.withColumn("features", array_to_vector("embedding")).drop("embedding")
-    back = writers.save_parquet(matrix, writers.scratch_path(t.spark, "matrix"))
+    back = writers.save_parquet(matrix, scratch_path(t.spark, "matrix"))
     values = vector_to_array("features")
     return back.select("vec_id", "label", F.round(values[0], 6).alias("first"), F.round(values[63], 6).alias("last"))
 
@@ -111,7 +112,7 @@ def _(t):
 def _(t):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
     model = m.note_classifier(rows, dims=256, rounds=5)
-    again = writers.save_model(model, writers.scratch_path(t.spark, "model"))
+    again = writers.save_model(model, scratch_path(t.spark, "model"))
     one = m.with_probability(model, rows, "p", keep=["doc_id"])
     two = m.with_probability(again, rows, "q", keep=["doc_id"])
     return one.join(two, "doc_id").select("doc_id", F.round(F.abs(F.col("p") - F.col("q")), 6).alias("difference"))
@@ -412,7 +413,7 @@ def _(t):
 )
 def _(t):
     counts = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = ordered.over_all(F.sum("n"))
     return counts.select("o_orderpriority", sc.percent(F.col("n"), total).alias("share"))
 
 

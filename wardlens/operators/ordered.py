@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 
 from wardlens.session import cut_lineage
 
+ROWS_PER_SLICE = 200_000
 MAX_SLICES = 256
 
 
-def split_points(df: DataFrame, column: str, slices: int | None = None) -> list[float]:
-    """At most ``MAX_SLICES - 1`` approximate quantiles of a numeric column."""
-    if slices is None:
-        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(2, min(slices, MAX_SLICES))
+def split_points(df: DataFrame, column: str) -> list[float]:
+    """Approximate quantiles of a numeric column that cut the rows into slices of a fair size.
+
+    The number of slices follows the row count, so a small table has no cuts at all; at most
+    ``MAX_SLICES - 1`` numbers reach the driver.
+    """
+    slices = min(df.count() // ROWS_PER_SLICE + 1, MAX_SLICES)
+    if slices == 1:
+        return []
     probabilities = [i / slices for i in range(1, slices)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
         "v", probabilities, 0.5 / slices
@@ -72,7 +77,7 @@ def running_totals(
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    joined = _null_safe_join(cut, offsets, [*by, "_slice"])
+    joined = null_safe_join(cut, offsets, [*by, "_slice"])
     for s in sums:
         joined = joined.withColumn(
             f"{s}_before", F.col(f"_{s}_off") + F.coalesce(F.sum(s).over(inside), F.lit(0))
@@ -80,7 +85,12 @@ def running_totals(
     return joined.drop("_slice", *[f"_{s}_off" for s in sums])
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def over_all(aggregate: Column) -> Column:
+    """An aggregate over all rows of a report; only for results of a few dozen rows."""
+    return aggregate.over(_window([]))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns]
     )
@@ -88,7 +98,9 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _around_ranks(df: DataFrame, value: str, by: list[str], ranks: list[Column]) -> DataFrame:
+def _around_ranks(
+    df: DataFrame, value: str, by: list[str], ranks: list[Column], weight: Column | None = None
+) -> DataFrame:
     """Distinct values near the wanted zero-based ranks, as (by, _v, _n, _before, _all).
 
     Ranks may use ``_all``, the number of values in the group. Equal values are combined first and
@@ -97,7 +109,7 @@ def _around_ranks(df: DataFrame, value: str, by: list[str], ranks: list[Column])
     counted = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     cut = counted.withColumn(
         "_slice", slice_of(F.col("_v").cast("double"), split_points(counted, "_v"))
@@ -114,7 +126,7 @@ def _around_ranks(df: DataFrame, value: str, by: list[str], ranks: list[Column])
     wanted = F.lit(False)
     for r in ranks:
         wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_in")))
-    kept = _null_safe_join(cut, spans.where(wanted).drop("_in"), [*by, "_slice"])
+    kept = null_safe_join(cut, spans.where(wanted).drop("_in"), [*by, "_slice"])
     inside = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -124,9 +136,16 @@ def _around_ranks(df: DataFrame, value: str, by: list[str], ranks: list[Column])
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None
+    df: DataFrame,
+    value: str,
+    fractions: dict[str, float],
+    by: list[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group."""
+    """Exact percentiles with linear interpolation, one row per group.
+
+    ``weight`` names a column with the number of times a row counts.
+    """
     by = by or []
 
     def rank(fraction: float) -> Column:
@@ -134,7 +153,7 @@ def exact_percentiles(
 
     numbers = df.withColumn(value, F.col(value).cast("double"))
     ranks = [r for f in fractions.values() for r in (F.floor(rank(f)), F.ceil(rank(f)))]
-    near = _around_ranks(numbers, value, by, ranks).withColumn("_end", F.col("_before") + F.col("_n"))
+    near = _around_ranks(numbers, value, by, ranks, F.col(weight) if weight else None).withColumn("_end", F.col("_before") + F.col("_n"))
     picks = []
     for name, f in fractions.items():
         picks.append(F.min(F.when(F.col("_end") > F.floor(rank(f)), F.col("_v"))).alias(f"_lo_{name}"))
@@ -178,7 +197,7 @@ def smallest_share(
     )
     if tie:
         keys = [*by, "_order_cut"]
-        shared = _null_safe_join(narrow.withColumnRenamed("_order", "_order_cut"), cuts, keys)
+        shared = null_safe_join(narrow.withColumnRenamed("_order", "_order_cut"), cuts, keys)
         cuts = (
             _around_ranks(shared, "_tie", [*keys, "_need"], [F.col("_need") - 1])
             .where(holds_last)
@@ -188,7 +207,7 @@ def smallest_share(
         cuts = cuts.drop("_need")
     found = [c for c in cuts.columns if c not in by]
     if by:
-        joined = _null_safe_join(df, cuts, by, "left")
+        joined = null_safe_join(df, cuts, by, "left")
     else:
         one = df.withColumn("_cut", cuts.select(F.struct(*found)).scalar())
         joined = one.select("*", "_cut.*").drop("_cut")

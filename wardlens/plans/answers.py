@@ -18,6 +18,7 @@ from wardlens import fixed_values as fv
 from wardlens.functions.scalars import first_sentence, mixed, non_empty, strip, strip_prefix
 from wardlens.operators.joins import lookup
 from wardlens.operators.ordered import first_rows
+from wardlens.session import cut_lineage
 
 MAX_NAMES = 10_000
 
@@ -120,7 +121,11 @@ def severity_examples(severities: DataFrame, levels: list[int] = fv.SEVERITY_LEV
 def python_responder(
     answer: Callable[[str, str | None], str], key: str, parallelism: int | None = None, pause: float = 0.0
 ) -> Respond:
-    """One call per row on the executors; a failed call gives ERROR and the run goes on."""
+    """One call per row on the executors; a failed call gives ERROR and the run goes on.
+
+    Answers are written out at once, so a later pass over the table, or a lost executor, does not
+    ask again.
+    """
 
     def respond(asked: DataFrame) -> DataFrame:
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +144,7 @@ def python_responder(
         if parallelism:
             rows = rows.repartition(parallelism)
         kind = asked.schema[key].dataType.simpleString()
-        return rows.mapInPandas(ask, f"{key} {kind}, answer string")
+        return cut_lineage(rows.mapInPandas(ask, f"{key} {kind}, answer string"))
 
     return respond
 
@@ -258,11 +263,14 @@ def fixed_members(spark: SparkSession) -> DataFrame:
 
 
 def category_map(members: DataFrame, cases: DataFrame) -> DataFrame:
-    """Category of every known disease: the last listing wins, unlisted diseases are Other."""
+    """Category of every known disease: the last listing wins, unlisted diseases are Other.
+
+    One small row per disease, used several times by the jobs, so it is written out once.
+    """
     last = members.groupBy("disease").agg(F.max_by("category", "pos").alias("category"))
     seen = cases.select("disease").where(F.col("disease").isNotNull()).distinct()
     others = seen.join(last, "disease", "left_anti").withColumn("category", F.lit("Other"))
-    return last.unionByName(others)
+    return cut_lineage(last.unionByName(others))
 
 
 def category_counts(mapping: DataFrame, cases: DataFrame) -> DataFrame:
@@ -287,7 +295,7 @@ def candidate_sets(members: DataFrame, mapping: DataFrame, others: int = 2) -> D
 
     The first few of the category itself are members anyway, so one shared list serves all rows.
     """
-    everyone = all_members(members, mapping)
+    everyone = cut_lineage(all_members(members, mapping))
     if everyone.limit(MAX_NAMES + 1).count() > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} category members, too many for a prompt")
     opening = (
@@ -295,7 +303,7 @@ def candidate_sets(members: DataFrame, mapping: DataFrame, others: int = 2) -> D
         .agg(F.collect_set("disease"))
         .scalar()
     )
-    return (
+    return cut_lineage(
         everyone.groupBy("category")
         .agg(F.collect_set("disease").alias("own"), F.count(F.lit(1)).alias("size"))
         .withColumn("opening", opening)

@@ -23,7 +23,7 @@ from wardlens.functions.scalars import (
     year_boundaries,
     yes_no,
 )
-from wardlens.operators.ordered import next_in_time
+from wardlens.operators.ordered import next_in_time, over_all
 
 PREFIX = "584"
 
@@ -381,7 +381,7 @@ def icu_stay_by_age_gender(
         .groupBy("gender", age_decade_label(year_boundaries("intime", "dob")).alias("age_group"))
         .agg(F.count(F.lit(1)).alias("patient_count"), F.round(F.avg("los"), 2).alias("avg_icu_los_days"))
     )
-    total = grouped.agg(F.sum("patient_count")).scalar()
+    total = over_all(F.sum("patient_count"))
     return grouped.withColumn(
         "proportion_percent", percent(F.col("patient_count"), total)
     ).orderBy("gender", "age_group")

@@ -43,13 +43,14 @@ def confusion_matrix(df: DataFrame, label: str, pred: Column) -> DataFrame:
 def classification_report(df: DataFrame, label: str, pred: Column) -> DataFrame:
     """Precision, recall, F1 and support per class, their averages, and accuracy.
 
-    A zero divisor gives 0. Works for any number of classes; only pair counts are shuffled.
+    A zero divisor gives 0. Works for any number of classes; only pair counts are shuffled, and the
+    few class rows are written out once for the averages.
     """
     pairs = df.groupBy(F.col(label).cast("string").alias("y"), pred.cast("string").alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
-    per_class = (
+    per_class = cut_lineage(
         pairs.select(
             F.inline(
                 F.array(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import age_bin, lenient_number
-from wardlens.operators.ordered import _null_safe_join, exact_percentiles
+from wardlens.operators.ordered import exact_percentiles, null_safe_join, over_all
 from wardlens.operators.shape import (
     pivot_counts,
     pivot_means,
@@ -27,7 +27,7 @@ def stays_by_hour(icustays: DataFrame, peak: float = 0.9) -> DataFrame:
         "first_careunit",
     )
     cells = wide.unpivot("hour", [c for c in wide.columns if c != "hour"], "first_careunit", "stays")
-    top = cells.agg(F.max("stays")).scalar()
+    top = over_all(F.max("stays"))
     return cells.withColumn("is_peak", F.col("stays") >= top * F.lit(peak)).orderBy(
         "hour", "first_careunit"
     )
@@ -38,15 +38,8 @@ def stay_trend(icustays: DataFrame) -> DataFrame:
     grouped = icustays.groupBy(F.year("intime").alias("year"), "first_careunit").agg(
         F.avg("los").alias("mean_los"), F.count("icustay_id").alias("stays")
     )
-    top = grouped.agg(
-        F.struct(F.max("stays").cast("double").alias("stays"), F.max("mean_los").alias("los"))
-    ).scalar()
-    return (
-        grouped.withColumn("_top", top)
-        .withColumn("scaled_volume", F.col("stays") / F.col("_top.stays") * F.col("_top.los"))
-        .drop("_top")
-        .orderBy("year", "first_careunit")
-    )
+    scale = over_all(F.max("mean_los")) / over_all(F.max("stays"))
+    return grouped.withColumn("scaled_volume", F.col("stays") * scale).orderBy("year", "first_careunit")
 
 
 def outcome_by_insurance(admissions: DataFrame) -> DataFrame:
@@ -146,7 +139,11 @@ def _stays_with_context(admissions: DataFrame, icustays: DataFrame) -> DataFrame
 
 def stay_spread(admissions: DataFrame, icustays: DataFrame, by: list[str]) -> DataFrame:
     """Length-of-stay quartiles, mean and count per group; groups without a stay have NULLs."""
-    rows = _stays_with_context(admissions, icustays)
-    means = rows.groupBy(*by).agg(F.avg("los").alias("mean_los"), F.count("los").alias("stays"))
-    quartiles = exact_percentiles(rows, "los", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    return _null_safe_join(means, quartiles, by, "left")
+    counted = cut_lineage(
+        _stays_with_context(admissions, icustays).groupBy(*by, "los").agg(F.count("los").alias("n"))
+    )
+    means = counted.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("los") * F.col("n")), F.sum("n")).alias("mean_los"), F.sum("n").alias("stays")
+    )
+    quartiles = exact_percentiles(counted, "los", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, weight="n")
+    return null_safe_join(means, quartiles, by, "left")

@@ -17,6 +17,7 @@ from wardlens.functions.scalars import (
 )
 from wardlens.operators.joins import interval_join
 from wardlens.operators.shape import fill_both_ways, scale_min_max
+from wardlens.session import cut_lineage
 
 # Item ids of the blood measure and of the output events, grid shape, label limits.
 CREATININE_ITEMS = [50912]
@@ -239,7 +240,8 @@ SEQUENCE_FEATURES = ["mean_value", "sum_output", "hours_since_start"]
 
 
 def scaled_sequences(seq: DataFrame) -> DataFrame:
-    return scale_min_max(seq, SEQUENCE_FEATURES)
+    """Features scaled over all stays and steps; the grid is read twice, so it is written out once."""
+    return scale_min_max(cut_lineage(seq), SEQUENCE_FEATURES)
 
 
 def sequence_summary(seq: DataFrame) -> DataFrame:
