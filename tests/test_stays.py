@@ -108,10 +108,10 @@ def test_ages(table, rows):
 
 
 def test_trim_order_matters(table, rows):
-    data = [(i, float(i), float(100 - i) if i < 95 else 1000.0 + i, float(i)) for i in range(100)] + [(100, 50.0, None, 50.0)]
+    data = [(i, float(i), 1000.0 if i == 0 else float(i * 37 % 101), float(i)) for i in range(100)]
+    data.append((100, 50.0, None, 50.0))
     df = table("k long, a double, b double, c double", data)
     one, two = rows(trim_outliers(df, ["a", "b"]), "k"), rows(trim_outliers(df, ["b", "a"]), "k")
-    import numpy as np
     import pandas as pd
 
     def expected(order):
@@ -120,9 +120,9 @@ def test_trim_order_matters(table, rows):
             p = p[(p[c] >= p[c].quantile(0.01)) & (p[c] <= p[c].quantile(0.99))]
         return sorted((int(k),) for k in p["k"])
 
-    assert [t[0] for t in one] == sorted([t[0] for t in one], key=str)
-    assert sorted(one) == expected(["a", "b"]) and sorted(two) == expected(["b", "a"])
-    assert np.isnan(np.nan)
+    assert sorted(one) == expected(["a", "b"])
+    assert sorted(two) == expected(["b", "a"])
+    assert sorted(one) != sorted(two)
 
 
 def test_first_present_takes_columns_from_different_rows(table, rows):

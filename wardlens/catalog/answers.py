@@ -11,6 +11,7 @@ from wardlens.catalog import query
 from wardlens.plans import answers as a
 from wardlens.plans import evaluation as e
 from wardlens.plans import features as f
+from wardlens.session import cut_lineage
 
 SYMPTOMS = [f"symptom_{i}" for i in range(1, 6)]
 TRIMMED = ", ".join(f"trim({c})" for c in SYMPTOMS)
@@ -64,7 +65,7 @@ SPLIT = f"""
 
 
 def _split(t):
-    return f.split_stratified(_cases(t), "case_id", "disease")
+    return f.split_stratified(cut_lineage(_cases(t)), "case_id", "disease")
 
 
 @query(

@@ -57,7 +57,7 @@ STRATIFIED = f"""
 
 @query("ml04_split_stratified", STRATIFIED)
 def _(t):
-    return f.split_stratified(t.cases.select("case_id", "disease"), "case_id", "disease")
+    return f.split_stratified(cut_lineage(t.cases.select("case_id", "disease")), "case_id", "disease")
 
 
 @query(
