@@ -65,6 +65,13 @@ def running_totals(
     if points is None:
         df = cut_lineage(df)
         points = split_points(df, order)
+    if not points:
+        earlier = _window(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        for t in sums:
+            df = df.withColumn(f"{t}_all", F.sum(t).over(_window(by))).withColumn(
+                f"{t}_before", F.coalesce(F.sum(t).over(earlier), F.lit(0))
+            )
+        return df
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_in") for s in sums])
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,9 +118,13 @@ def _around_ranks(
         .groupBy(*by, F.col(value).alias("_v"))
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
-    cut = counted.withColumn(
-        "_slice", slice_of(F.col("_v").cast("double"), split_points(counted, "_v"))
-    )
+    points = split_points(counted, "_v")
+    if not points:
+        earlier = _window(by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        return counted.withColumn("_all", F.sum("_n").over(_window(by))).withColumn(
+            "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        )
+    cut = counted.withColumn("_slice", slice_of(F.col("_v").cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(F.sum("_n").alias("_in"))
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     spans = totals.select(
