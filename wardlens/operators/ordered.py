@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from wardlens.session import cut_lineage
 
 ROWS_PER_SLICE = 200_000
-MAX_SLICES = 256
 
 
 def split_points(df: DataFrame, column: str) -> list[float]:
     """Approximate quantiles of a numeric column that cut the rows into slices of a fair size.
 
-    The number of slices follows the row count, so a small table has no cuts at all; at most
-    ``MAX_SLICES - 1`` numbers reach the driver.
+    There is a slice for every shuffle partition at least, and more so that a slice has about
+    ``ROWS_PER_SLICE`` rows. Every point is a value of the column; one number per slice reaches the driver.
     """
-    slices = min(df.count() // ROWS_PER_SLICE + 1, MAX_SLICES)
-    if slices == 1:
-        return []
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(partitions, df.count() // ROWS_PER_SLICE + 1)
     probabilities = [i / slices for i in range(1, slices)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
         "v", probabilities, 0.5 / slices
@@ -33,15 +31,26 @@ def split_points(df: DataFrame, column: str) -> list[float]:
 
 
 def slice_of(value: Column, points: list[float]) -> Column:
-    """Index of the slice a value falls in, as a balanced tree of comparisons."""
+    """Index of the slice a value falls in: how many points are not above it, by binary search.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    The points are one literal array, so the plan does not grow with them.
+    """
+    if not points:
+        return F.lit(0)
+    sorted_points = F.split(F.lit(",".join(map(repr, points))), ",").cast("array<double>")
+    steps = F.sequence(F.lit(1), F.lit(len(points).bit_length()))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
+
+    def halve(span: Column, _step: Column) -> Column:
+        mid = F.shiftright(span["lo"] + span["hi"], 1)
+        above = span["lo"] >= span["hi"]
+        right = F.get(sorted_points, mid) <= value
+        return F.struct(
+            F.when(~above & right, mid + 1).otherwise(span["lo"]).alias("lo"),
+            F.when(~above & ~right, mid).otherwise(span["hi"]).alias("hi"),
+        )
 
-    return tree(0, len(points)) if points else F.lit(0)
+    return F.aggregate(steps, whole, halve, lambda span: span["lo"])
 
 
 def _window(keys: list[str]):
@@ -65,13 +74,6 @@ def running_totals(
     if points is None:
         df = cut_lineage(df)
         points = split_points(df, order)
-    if not points:
-        earlier = _window(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        for t in sums:
-            df = df.withColumn(f"{t}_all", F.sum(t).over(_window(by))).withColumn(
-                f"{t}_before", F.coalesce(F.sum(t).over(earlier), F.lit(0))
-            )
-        return df
     cut = df.withColumn("_slice", slice_of(F.col(order).cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_{s}_in") for s in sums])
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,11 +121,6 @@ def _around_ranks(
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
     points = split_points(counted, "_v")
-    if not points:
-        earlier = _window(by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn("_all", F.sum("_n").over(_window(by))).withColumn(
-            "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-        )
     cut = counted.withColumn("_slice", slice_of(F.col("_v").cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(F.sum("_n").alias("_in"))
     across = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
