@@ -29,11 +29,11 @@ from wardlens.session import cut_lineage
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Statistics and the standard deviation added to each.
-FLOORS = {"x_word_length": 0.15, "x_symbols": 0.5, "x_dup_lines": 0.7, "x_repeats": 0.7, "x_upper": 0.5, "x_marks": 0.5}
+FLOORS = {"x_word_length": 0.15, "x_symbols": 0.5, "x_dup_lines": 1.5, "x_repeats": 1.2, "x_upper": 0.5}
 STATS = list(FLOORS)
 SHARE = 0.75
-#: Median of the chi-squared distribution with len(STATS) = 6 degrees of freedom (fixed value).
-CHI_MEDIAN = 5.3481
+#: Median of the chi-squared distribution with len(STATS) = 5 degrees of freedom (fixed value).
+CHI_MEDIAN = 4.3515
 PER_UNIT, PER_E = 64, 32
 
 
@@ -86,7 +86,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": (F.length(whole) - _count(whole, BLANKS)).cast("bigint"),
             "n_symbols": _count(whole, SYMBOLS).cast("bigint"),
             "_upper": _count(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-            "_marks": _count(whole, "0123456789!?;:()[]{}/\\=+_~^@\"'"),
         }
     ).withColumns(
         {
@@ -107,9 +106,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "x_dup_lines": share("n_dup_lines", "_l.n"),
             "x_repeats": share("n_repeat_words", "n_words"),
             "x_upper": share("_upper", "word_chars"),
-            "x_marks": share("_marks", "word_chars"),
         }
-    ).drop("_w", "_l", "_upper", "_marks")
+    ).drop("_w", "_l", "_upper")
 
 
 def _group() -> Column:
@@ -164,7 +162,7 @@ def _distance_bin() -> Column:
     return F.floor(F.log(F.col("d2") + 1e-6) * PER_E)
 
 
-def estimate(rows: DataFrame, steps: int = 2, min_rows: int = 50) -> DataFrame:
+def estimate(rows: DataFrame, steps: int = 2, min_rows: int = 30) -> DataFrame:
     """Estimates per language and source from rows of ``statistics``: group, m_j, c_j, scale.
 
     ``rows`` is read several times: pass a written table of narrow columns.
@@ -199,7 +197,7 @@ def estimate(rows: DataFrame, steps: int = 2, min_rows: int = 50) -> DataFrame:
     )
 
 
-def judged(rows: DataFrame, estimates: DataFrame, cutoff: float = 200.0) -> DataFrame:
+def judged(rows: DataFrame, estimates: DataFrame, cutoff: float = 15.0) -> DataFrame:
     """Add ``distance`` (NULL without an estimate) and ``kept`` to rows that have the statistics."""
     found = rows.withColumn("group", _group()).join(estimates, "group", "left")
     scaled = _with_distance(found, "distance", one_sided=True).withColumn(
@@ -209,7 +207,7 @@ def judged(rows: DataFrame, estimates: DataFrame, cutoff: float = 200.0) -> Data
     return scaled.withColumn("kept", kept).drop("group", "scale", *[f"{p}_{j}" for p in "mc" for j in range(len(STATS))])
 
 
-def kept_documents(docs: DataFrame, cutoff: float = 200.0) -> DataFrame:
+def kept_documents(docs: DataFrame, cutoff: float = 15.0) -> DataFrame:
     """The documents that pass the base rules and are no outliers, with their columns.
 
     Statistics are computed once for the estimates, on narrow columns that are written out, and once more

@@ -79,3 +79,45 @@ def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = u.judge_urls(pages, u.rules_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_sentence_pieces")
+def _(spark, sf_dir):
+    from wardlens.llm import sentence_pieces as sp
+
+    return sp.encode_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
+
+
+@query("op7_token_counts")
+def _(spark, sf_dir):
+    from wardlens.llm import bpe
+
+    docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+    counted = bpe.token_counts(docs, tokenizer_file("byte_bpe_50k.json"), ["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op9_token_files")
+def _(spark, sf_dir):
+    from wardlens.llm import token_files as tf
+    from wardlens.session import scratch_path
+
+    folder = scratch_path(spark, "token_blocks")
+    tf.write_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder, end_id=0)
+    return tf.read_documents(tf.read_blocks(spark, folder))
+
+
+@query("op10_language")
+def _(spark, sf_dir):
+    from wardlens.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    profiles = language.learn(marked.where(~F.col("held_out")))
+    return language.predict(marked, profiles, ["doc_id", "held_out"])
