@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,36 @@ from pyspark.sql.types import LongType, StructType
 
 from wardlens.llm.tables import Bounded, map_texts
 
-CHUNKS, PRE_TOKENS = 250_000, 100_000
+CHUNKS, PRE_TOKENS = 600_000, 400_000
 TWO_BLANKS = re.compile(r"\s\s")
+#: Below this code point the categories are the same in all versions of Unicode, so the pattern of the
+#: library can be stated with plain character classes; other chunks are split by the library.
+LATIN_END = "\u0250"
+
+
+def _class(*kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(ord(LATIN_END)) if unicodedata.category(chr(c))[0] in kinds)
+
+
+def _blanks() -> str:
+    return "".join(re.escape(chr(c)) for c in (*range(9, 14), 32, 0x85, 0xA0))
+
+
+L, N, S = _class("L"), _class("N"), _blanks()
+#: The byte-level pattern (fixed value) on these classes.
+LATIN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+)
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte: itself if it prints, else the next free one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in shown else chr(next(free)) for b in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Bpe:
@@ -39,7 +67,7 @@ class Bpe:
             raise ValueError(f"{path}: not a byte-level tokenizer without a normalizer")
         if tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path}: a prefix space is not supported")
-        self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.library_split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -50,9 +78,23 @@ class Bpe:
             if [t.id for t in self.merge(piece)] == [number]
         }
 
-    def pre_token_ids(self, piece: str) -> tuple[int, ...]:
+        #: Each id as four bytes, least significant first.
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(max([*self.whole.values(), *added.values()]) + 1)]
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens in the letters of the vocabulary."""
+        if text.isascii() or max(text) < LATIN_END:
+            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+                return [text.encode().decode("latin-1").translate(BYTE_LETTERS)]
+            return [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in LATIN.findall(text)]
+        return [p for p, _ in self.library_split(text)]
+
+    def encoded(self, piece: str) -> bytes:
+        """Ids of a pre-token as little-endian unsigned 32-bit integers."""
         number = self.whole.get(piece)
-        return (number,) if number is not None else tuple(t.id for t in self.merge(piece))
+        if number is not None:
+            return self.bytes_of[number]
+        return b"".join([self.bytes_of[t.id] for t in self.merge(piece)])
 
     def parts(self, text: str):
         """Plain parts and ids of special strings, in order."""
@@ -81,7 +123,7 @@ class Counter:
 
     def plain(self, text: str) -> int:
         whole, merged = self.bpe.whole, self.merged
-        return sum(1 if p in whole else merged[p] for p, _ in self.bpe.split(text))
+        return sum(1 if p in whole else merged[p] for p in self.bpe.split(text))
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -102,18 +144,18 @@ class Encoder:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
-        self.pre = Bounded(lambda p: np.array(bpe.pre_token_ids(p), "<u4").tobytes(), PRE_TOKENS)
+        self.pre = Bounded(bpe.encoded, PRE_TOKENS)
         self.chunks = Bounded(lambda p: self.plain(_chunk(p)), CHUNKS)
 
     def plain(self, text: str) -> bytes:
-        return b"".join([self.pre[p] for p, _ in self.bpe.split(text)])
+        return b"".join([self.pre[p] for p in self.bpe.split(text)])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.bpe.special is not None and self.bpe.special.search(text):
             return b"".join(
-                self.part(p) if isinstance(p, str) else np.array([p], "<u4").tobytes() for p in self.bpe.parts(text)
+                self.part(p) if isinstance(p, str) else self.bpe.bytes_of[p] for p in self.bpe.parts(text)
             )
         return self.part(text)
 

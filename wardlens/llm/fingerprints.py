@@ -12,6 +12,8 @@ alike (1.0), an empty and a non-empty one are not (0.0).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +106,23 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = 5, window: int =
     return docs.withColumn(name, winnow(F.col(text), k, window))
 
 
-def with_next(df: DataFrame, order: str, columns: list[str], first_after_last: bool = True) -> DataFrame:
+def with_next(
+    df: DataFrame,
+    order: str,
+    columns: list[str],
+    derive: Callable[[DataFrame], DataFrame] = lambda dealt: dealt,
+    derived: list[str] | None = None,
+    first_after_last: bool = True,
+) -> DataFrame:
     """Add ``next_<column>``: the values of the row that follows in ascending order.
 
     The order is cut into slices at values that occur in it, so a slice is one window and the first row of
     a slice is known to hold the cut value: it is sent to the slice before it as well, as a guard row. The
     first row of all closes the last slice. Rows with equal order values follow each other by the hash of
-    the columns; NULL comes first.
+    the columns; NULL comes first. ``derive`` may add the ``derived`` columns; it runs after the shuffle, so
+    that only the given columns travel.
     """
+    derived = derived or []
     points = split_points(df, order)
     value = F.col(order).cast("double")
     slice_, guard, tie = hidden(df, "slice"), hidden(df, "guard"), hidden(df, "tie")
@@ -126,11 +137,12 @@ def with_next(df: DataFrame, order: str, columns: list[str], first_after_last: b
     )
     narrow = df.withColumn(tie, F.xxhash64(*columns))
     dealt = narrow.select("*", F.inline(F.filter(places, lambda p: p.isNotNull())))
+    dealt = derive(dealt.repartition(slice_))
     following = Window.partitionBy(slice_).orderBy(guard, F.col(order).asc_nulls_first(), tie)
-    led = dealt.select("*", F.lead(F.struct(*columns)).over(following).alias("_following"))
+    led = dealt.select("*", F.lead(F.struct(*columns, *derived)).over(following).alias("_following"))
     return (
         led.where(F.col(guard) == 0)
-        .select(*df.columns, *[F.col(f"_following.{c}").alias(f"next_{c}") for c in columns])
+        .select(*df.columns, *derived, *[F.col(f"_following.{c}").alias(f"next_{c}") for c in [*columns, *derived]])
     )
 
 
@@ -138,11 +150,14 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, window: int = 8) -> DataFra
     """Fingerprints of every text and of its edited text, with their likenesses.
 
     The edited text is the text with its last quarter of code points replaced by the first as many (or all)
-    of the next document. The only shuffle carries each text with its fingerprint once.
+    of the next document. The only shuffle carries each text once.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = fingerprints(plain, "text", k, window, "fp").select("doc_id", "text", "fp.hashes", "fp.positions")
-    after = with_next(marked, "doc_id", ["text", "hashes"])
+
+    def marked(dealt: DataFrame) -> DataFrame:
+        return fingerprints(dealt, "text", k, window, "fp").select("*", "fp.hashes", "fp.positions").drop("fp")
+
+    after = with_next(plain, "doc_id", ["text"], marked, ["hashes", "positions"])
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = after.select(
         "*",

@@ -133,13 +133,18 @@ class Judge:
 
 
 def predict(
-    docs: DataFrame, profiles: dict[str, np.ndarray], keys: list[str], text: str = "text", ranks: int = RANKS
+    docs: DataFrame,
+    profiles: dict[str, np.ndarray],
+    keys: list[str],
+    text: str = "text",
+    ranks: int = RANKS,
+    names: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``lang_pred`` and ``score`` (0 to 1) of every whole text, beside the key columns.
 
     The profiles travel with the function: at most ranks x MAX_LANGUAGES codes.
     """
-    schema = StructType([docs.schema[k] for k in keys]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([docs.schema[k] for k in keys]).add(names[0], StringType()).add(names[1], DoubleType())
 
     def work():
         judge = Judge(profiles, ranks)
@@ -151,3 +156,10 @@ def predict(
         return run
 
     return map_texts(docs.select(*keys, F.col(text).alias("_text")), "_text", schema, work)
+
+
+def in_stated_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told and is the stated one (NULL: any), with their columns."""
+    found = predict(docs, learn(docs), docs.columns, names=("_told", "_told_score"))
+    stated = F.coalesce(F.col("_told") == F.col("lang"), F.lit(True))
+    return found.where((F.col("_told") != UNKNOWN) & stated).select(*docs.columns)

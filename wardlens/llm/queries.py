@@ -121,3 +121,32 @@ def _(spark, sf_dir):
     marked = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
     profiles = language.learn(marked.where(~F.col("held_out")))
     return language.predict(marked, profiles, ["doc_id", "held_out"])
+
+
+@query("op6_ngram_jaccard")
+def _(spark, sf_dir):
+    from wardlens.llm import jaccard_join as jj
+
+    return jj.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90).drop("node")
+
+
+@query("op5_line_templates")
+def _(spark, sf_dir):
+    from wardlens.llm import line_templates as lt
+
+    left = lt.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_dropped")
+    return left.select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"),
+        "n_dropped",
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"),
+    )
+
+
+@query("op3_best_fit_packing")
+def _(spark, sf_dir):
+    from wardlens.llm import packing
+    from wardlens.llm.native import words
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", (F.size(words(F.col("text"))) + 1).alias("length")), "length")
