@@ -5,18 +5,20 @@ least ``percent`` / 100. Documents with equal sets are one node. Sets are ordere
 rare to common n-grams (counts of all documents in a table of fixed size; equal counts by hash).
 
 1. Index. Linked sets share an n-gram among the first ``n - ceil(t * n) + 1`` of each, so every node is
-   listed under these only. Most of the lists have one node.
-2. Star. Each list takes a hub, its smallest node, and all others are compared with it: a block of sets is
+   listed under these only. Most of the lists have one node; the others are divided by set size.
+2. Star. Each list takes a hub, the node that is in most lists, and all others are compared with it: a block of sets is
    stored as a trie (paths from common to rare n-grams, in sorted order with the depth each shares with the
    path before), the hub's overlap is carried along shared paths, and a subtree is left as soon as the
    n-grams that remain cannot reach the wanted overlap.
 3. Rest. Two nodes of a list that both link to its hub are connected already. If x does not link to hub h
    but to y, the differences of x and y from h have an element in common, more than half of those of y
-   even. So the nodes are listed again under (h, element of the difference), again under a prefix of it,
-   and steps 2 and 3 repeat on lists that still hold more than one component, until there are none.
+   even. So where the members of a star are of several components, they are listed under a prefix of
+   their differences, and an x that did not link to the hub is compared with the nodes of other
+   components in its lists, as far as the sizes of the differences and the places of the shared element
+   leave room for the elements that must be in common.
 
-No link is lost, and a large group of copies or near copies costs a comparison with few hubs per member
-instead of one per pair. Lists of any length are dealt out in blocks of bounded size.
+No link between components is lost, and a large group of copies or near copies costs a comparison with few
+hubs per member instead of one per pair. Members are compared in blocks of bounded size.
 
 Defined results: texts without a word (NULL, empty, blank) have an empty set and link with nothing; texts of
 fewer words than an n-gram have one, the whole sequence. Sets are compared by 64-bit hashes.
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -226,18 +228,20 @@ def trie_search(hub: np.ndarray, paths: list[np.ndarray], bounds: Overlap) -> li
 
 def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (hub, block, member, node, n, path), dealt out and sorted so that a hub precedes its members."""
-    sized = pairs.join(sets.select("node", "n"), "node")
-    dealt = sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = (
-        pairs.join(sets, "node")
-        .join(dealt, "hub")
-        .select("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("member"), "node", "n", "path", *[c for c in pairs.columns if c == "linked"])
+    dealt = (
+        pairs.join(sets.select("node", "n"), "node")
+        .groupBy("hub")
+        .agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     )
-    hubs = (
-        dealt.join(sets, dealt["hub"] == sets["node"])
-        .select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("member"), "node", "n", "path")
+    extra = [c for c in pairs.columns if c == "linked"]
+    members = pairs.join(dealt, "hub").select(
+        "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("member"), "node", *extra
     )
-    rows = members.unionByName(hubs, allowMissingColumns=True)
+    hubs = dealt.select(
+        "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("member"), F.col("hub").alias("node")
+    )
+    rows = members.unionByName(hubs, allowMissingColumns=True).join(sets, "node")
+    rows = rows.select("hub", "block", "member", "node", "n", "path", *extra)
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "member", "node")
 
 
@@ -274,24 +278,31 @@ def star(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Lists of step 3 for pairs (hub, node, linked), as rows (gid, node)."""
+    """Lists of step 3 for pairs (hub, node, linked), as rows (gid, node, at, d, n, linked): place in a
+    difference of d elements, of a set of n."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = Overlap(percent)
         for name, hub, members in _per_block(batches):
             salt = _mix(np.array([name], np.int64).view(np.uint64))
-            nodes, gids = [], []
+            nodes, gids, facts = [], [], []
             for m in members:
                 # Elements of the node alone come first, from rare to common, then those of the hub alone.
                 own = m["path"][~np.isin(m["path"], hub)][::-1]
                 gone = hub[~np.isin(hub, m["path"])][::-1]
                 apart = np.concatenate([own, gone])
-                apart = apart[: bounds.difference_prefix(len(apart), m["n"], len(hub), m["linked"])]
+                size = len(apart)
+                apart = apart[: bounds.difference_prefix(size, m["n"], len(hub), m["linked"])]
                 gids.append(_mix(apart ^ salt).view(np.int64))
                 nodes.append(np.full(len(apart), m["node"], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids)), pa.array(np.concatenate(nodes))], names=["gid", "node"])
+                facts.append(np.column_stack([np.arange(len(apart)), np.full(len(apart), size), np.full(len(apart), m["n"]), np.full(len(apart), m["linked"])]))
+            at, d, n, linked = np.concatenate(facts).astype(np.int32).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(gids)), pa.array(np.concatenate(nodes)), *map(pa.array, (at, d, n)), pa.array(linked.astype(bool))],
+                names=["gid", "node", "at", "d", "n", "linked"],
+            )
 
-    return _blocks(pairs, sets).mapInArrow(run, "gid bigint, node bigint")
+    return _blocks(pairs, sets).mapInArrow(run, "gid bigint, node bigint, at int, d int, n int, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,10 +323,52 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Distinct (hub, node) of lists with at least two nodes; the hub is the least node of its list."""
-    hubs = lists.groupBy("gid").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    return lists.join(hubs.select("gid", "hub"), "gid").where("node <> hub").select("hub", "node").distinct()
+def _shared(lists: DataFrame) -> DataFrame:
+    """The rows of lists with at least two nodes, with the list's hub (largest ``rank``, then node); one shuffle."""
+    dealt = lists.repartition("gid")
+    ends = dealt.groupBy("gid").agg(
+        F.min("node").alias("least"), F.max("node").alias("last"), F.max(F.struct("rank", "node"))["node"].alias("hub")
+    )
+    return dealt.join(ends.where("least < last").select("gid", "hub"), "gid")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    return shared.where("node <> hub").select("hub", "node").distinct()
+
+
+def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Lists divided by classes of set sizes; linked sets have a class in common.
+
+    The rank of a node is the number of its lists: of copies with edits of their own, the text that they
+    were made from shares most.
+    """
+    step = log(100 / percent) * 1.001 if percent < 100 else 1e-6
+    class_ = F.floor(F.log("n") / step)
+    facts = nodes.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("rank")), "node").select("node", "rank", class_.alias("c"))
+    return (
+        shared.select("gid", "node")
+        .join(facts, "node")
+        .select("node", "rank", F.explode(F.array(F.xxhash64("gid", "c"), F.xxhash64("gid", F.col("c") + 1))).alias("gid"))
+    )
+
+
+def _across(tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 3: the pairs (hub, node) of different components that may still link."""
+    component = named.select("node", F.col("component").alias("c"))
+    placed = tried.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    several = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    open_stars = tried.join(several.select("hub"), "hub", "left_semi").select("hub", "node", "linked")
+    lists = differences(open_stars, sets, percent).join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    dealt = lists.repartition("gid")
+    mixed = dealt.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
+    lists = cut_lineage(dealt.join(mixed, "gid", "left_semi"))
+    x = lists.where("NOT linked").select("gid", F.struct("node", "c", "at", "d", "n").alias("x"))
+    y = lists.select("gid", F.struct("node", "c", "at", "d", "n", "linked").alias("y"))
+    # Linked sets of sizes n differ in (1-t)/(1+t) * (n + n) elements at most: so many must be in common.
+    least = F.expr(f"ceil((x.d + y.d - {(100 - percent) / (100 + percent)!r}D * (x.n + y.n)) / 2 - 1e-6D)")
+    may_link = (F.col("x.at") <= F.col("x.d") - least) & (F.col("y.at") <= F.col("y.d") - least)
+    apart = F.expr("x.c <> y.c AND (y.linked OR x.node < y.node)")
+    return x.join(y, "gid").where(apart & may_link).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -336,36 +389,23 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     spark: SparkSession = docs.sparkSession
     scanned, counted = scan(docs, size, key, text)
     cells = spark.sparkContext.broadcast(counted.astype(np.uint32))
-    nodes = cut_lineage(scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")))
-    pairs = cut_lineage(_stars(prefixes(docs, size, percent, cells, text)))
+    nodes = cut_lineage(scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n")))
+    lists = prefixes(docs, size, percent, cells, text).withColumn("rank", F.lit(0))
+    shared = cut_lineage(_shared(lists).select("gid", "node").distinct())
+    pairs = cut_lineage(_stars(_shared(_by_size(shared, nodes, percent))))
     taking_part = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = taking_part.join(nodes, "node").select("key")
     sets = sets_of(docs, wanted, size, cells, key, text).join(taking_part, "node", "left_semi").dropDuplicates(["node"])
     sets = cut_lineage(sets)
-    links, named = None, None
-    while not pairs.isEmpty():
+    named = None
+    if not pairs.isEmpty():
         tried = cut_lineage(star(pairs, sets, percent))
-        found = tried.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = found if links is None else links.unionByName(found)
+        links = tried.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         named = components(links)
-
-        def of(node: str, name: str) -> DataFrame:
-            return named.select(F.col("node").alias(node), F.col("component").alias(name))
-
-        placed = (
-            tried.join(of("node", "c"), "node", "left")
-            .join(of("hub", "h"), "hub", "left")
-            .select("hub", "node", "linked", F.coalesce("c", "node").alias("c"), F.coalesce("h", "hub").alias("h"))
-        )
-        open_hubs = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("c").alias("m")).where("m > 1 AND lo < hi")
-        rest = cut_lineage(placed.join(open_hubs.select("hub"), "hub", "left_semi").select("hub", "node", "linked"))
-        if rest.isEmpty():
-            break
-        lists = differences(rest, sets, percent).join(of("node", "c"), "node", "left").select("gid", "node", F.coalesce("c", "node").alias("c"))
-        lists = cut_lineage(lists)
-        open_lists = lists.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        again = _stars(lists.join(open_lists.select("gid"), "gid", "left_semi").select("gid", "node"))
-        pairs = cut_lineage(again)
+        rest = cut_lineage(_across(tried, named, sets, percent))
+        if not rest.isEmpty():
+            found = star(rest, sets, percent).where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            named = components(cut_lineage(links.unionByName(found)))
     if named is None:
         placed = nodes.select("node", F.col("key").alias("component_id"))
     else:
