@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
 from wardlens import fixed_values as fv
 from wardlens.plans import answers as a
 
@@ -114,10 +115,34 @@ def test_two_passes_ask_each_case_once(spark, table, rows, tmp_path):
             raise RuntimeError("down")
         return "RANKING:\n1. Flu\n2. Cold" if "symptoms: s4" in prompt else "unsure"
 
-    out = a.narrow_down(cases, ["Cold", "Flu"], a.python_responder(first, "case_id"), a.python_responder(second, "case_id"))
+    out = a.narrow_down(cases, F.array(*[F.lit(x) for x in ["Cold", "Flu"]]), a.python_responder(first, "case_id"), a.python_responder(second, "case_id"))
     assert rows(out, "case_id", "prediction") == [
         (0, fv.FAILED), (1, fv.NO_ANSWER), (2, "Flu"), (3, fv.FAILED), (4, "Flu"), (5, "Cold")
     ]
     out.count()
     calls = open(log).read().split()
     assert calls.count("first") == 6 and calls.count("second") == 3
+
+
+def test_numbers_too_long_count_as_unstated(spark):
+    answers = spark.createDataFrame([(1, "Severity: 99999999999/10"), (2, "Severity: 7/10")], "case_id int, answer string")
+    base = spark.createDataFrame([(1, 2.5), (2, 2.5)], "case_id int, baseline double")
+    got = {r.case_id: r.severity for r in a.severity_scores(answers, base).collect()}
+    assert got == {1: 2, 2: 7}
+    text = r"odd\Ename CONFIDENCE: 99999999999% flu confidence: 80%"
+    from pyspark.sql import functions as F
+
+    one = spark.range(1).select(F.lit(text).alias("t"))
+    names = [r"Odd\Ename", "Flu", "cold"]
+    assert list(one.select(*[a.confidence_of(F.lit(x), F.col("t")).alias(x[:2]) for x in names]).first()) == [50, 80, 50]
+
+
+def test_mixed_takes_any_key_and_spreads_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from wardlens.functions.scalars import MIXED_END, mixed
+
+    test = spark.range(10_000).select(F.floor(F.col("id") / 1000).alias("block"), (mixed("id") < 0.2 * MIXED_END).cast("int").alias("t"))
+    shares = [r[1] for r in test.groupBy("block").agg(F.avg("t")).collect()]
+    assert all(0.15 < s < 0.25 for s in shares)
+    assert spark.range(1).select(mixed(F.lit("a-b"))).first()[0] >= 0

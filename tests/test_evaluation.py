@@ -94,3 +94,14 @@ def test_lab_flags_without_a_range(table, rows):
     assert rows(e.lab_flags(labs, ranges), "itemid", "valuenum", "abnormal") == [
         (1, 5.0, True), (1, 50.0, False), (1, None, False), (2, 5.0, False)
     ]
+
+
+def test_auc_of_billions_of_rows_does_not_overflow(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from wardlens.plans import evaluation as e
+
+    weighed = spark.createDataFrame([(0.1, 0, 4_000_000_000), (0.9, 4_000_000_000, 0)], "threshold double, pos long, neg long")
+    monkeypatch.setattr(e, "_by_score", lambda df, label, score: weighed)
+    row = e.roc_auc(spark.range(1).select(F.lit(1).alias("y"), F.lit(0.5).alias("p")), "y", "p").first()
+    assert (row.auc, row.positives) == (1.0, 4_000_000_000)

@@ -17,10 +17,20 @@ def vectors(spark, rows=40, dims=6, seed=1):
     return spark.createDataFrame(data, "id long, g int, v array<double>"), data
 
 
+def PAIRS(spark):
+    return spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "group_a int, group_b int")
+
+
+def test_zero_vectors_count_with_similarity_zero(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0])], "g int, v array<double>")
+    out = {(r.group_a, r.group_b): r.mean_similarity for r in n.group_similarity(df, PAIRS(spark), "g", "v", 2).collect()}
+    assert out == {(0, 0): 0.25, (0, 1): 0.5, (1, 1): 1.0}
+
+
 def test_group_similarity_equals_all_pairs(spark):
     df, data = vectors(spark)
     unit = {i: (g, np.array(v) / np.linalg.norm(v)) for i, g, v in data}
-    out = {(r.group_a, r.group_b): r.mean_similarity for r in n.group_similarity(df, "g", "v", 6).collect()}
+    out = {(r.group_a, r.group_b): r.mean_similarity for r in n.group_similarity(df, PAIRS(spark), "g", "v", 6).collect()}
     for a, b in ((0, 0), (0, 1), (1, 1)):
         pairs = [x @ y for ga, x in unit.values() if ga == a for gb, y in unit.values() if gb == b]
         assert out[(a, b)] == pytest.approx(np.mean(pairs))
@@ -106,7 +116,7 @@ def test_csv_with_line_breaks(spark, table, rows, tmp_path):
     df = table("row_id long, hadm_id long, charttime timestamp_ntz, category string, text string", [(1, 1, "2020-01-01 00:00:00", "x", 'two\nlines, "quoted"'), (2, None, None, None, "b")])
     path = str(tmp_path / "notes")
     writers.save_csv(df, path)
-    back = readers.read_csv(spark, path, SCHEMAS["noteevents"])
+    back = readers.read_csv(spark, path, SCHEMAS["noteevents"], multi_line=True)
     assert rows(back) == rows(df)
 
 
@@ -116,6 +126,12 @@ def test_csv_nan_and_bad_numbers_become_null(spark, tmp_path):
     assert [(r.k, r.v) for r in out.orderBy("k").collect()] == [(1, None), (2, None), (3, 1.5)]
 
 
+def test_repair_csv_joins_any_number_of_cells(spark, rows, tmp_path):
+    (tmp_path / "w.csv").write_text('row_id,icd\n"1","0","0","0",",x"\n"1",",","x","y","z","w"\n1,"2"\n')
+    out = readers.repair_csv(spark, str(tmp_path / "w.csv"), ["row_id", "icd"])
+    assert rows(out) == sorted([("1000", "x"), ("1", "xyzw"), ("12", None)], key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
 def test_repair_csv(spark, rows, tmp_path):
     (tmp_path / "d.csv").write_text('ROW_ID,ICD\n"1,5849"\n"2,","4010"\n3,\n')
     out = readers.repair_csv(spark, str(tmp_path / "d.csv"), ["row_id", "icd"])

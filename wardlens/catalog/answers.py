@@ -56,11 +56,11 @@ def _(t):
 
 @query("lm01_class_names", "SELECT DISTINCT disease FROM cases")
 def _(t):
-    return t.cases.select("disease").distinct().orderBy("disease")
+    return t.spark.range(1).select(F.explode(a.class_names(t.cases, "disease")).alias("disease"))
 
 
 SPLIT = f"""
-    SELECT *, row_number() OVER (PARTITION BY disease ORDER BY (case_id % 1000003 * 7919 + 42) % 1000003, case_id)
+    SELECT *, row_number() OVER (PARTITION BY disease ORDER BY CAST('0x' || substr(md5('42:' || CAST(case_id AS VARCHAR)), 1, 13) AS BIGINT), case_id)
                 <= floor(0.2 * count(*) OVER (PARTITION BY disease) + 1e-9) AS is_test FROM ({CASES})"""
 
 
@@ -87,12 +87,12 @@ for kind in ("zero_shot", "role", "chain", "vote_direct", "vote_chain"):
     )
     def _(t, kind=kind):
         cases = _cases(t)
-        names = ", ".join(a.class_names(cases, "disease"))
+        names = F.array_join(a.class_names(cases, "disease"), ", ")
         return a.with_prompt(cases, kind, classes=names).select("case_id", "prompt", "system")
 
 
 EXAMPLES = f"""(SELECT string_agg('Symptoms: ' || {TEXT} || chr(10) || 'Disease: ' || disease || chr(10), chr(10) ORDER BY o, case_id, disease)
-    FROM (SELECT *, (case_id % 1000003 * 7919 + 42) % 1000003 AS o FROM ({SPLIT}) WHERE NOT is_test
+    FROM (SELECT *, CAST('0x' || substr(md5('42:' || CAST(case_id AS VARCHAR)), 1, 13) AS BIGINT) AS o FROM ({SPLIT}) WHERE NOT is_test
           QUALIFY row_number() OVER (PARTITION BY disease ORDER BY o, case_id) = 1 ORDER BY o, case_id, disease LIMIT 5))"""
 
 
@@ -104,7 +104,7 @@ EXAMPLES = f"""(SELECT string_agg('Symptoms: ' || {TEXT} || chr(10) || 'Disease:
 def _(t):
     split = _split(t)
     examples = a.few_shot_examples(split.where(~F.col("is_test")), 5)
-    names = ", ".join(a.class_names(split, "disease"))
+    names = F.array_join(a.class_names(split, "disease"), ", ")
     test = split.where("is_test")
     return a.with_prompt(test, "few_shot", examples=examples, classes=names).select("case_id", "prompt")
 

@@ -23,7 +23,7 @@ def _(t):
     path = scratch_path(t.spark, "notes")
     notes = t.noteevents.select("row_id", "hadm_id", "charttime", "category", "text")
     writers.save_csv(notes, path)
-    return readers.read_csv(t.spark, path, notes.schema)
+    return readers.read_csv(t.spark, path, notes.schema, multi_line=True)
 
 
 @query("src02_read_table", "SELECT subject_id, gender, dob FROM patients")
@@ -491,7 +491,7 @@ def _(t):
 )
 def _(t):
     text = F.when(F.col("o_orderkey") % 7 == 0, "bad").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-    return t.orders.select("o_orderkey", sc.parse_time(text, "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("at"))
+    return t.orders.select("o_orderkey", sc.parse_time(text, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query(

@@ -43,13 +43,13 @@ def _(t):
 
 @query(
     "ml03_split_rows",
-    """SELECT o_orderkey, (o_orderkey % 1000003 * 7919 + 42) % 1000003 < 200000 AS is_test FROM orders""",
+    """SELECT o_orderkey, CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT) < 900719925474099 AS is_test FROM orders""",
 )
 def _(t):
     return f.split_rows(t.orders.select("o_orderkey"), "o_orderkey")
 
 
-MIXED = "(case_id % 1000003 * 7919 + 42) % 1000003"
+MIXED = "CAST('0x' || substr(md5('42:' || CAST(case_id AS VARCHAR)), 1, 13) AS BIGINT)"
 STRATIFIED = f"""
     SELECT case_id, disease, row_number() OVER (PARTITION BY disease ORDER BY {MIXED}, case_id)
              <= floor(0.2 * count(*) OVER (PARTITION BY disease) + 1e-9) AS is_test FROM cases"""
@@ -71,7 +71,7 @@ def _(t):
 
 @query(
     "ml06_seeded_shuffle",
-    "SELECT event_id, (event_id % 1000003 * 7919 + 42) % 1000003 AS shuffle_key FROM events",
+    "SELECT event_id, CAST('0x' || substr(md5('42:' || CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key FROM events",
 )
 def _(t):
     return f.shuffled(t.events.select("event_id"), "event_id")

@@ -32,13 +32,14 @@ def _(t):
 
 @query(
     "tx02_cohort_sizes",
-    """SELECT cohort, count(*) AS note_rows FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id
-       JOIN (VALUES ('index', '584'), ('similar', '586'), ('different', '590')) v(cohort, prefix)
+    """SELECT v.cohort, count(icd9_code) AS note_rows
+       FROM (VALUES ('index', '584'), ('similar', '586'), ('different', '590'), ('absent', 'none')) v(cohort, prefix)
+       LEFT JOIN (SELECT icd9_code FROM noteevents n JOIN diagnoses d ON n.hadm_id = d.hadm_id) x
          ON starts_with(icd9_code, prefix) GROUP BY 1""",
 )
 def _(t):
     return n.cohort_sizes(
-        t.noteevents, t.diagnoses, {"index": "584", "similar": "586", "different": "590"}
+        t.noteevents, t.diagnoses, {"index": "584", "similar": "586", "different": "590", "absent": "none"}
     )
 
 
@@ -58,7 +59,7 @@ def _(t):
 
 @query(
     "tx03_labelled_notes",
-    """SELECT *, ((row_id * 2 + label) % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
+    """SELECT *, CAST('0x' || substr(md5('42:' || CAST(row_id * 2 + label AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key
        FROM (SELECT row_id, text, label, count(*) AS copies FROM noteevents n
              JOIN (SELECT hadm_id, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d ON n.hadm_id = d.hadm_id
              GROUP BY 1, 2, 3)""",
@@ -69,7 +70,7 @@ def _(t):
 
 @query(
     "tx03_balanced_notes",
-    """SELECT *, ((row_id * 2 + label + copy * 15485863) % 1000003 * 7919 + 42) % 1000003 AS shuffle_key
+    """SELECT *, CAST('0x' || substr(md5('42:' || CAST(row_id * 2 + label + copy * 15485863 AS VARCHAR)), 1, 13) AS BIGINT) AS shuffle_key
        FROM (SELECT n.row_id, label, text, row_number() OVER (PARTITION BY n.row_id, label ORDER BY icd9_code) AS copy
              FROM noteevents n JOIN (SELECT hadm_id, icd9_code, (icd9_code LIKE '584%')::INT AS label FROM diagnoses) d
                ON n.hadm_id = d.hadm_id)
@@ -205,7 +206,9 @@ def _(t):
         FROM vectors a JOIN vectors b ON a.category <= b.category GROUP BY 1, 2""",
 )
 def _(t):
-    out = n.group_similarity(t.vectors, "category", "vector", 64)
+    names = t.vectors.agg(F.array_sort(F.collect_set("category")).alias("names"))
+    pairs = names.select(F.explode("names").alias("group_a"), "names").select("group_a", F.explode("names").alias("group_b"))
+    out = n.group_similarity(t.vectors, pairs.where("group_a <= group_b"), "category", "vector", 64)
     return out.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
@@ -229,7 +232,7 @@ def _(t):
 @query("tx13_cluster_by_category")
 def _(t):
     scaled = n.centred(t.vectors, "vector", 64, scale=True)
-    return n.cross_table(n.clusters(scaled, "vector", 12), "cluster", "category")
+    return n.cross_table(n.clusters(scaled, "vector", 12), "cluster", "category", list(range(10)))
 
 
 @query(

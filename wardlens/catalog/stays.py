@@ -182,7 +182,7 @@ def _(t):
     "ts09_cap_subjects",
     """SELECT * FROM stays WHERE subject_id IN (
          SELECT subject_id FROM (SELECT DISTINCT subject_id FROM stays)
-         ORDER BY (subject_id * 7919 + 42) % 1000003, subject_id LIMIT 100)""",
+         ORDER BY CAST('0x' || substr(md5('42:' || CAST(subject_id AS VARCHAR)), 1, 13) AS BIGINT), subject_id LIMIT 100)""",
 )
 def _(t):
     return s.cap_subjects(t.stays, 100)

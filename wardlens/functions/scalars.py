@@ -87,7 +87,9 @@ def add_hours(at: Column | str, hours: int) -> Column:
 def parse_time(text: Column | str, fmt: str | None = None, strict: bool = False) -> Column:
     """Lenient by default (NULL on bad text); ``strict`` raises instead."""
     fmt_arg = [F.lit(fmt)] if fmt else []
-    return (F.to_timestamp_ntz if strict else F.try_to_timestamp)(_col(text), *fmt_arg)
+    if strict:
+        return F.to_timestamp_ntz(_col(text), *fmt_arg)
+    return F.try_to_timestamp(_col(text), *fmt_arg).cast("timestamp_ntz")
 
 
 def decade(years: Column | str) -> Column:
@@ -224,9 +226,14 @@ def non_empty(*columns: str) -> Column:
 # ---- repeatable order -------------------------------------------------------
 
 
+#: 13 hexadecimal digits, so that the numbers are exact as doubles too.
+MIXED_END = 1 << 52
+
+
 def mixed(key: Column | str, seed: int = 42) -> Column:
-    """Number in [0, 1000003) that looks unrelated to a numeric key and never changes.
+    """Number in [0, MIXED_END) from the md5 of seed and key (of any type), which never changes.
 
     The key breaks ties, so an order by (mixed, key) does not depend on partitioning.
     """
-    return F.pmod(F.pmod(_col(key), F.lit(1000003)) * 7919 + seed, F.lit(1000003))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlens.operators.ordered import exact_percentiles
 
 
-def pivot_counts(df: DataFrame, row: str, column: str, values: list | None = None) -> DataFrame:
+def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Row counts per (row, column) value as a wide table, absent cells 0."""
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 

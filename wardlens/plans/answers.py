@@ -20,8 +20,6 @@ from wardlens.operators.joins import lookup
 from wardlens.operators.ordered import first_rows
 from wardlens.session import cut_lineage
 
-MAX_NAMES = 10_000
-
 Respond = Callable[[DataFrame], DataFrame]
 """Takes (key, prompt, system) rows and returns (key, answer) rows."""
 
@@ -38,12 +36,9 @@ def case_counts(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count_distinct("disease").alias("diseases"), F.count(F.lit(1)).alias("samples"))
 
 
-def class_names(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct names that go into a prompt; more than ``MAX_NAMES`` is an error."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"{column} has more than {MAX_NAMES} values, too many for a prompt")
-    return [r[0] for r in rows]
+def class_names(df: DataFrame, column: str) -> Column:
+    """Sorted distinct names that go into a prompt, as a one-row subquery; nothing reaches the driver."""
+    return df.agg(F.array_sort(F.collect_set(column))).scalar()
 
 
 def relevance(cases: DataFrame) -> DataFrame:
@@ -223,7 +218,7 @@ def first_ranked(text: Column | str, candidates: Column) -> Column:
 
 def narrow_down(
     cases: DataFrame,
-    names: list[str],
+    names: Column,
     list_answers: Respond,
     rank_answers: Respond,
     key: str = "case_id",
@@ -232,7 +227,7 @@ def narrow_down(
 ) -> DataFrame:
     """List likely classes, then rank the first few; one listed class needs no second pass."""
     first = ask_all(
-        with_prompt(cases, "list", classes=", ".join(names), how_many=str(how_many)), list_answers, key
+        with_prompt(cases, "list", classes=F.array_join(names, ", "), how_many=str(how_many)), list_answers, key
     ).select(*cases.columns, F.col("answer").alias("_first"), listed_names("answer").alias("potential"))
     open_cases = with_prompt(
         first.where(F.size("potential") > 1), "rank", candidates=F.array_join(F.slice("potential", 1, branches), ", ")
@@ -296,8 +291,6 @@ def candidate_sets(members: DataFrame, mapping: DataFrame, others: int = 2) -> D
     The first few of the category itself are members anyway, so one shared list serves all rows.
     """
     everyone = cut_lineage(all_members(members, mapping))
-    if everyone.limit(MAX_NAMES + 1).count() > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} category members, too many for a prompt")
     opening = (
         first_rows(everyone, ["category"], ["late", "pos", "name"], others)
         .agg(F.collect_set("disease"))
@@ -328,7 +321,7 @@ def by_category(
 ) -> DataFrame:
     """Predict the category, then the disease among that category's candidates."""
     mapping = category_map(members, cases)
-    names = ", ".join(class_names(mapping, "category"))
+    names = F.array_join(class_names(mapping, "category"), ", ")
     first = ask_all(with_prompt(cases, "category", categories=names), category_answers, key)
     settled = settle_category(first.drop("prompt", "system"), candidate_sets(members, mapping)).drop("answer")
     second = with_prompt(
@@ -359,10 +352,9 @@ def urgency(score: Column | str) -> Column:
 
 
 def severity_scores(answers: DataFrame, baselines: DataFrame, key: str = "case_id") -> DataFrame:
-    """Score named in the answer, else the rounded baseline (half to even)."""
-    score = F.when(
-        F.col("answer").rlike(fv.SEVERITY_PATTERN), F.regexp_extract("answer", fv.SEVERITY_PATTERN, 1).cast("int")
-    ).otherwise(F.bround("baseline").cast("int"))
+    """Score named in the answer, else (also when its number is too long) the rounded baseline, half to even."""
+    stated = F.regexp_extract("answer", fv.SEVERITY_PATTERN, 1).try_cast("int")
+    score = F.coalesce(stated, F.bround("baseline").cast("int"))
     return (
         answers.join(baselines, key)
         .withColumn("severity", score)
@@ -429,10 +421,10 @@ def votes(df: DataFrame, direct: str, chain: str, few_shot: str) -> DataFrame:
 
 
 def confidence_of(name: Column, text: Column) -> Column:
-    """Confidence stated after a name in a text, 50 when none is."""
-    pattern = F.concat(F.lit(r"(?is)\Q"), name, F.lit(r"\E" + fv.CONFIDENCE_TAIL))
-    value = F.call_function("regexp_extract", text, pattern, F.lit(1))
-    return F.when(value != "", value.cast("int")).otherwise(fv.DEFAULT_CONFIDENCE)
+    """Confidence stated after a name in a text, in any case; 50 when none is or its number is too long."""
+    at = F.position(F.lower(name), F.lower(text))
+    value = F.regexp_extract(F.substring(text, at + F.length(name), F.length(text)), "(?is)^" + fv.CONFIDENCE_TAIL, 1)
+    return F.coalesce(F.when(at > 0, value.try_cast("int")), F.lit(fv.DEFAULT_CONFIDENCE))
 
 
 def weigh_votes(voted: DataFrame, confidence_text: str) -> DataFrame:

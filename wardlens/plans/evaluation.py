@@ -122,7 +122,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     ranked = running_totals(_by_score(df, label, score), "threshold", ["neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.agg(
-        F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"),
+        F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wardlens.functions.scalars import age_bin, lenient_number
 from wardlens.operators.ordered import exact_percentiles, null_safe_join, over_all
 from wardlens.operators.shape import (
-    pivot_counts,
     pivot_means,
     trim_outliers,
 )
@@ -19,14 +18,13 @@ from wardlens.session import cut_lineage
 
 def stays_by_hour(icustays: DataFrame, peak: float = 0.9) -> DataFrame:
     """Hour x unit stay counts (0 where absent) with a flag for cells near the largest count."""
-    wide = pivot_counts(
-        icustays.dropna(subset=["icustay_id", "intime", "first_careunit"]).select(
-            F.hour("intime").alias("hour"), "first_careunit"
-        ),
-        "hour",
-        "first_careunit",
+    timed = icustays.dropna(subset=["icustay_id", "intime", "first_careunit"])
+    found = timed.groupBy(F.hour("intime").alias("hour"), "first_careunit").agg(F.count(F.lit(1)).alias("n"))
+    hours = found.agg(F.array_sort(F.collect_set("hour"))).scalar()
+    every = found.select("first_careunit").distinct().select(F.explode(hours).alias("hour"), "first_careunit")
+    cells = every.join(found, ["hour", "first_careunit"], "left").select(
+        "hour", "first_careunit", F.coalesce("n", F.lit(0)).alias("stays")
     )
-    cells = wide.unpivot("hour", [c for c in wide.columns if c != "hour"], "first_careunit", "stays")
     top = over_all(F.max("stays"))
     return cells.withColumn("is_peak", F.col("stays") >= top * F.lit(peak)).orderBy(
         "hour", "first_careunit"

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import completed_years, hours_between, mentions_word, mixed
+from wardlens.functions.scalars import completed_years, hours_between, mentions_word, MIXED_END, mixed
 from wardlens.operators.ordered import smallest_share
 from wardlens.operators.shape import first_present, most_frequent_values, pivot_means
 
 
 def split_rows(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Mark about ``share`` of the rows as test rows; a row's side depends on its key alone."""
-    return df.withColumn("is_test", mixed(key, seed) < F.lit(int(share * 1000003)))
+    return df.withColumn("is_test", mixed(key, seed) < F.lit(int(share * MIXED_END)))
 
 
 def split_stratified(

@@ -18,7 +18,6 @@ from wardlens.operators.ordered import first_rows
 from wardlens.plans.features import shuffled
 
 TOKEN = r"[\p{L}\p{N}]+"
-MAX_GROUPS = 1000
 
 
 # ---- cohorts ----------------------------------------------------------------
@@ -51,7 +50,7 @@ def repeated(cohort: DataFrame) -> DataFrame:
 
 
 def cohort_sizes(notes: DataFrame, diagnoses: DataFrame, cohorts: dict[str, str]) -> DataFrame:
-    """Row counts (with fan-out) of several prefix cohorts, in one pass; empty cohorts have no row."""
+    """Row counts (with fan-out) of several prefix cohorts, in one pass; 0 for an empty cohort."""
     named = F.filter(
         F.array(*[F.when(has_prefix("icd9_code", p), F.lit(n)) for n, p in cohorts.items()]),
         lambda x: x.isNotNull(),
@@ -64,8 +63,14 @@ def cohort_sizes(notes: DataFrame, diagnoses: DataFrame, cohorts: dict[str, str]
     per_note = notes.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("notes"))
     return (
         per_admission.join(per_note, "hadm_id")
+        .select("cohort", (F.col("notes") * F.col("copies")).alias("rows"))
+        .unionByName(
+            notes.sparkSession.range(1).select(
+                F.explode(F.array(*[F.lit(n) for n in cohorts])).alias("cohort"), F.lit(0).cast("bigint").alias("rows")
+            )
+        )
         .groupBy("cohort")
-        .agg(F.sum(F.col("notes") * F.col("copies")).alias("note_rows"))
+        .agg(F.sum("rows").alias("note_rows"))
     )
 
 
@@ -316,30 +321,27 @@ def similarity_to_first(vectors: DataFrame, key: str, vector: str, n: int = 10)
     )
 
 
-def group_similarity(vectors: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
-    """Mean cosine between the members of every two groups, from one vector sum per group.
+def group_similarity(vectors: DataFrame, pairs: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
+    """Mean cosine between the members of two groups, for (group_a, group_b) pairs, from one vector sum per group.
 
     The mean over all pairs equals the dot product of the summed unit vectors over the product of
-    the group sizes, so no pair is formed. Pairs of a vector with itself count, as in a full matrix.
+    the group sizes, so no pair is formed. Pairs of a vector with itself count, as in a full matrix; a zero
+    vector has similarity 0 with all. Pairs that name an unknown group have no row.
     """
     length = norm(F.col(vector))
-    unit = vectors.withColumn("_len", length).where(F.col("_len") > 0)
-    sums = unit.groupBy(F.col(group).alias("g")).agg(
+    sums = vectors.withColumn("_len", length).groupBy(F.col(group).alias("g")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(F.get(F.col(vector), F.lit(i)) / F.col("_len")) for i in range(dims)]).alias("s"),
+        F.array(
+            *[F.sum(F.coalesce(F.try_divide(F.get(F.col(vector), F.lit(i)), F.col("_len")), F.lit(0.0))) for i in range(dims)]
+        ).alias("s"),
     )
-    groups = sums.limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} values, too many for a similarity table")
-    sums = vectors.sparkSession.createDataFrame(groups, sums.schema)
-    others = [
-        F.struct(F.lit(r["g"]).alias("group_b"), F.lit(r["n"]).alias("n_b"), _literal(r["s"]).alias("s_b"))
-        for r in groups
-    ]
+    a = sums.select(F.col("g").alias("group_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    b = sums.select(F.col("g").alias("group_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     return (
-        sums.select(F.col("g").alias("group_a"), "n", "s", F.inline(F.array(*others)))
-        .where(F.col("group_a") <= F.col("group_b"))
-        .select("group_a", "group_b", (dot(F.col("s"), F.col("s_b")) / (F.col("n") * F.col("n_b"))).alias("mean_similarity"))
+        pairs.select("group_a", "group_b")
+        .join(a, "group_a")
+        .join(b, "group_b")
+        .select("group_a", "group_b", (dot(F.col("s_a"), F.col("s_b")) / (F.col("n_a") * F.col("n_b"))).alias("mean_similarity"))
     )
 
 
@@ -379,7 +381,7 @@ def clusters(vectors: DataFrame, columns: list[str] | str, k: int, seed: int = 4
     return model.transform(ready).drop("_v")
 
 
-def cross_table(df: DataFrame, row: str, column: str, values: list | None = None) -> DataFrame:
+def cross_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 

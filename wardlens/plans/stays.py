@@ -257,7 +257,7 @@ def sequence_summary(seq: DataFrame) -> DataFrame:
     )
 
 
-def cap_subjects(df: DataFrame, limit: int = 15000, seed: int = 42) -> DataFrame:
+def cap_subjects(df: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     """All rows of at most ``limit`` subjects, chosen by a repeatable hash order."""
     chosen = (
         df.select("subject_id").distinct().orderBy(mixed("subject_id", seed), "subject_id").limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from wardlens.functions.scalars import strip
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Quotes are doubled inside fields; a field may span lines.
 
     Only tables with free text need ``multi_line``: without it Spark splits large files. NaN in a
@@ -49,20 +49,24 @@ def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
+#: A quoted cell (quotes doubled inside) or a run of other characters up to the next comma or quote.
+QUOTED_OR_PLAIN = r'"(?:[^"]++|"")*+"|[^,"]+'
+
+
 def repair_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rebuild records whose cells were broken by stray quotes.
 
-    All cells of a line are joined into one text, which is then split on commas again. Lines that
+    All cells of a line, however many, are joined into one text, which is then split on commas again. Lines that
     hold the column names are left out; a record with too few parts gets NULLs.
     """
-    cells = [f"c{i}" for i in range(len(columns) * 2)]
-    broken = (
-        spark.read.schema(", ".join(f"{c} string" for c in cells))
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
+    cells = F.regexp_extract_all("value", F.lit(QUOTED_OR_PLAIN), F.lit(0))
+    bare = F.transform(
+        cells,
+        lambda c: F.when(
+            c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
     )
-    text = broken.select(strip(F.concat_ws("", *cells)).alias("_t"))
+    text = spark.read.text(path).select(strip(F.array_join(bare, "")).alias("_t"))
     headers = ["".join(columns).lower(), ",".join(columns).lower()]
     parts = text.where(~F.lower("_t").isin(headers)).select(F.split("_t", ",").alias("_p"))
     return parts.select(*[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(columns)])
