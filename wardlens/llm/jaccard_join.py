@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from wardlens.session import cut_lineage
 
-CELL_BITS, BLOCK_BITS = 20, 14
+CELL_BITS, BLOCK_BITS, MARK_BITS = 18, 14, 20
 #: Shingles of the sets that a task compares with one hub at a time.
 BLOCK_SHINGLES = 400_000
 MEMBERS = 1 << 20
@@ -176,9 +176,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, cells, key: str = "do
     The wanted keys are met through a bitmap of fixed size, so texts that take no part are not shuffled.
     """
     spark = docs.sparkSession
-    cell = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << CELL_BITS))
-    bits = np.zeros(1 << CELL_BITS, bool)
-    bits[[r[0] for r in wanted.select(cell.alias("c")).distinct().collect()]] = True
+    cell = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << MARK_BITS))
+    bits = np.zeros(1 << MARK_BITS, bool)
+    bits[wanted.select(cell.alias("c")).distinct().toArrow().column(0).to_numpy()] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,13 +327,17 @@ def _shared(lists: DataFrame) -> DataFrame:
     """The rows of lists with at least two nodes, with the list's hub (largest ``rank``, then node); one shuffle."""
     dealt = lists.repartition("gid")
     ends = dealt.groupBy("gid").agg(
-        F.min("node").alias("least"), F.max("node").alias("last"), F.max(F.struct("rank", "node"))["node"].alias("hub")
+        F.min("node").alias("least"),
+        F.max("node").alias("last"),
+        F.max(F.struct("rank", "node"))["node"].alias("hub"),
+        (F.count(F.lit(1)) > 2).alias("wide"),
     )
-    return dealt.join(ends.where("least < last").select("gid", "hub"), "gid")
+    return dealt.join(ends.where("least < last").select("gid", "hub", "wide"), "gid")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    return shared.where("node <> hub").select("hub", "node").distinct()
+    """Distinct (hub, node), and whether any of their lists has a third node."""
+    return shared.where("node <> hub").groupBy("hub", "node").agg(F.max("wide").alias("wide"))
 
 
 def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -352,9 +356,10 @@ def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across(tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(pairs: DataFrame, tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 3: the pairs (hub, node) of different components that may still link."""
     component = named.select("node", F.col("component").alias("c"))
+    tried = tried.join(pairs.where("wide").select("hub", "node"), ["hub", "node"])
     placed = tried.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
     several = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     open_stars = tried.join(several.select("hub"), "hub", "left_semi").select("hub", "node", "linked")
@@ -372,12 +377,13 @@ def _across(tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the least ``doc_id`` of their component, with their columns; repeated rows once."""
+    """The documents with the least ``doc_id`` of their component, with their columns.
+
+    Rows with the same doc_id are one document and stay or go together.
+    """
     found = similar_documents(docs, size, percent)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    left = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,10 +405,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     sets = cut_lineage(sets)
     named = None
     if not pairs.isEmpty():
-        tried = cut_lineage(star(pairs, sets, percent))
+        tried = cut_lineage(star(pairs.select("hub", "node"), sets, percent))
         links = tried.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         named = components(links)
-        rest = cut_lineage(_across(tried, named, sets, percent))
+        rest = cut_lineage(_across(pairs, tried, named, sets, percent))
         if not rest.isEmpty():
             found = star(rest, sets, percent).where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
             named = components(cut_lineage(links.unionByName(found)))
