@@ -5,7 +5,8 @@ least ``percent`` / 100. Documents with equal sets are one node. Sets are ordere
 rare to common n-grams (counts of all documents in a table of fixed size; equal counts by hash).
 
 1. Index. Linked sets share an n-gram among the first ``n - ceil(t * n) + 1`` of each, so every node is
-   listed under these only. Most of the lists have one node; the others are divided by set size.
+   listed under these only. Most of the lists have one node; the others are divided by set size. Sets of
+   like size share more than one list, so a node with fewer than any set in a list asks for leaves it.
 2. Star. Each list takes a hub, the node that is in most lists, and all others are compared with it: a block of sets is
    stored as a trie (paths from common to rare n-grams, in sorted order with the depth each shares with the
    path before), the hub's overlap is carried along shared paths, and a subtree is left as soon as the
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.session import cut_lineage
@@ -335,27 +336,64 @@ def _shared(lists: DataFrame) -> DataFrame:
     return dealt.join(ends.where("least < last").select("gid", "hub", "wide"), "gid")
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    """Distinct (hub, node), and whether any of their lists has a third node."""
-    return shared.where("node <> hub").groupBy("hub", "node").agg(F.max("wide").alias("wide"))
-
-
 def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Lists divided by classes of set sizes; linked sets have a class in common.
+    """Lists divided by classes of set sizes, as rows (gid, c, node, n, rank); linked sets have a class in
+    common, and in that class all the lists that they share.
 
     The rank of a node is the number of its lists: of copies with edits of their own, the text that they
     were made from shares most.
     """
     step = log(100 / percent) * 1.001 if percent < 100 else 1e-6
-    class_ = F.floor(F.log("n") / step)
-    facts = nodes.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("rank")), "node").select("node", "rank", class_.alias("c"))
+    own = F.floor(F.log("n") / step)
+    facts = nodes.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("rank")), "node").select("node", "n", "rank", own.alias("own"))
     return (
         shared.select("gid", "node")
         .join(facts, "node")
-        .select("node", "rank", F.explode(F.array(F.xxhash64("gid", "c"), F.xxhash64("gid", F.col("c") + 1))).alias("gid"))
+        .select("gid", "node", "n", "rank", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("c"))
+        .select(F.xxhash64("gid", "c").alias("gid"), "c", "node", "n", "rank")
     )
 
 
+def _least_shared(n: Column, other: Column, percent: int) -> Column:
+    """How many n-grams the prefixes of linked sets of these sizes have in common at least.
+
+    Sets with o common elements share k of them among the first n - o + k of each, in any one order.
+    """
+    wanted = F.ceil((n + other) * percent / F.lit(100 + percent) - 1e-9)
+    return 1 + wanted - F.ceil(F.greatest(n, other) * percent / F.lit(100) - 1e-9)
+
+
+def _viable(lists: DataFrame, percent: int) -> DataFrame:
+    """Without the rows whose node shares too few lists to link with any set of the sizes in that list."""
+    dealt = lists.repartition("gid")
+    ends = dealt.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("a"), F.max("node").alias("b"))
+    several = dealt.join(ends.where("a < b").drop("a", "b"), "gid")
+    counted = several.groupBy("node", "c").agg(F.count(F.lit(1)).alias("lists"))
+    n = F.col("n")
+    smaller = F.greatest(F.col("lo"), F.ceil(n * percent / F.lit(100) - 1e-9))
+    larger = F.least(F.col("hi"), F.floor(n * 100 / F.lit(percent) + 1e-9))
+    # For larger sets the bound falls with the size but for roundings, which are worth one.
+    least = F.least(_least_shared(n, smaller, percent), _least_shared(n, larger, percent) - 1)
+    return several.join(counted, ["node", "c"]).where(F.col("lists") >= least).select(*lists.columns)
+
+
+def _able_to_link(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (hub, node) of the lists, and whether any has a third node; without those that cannot link: their lists are theirs alone, and too few.
+
+    What two nodes share is at most the lists of the two alone and the wide lists that either is in.
+    """
+    sizes = nodes.select("node", "n")
+    wide = shared.where("wide").groupBy("node", "c").agg(F.count(F.lit(1)).alias("w"))
+    both = shared.where("node <> hub").groupBy("hub", "node", "c").agg(F.count(F.lit(1)).alias("lists"), F.max("wide").alias("wide"))
+    both = both.join(wide, ["node", "c"], "left")
+    both = both.join(wide.select(F.col("node").alias("hub"), "c", F.col("w").alias("hub_w")), ["hub", "c"], "left")
+    both = both.join(sizes, "node").join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
+    upto = F.col("lists") + F.least(F.coalesce("w", F.lit(0)), F.coalesce("hub_w", F.lit(0)))
+    like = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    able = F.col("wide") | (like & (upto >= _least_shared(F.col("n"), F.col("hub_n"), percent)))
+    return both.where(able).groupBy("hub", "node").agg(F.max("wide").alias("wide"))
+
+
 def _across(pairs: DataFrame, tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 3: the pairs (hub, node) of different components that may still link."""
     component = named.select("node", F.col("component").alias("c"))
@@ -398,7 +436,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     nodes = cut_lineage(scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n")))
     lists = prefixes(docs, size, percent, cells, text).withColumn("rank", F.lit(0))
     shared = cut_lineage(_shared(lists).select("gid", "node").distinct())
-    pairs = cut_lineage(_stars(_shared(_by_size(shared, nodes, percent))))
+    classed = cut_lineage(_viable(_by_size(shared, nodes, percent), percent))
+    pairs = cut_lineage(_able_to_link(cut_lineage(_shared(classed)), nodes, percent))
     taking_part = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = taking_part.join(nodes, "node").select("key")
     sets = sets_of(docs, wanted, size, cells, key, text).join(taking_part, "node", "left_semi").dropDuplicates(["node"])
