@@ -13,10 +13,10 @@ rare to common n-grams (counts of all documents in a table of fixed size; equal
    n-grams that remain cannot reach the wanted overlap.
 3. Rest. Two nodes of a list that both link to its hub are connected already. If x does not link to hub h
    but to y, the differences of x and y from h have an element in common, more than half of those of y
-   even. So where the members of a star are of several components, they are listed under a prefix of
-   their differences, and an x that did not link to the hub is compared with the nodes of other
-   components in its lists, as far as the sizes of the differences and the places of the shared element
-   leave room for the elements that must be in common.
+   even. So where the members of a list are of several components, and share lists enough to link, they
+   are listed under a prefix of their differences, and an x that did not link to the hub is compared with
+   the nodes of other components in its lists, as far as the sizes of the differences and the places of
+   the shared element leave room for the elements that must be in common.
 
 No link between components is lost, and a large group of copies or near copies costs a comparison with few
 hubs per member instead of one per pair. Members are compared in blocks of bounded size.
@@ -394,13 +394,18 @@ def _able_to_link(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return both.where(able).groupBy("hub", "node").agg(F.max("wide").alias("wide"))
 
 
-def _across(pairs: DataFrame, tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 3: the pairs (hub, node) of different components that may still link."""
-    component = named.select("node", F.col("component").alias("c"))
-    tried = tried.join(pairs.where("wide").select("hub", "node"), ["hub", "node"])
-    placed = tried.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    several = placed.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    open_stars = tried.join(several.select("hub"), "hub", "left_semi").select("hub", "node", "linked")
+def _across(listed: DataFrame, tried: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 3: the pairs (hub, node) of different components that may still link.
+
+    Two nodes that were not compared share only lists of which neither is the hub, so only such lists with
+    nodes of several components count.
+    """
+    component = named.select("node", F.col("component").alias("p"))
+    members = listed.where("wide AND node <> hub").join(component, "node", "left").withColumn("p", F.coalesce("p", "node"))
+    several = members.groupBy("gid").agg(F.min("p").alias("least"), F.max("p").alias("last")).where("least < last").select("gid")
+    left = _viable(members.join(several, "gid", "left_semi"), percent)
+    open_stars = cut_lineage(tried.join(left.select("hub", "node").distinct(), ["hub", "node"]).select("hub", "node", "linked"))
+    component = component.withColumnRenamed("p", "c")
     lists = differences(open_stars, sets, percent).join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
     dealt = lists.repartition("gid")
     mixed = dealt.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
@@ -437,7 +442,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
     lists = prefixes(docs, size, percent, cells, text).withColumn("rank", F.lit(0))
     shared = cut_lineage(_shared(lists).select("gid", "node").distinct())
     classed = cut_lineage(_viable(_by_size(shared, nodes, percent), percent))
-    pairs = cut_lineage(_able_to_link(cut_lineage(_shared(classed)), nodes, percent))
+    listed = cut_lineage(_shared(classed))
+    pairs = cut_lineage(_able_to_link(listed, nodes, percent))
     taking_part = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = taking_part.join(nodes, "node").select("key")
     sets = sets_of(docs, wanted, size, cells, key, text).join(taking_part, "node", "left_semi").dropDuplicates(["node"])
@@ -447,7 +453,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: st
         tried = cut_lineage(star(pairs.select("hub", "node"), sets, percent))
         links = tried.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         named = components(links)
-        rest = cut_lineage(_across(pairs, tried, named, sets, percent))
+        rest = cut_lineage(_across(listed, tried, named, sets, percent))
         if not rest.isEmpty():
             found = star(rest, sets, percent).where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
             named = components(cut_lineage(links.unionByName(found)))
