@@ -88,9 +88,11 @@ class Overlap:
     def difference_prefix(self, size: int, own: int, hub: int, linked: bool) -> int:
         """How many elements of a difference of this size must be listed (see step 3)."""
         apart = (1 - self.t) / (1 + self.t)
-        least = floor((size - apart * max(0, own - hub)) / 2) + 1
-        if not linked:
-            least = min(least, max(1, ceil(size - apart * (own + own / self.t))))
+        # What two linked sets differ in is all that their differences from the hub need not share.
+        least = ceil(size - apart * (own + own / self.t))
+        if linked:
+            # The other set did not link to the hub, so it is nearer to this one than to the hub.
+            least = max(least, floor((size - apart * max(0, own - hub)) / 2) + 1)
         return size - max(1, least) + 1
 
 
