@@ -20,10 +20,12 @@ their rows are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.native import BLANKS, indexes, let, words
+from wardlens.llm.native import BLANKS, let, words
 from wardlens.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -37,36 +39,52 @@ CHI_MEDIAN = 4.3515
 PER_UNIT, PER_E = 64, 32
 
 
+#: Bits that hold the index of a window in its array.
+INDEX_BITS = 31
+
+
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """Characters of a class, counted by taking out the runs of all others."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def repeated_words(word_list: Column, size: int = WINDOW) -> Column:
-    """How many words lie in a window of ``size`` words that the text has twice or more."""
+    """How many words lie in a window of ``size`` words that the text has twice or more.
+
+    Leading hash bits and index are sorted as one number; only neighbours that agree in these bits are
+    compared by whole hash.
+    """
+
+    def beside(xs: Column, x: Column, i: Column, part: Callable[[Column], Column]) -> Column:
+        return F.coalesce(part(x) == part(F.get(xs, i - 1)), F.lit(False)) | F.coalesce(part(x) == part(F.get(xs, i + 1)), F.lit(False))
+
+    def alike(grams: Column) -> Column:
+        packed = F.sort_array(F.transform(grams, lambda h, i: F.shiftleft(h, INDEX_BITS).bitwiseOR(i.cast("bigint"))))
+        near = let(packed, lambda xs: F.filter(xs, lambda x, i: beside(xs, x, i, lambda y: F.shiftright(y, INDEX_BITS))))
+        index = F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << INDEX_BITS) - 1)).cast("int"))
+        return F.sort_array(F.transform(index, lambda i: F.struct(F.get(grams, i).alias("h"), i.alias("i"))))
+
+    def spread(pairs: Column) -> Column:
+        again = F.filter(pairs, lambda x, i: beside(pairs, x, i, lambda y: y["h"]))
+        return let(
+            F.sort_array(F.transform(again, lambda x: x["i"])),
+            lambda at: F.aggregate(
+                F.transform(at, lambda p, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - p, F.lit(size)))),
+                F.lit(0),
+                lambda a, b: a + b,
+            ),
+        )
 
     def covered(grams: Column) -> Column:
-        def spread(pairs: Column) -> Column:
-            again = F.filter(
-                pairs,
-                lambda x, i: F.coalesce(x["h"] == F.get(pairs, i - 1)["h"], F.lit(False))
-                | F.coalesce(x["h"] == F.get(pairs, i + 1)["h"], F.lit(False)),
-            )
-            return let(
-                F.sort_array(F.transform(again, lambda x: x["i"])),
-                lambda at: F.aggregate(
-                    F.transform(at, lambda p, j: F.least(F.lit(size), F.coalesce(F.get(at, j + 1) - p, F.lit(size)))),
-                    F.lit(0),
-                    lambda a, b: a + b,
-                ),
-            )
-
-        numbered = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(numbered, spread))
-
-    def grams(ws: Column) -> Column:
-        return F.transform(indexes(F.size(ws) - size + 1), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(size)]))
-
-    return let(word_list, lambda ws: let(grams(ws), covered))
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(alike(grams), spread))
+
+    def grams(hashes: Column) -> Column:
+        mixed = hashes
+        for j in range(1, size):
+            mixed = F.zip_with(mixed, F.slice(hashes, j + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+        return F.slice(mixed, 1, F.greatest(F.size(hashes) - size + 1, F.lit(0)))
+
+    return let(F.transform(word_list, lambda w: F.xxhash64(w)), lambda hashes: let(grams(hashes), covered))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -77,19 +95,24 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    word_facts = let(words(F.col(text)), lambda ws: F.struct(F.size(ws).alias("n"), repeated_words(ws).alias("repeated")))
+    word_facts = let(
+        words(F.col(text)),
+        lambda ws: F.struct(
+            F.size(ws).alias("n"), repeated_words(ws).alias("repeated"), F.length(F.array_join(ws, "")).alias("chars")
+        ),
+    )
     line_facts = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), F.size(F.array_distinct(ls)).alias("d")))
     counted = docs.withColumns(
         {
             "_w": word_facts,
             "_l": line_facts,
-            "word_chars": (F.length(whole) - _count(whole, BLANKS)).cast("bigint"),
             "n_symbols": _count(whole, SYMBOLS).cast("bigint"),
-            "_upper": _count(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "_upper": _count(whole, "A-Z"),
         }
     ).withColumns(
         {
             "n_words": F.col("_w.n").cast("bigint"),
+            "word_chars": F.col("_w.chars").cast("bigint"),
             "n_dup_lines": (F.col("_l.n") - F.col("_l.d")).cast("bigint"),
             "n_repeat_words": F.col("_w.repeated").cast("bigint"),
         }
