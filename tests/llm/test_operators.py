@@ -143,6 +143,23 @@ def test_outliers_of_their_group_are_rejected(spark):
     assert kept == {i for i, *_ in clean}
 
 
+def test_rows_of_small_groups_are_compared_with_larger_ones(spark):
+    """Every source is small; language "fr" is small too, so only all rows can judge it."""
+    made = [(prose(60 + i % 40) + ".", "fr" if i % 20 == 0 else ["en", "de", None][i % 3], f"s{i % 23}") for i in range(200)]
+    junk = [(" ".join(w + "$$$ %%%" for w in prose(50).split()), lang, f"junk{i}") for i, lang in enumerate(["en", "de", None, "fr"])]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(made + junk)], "doc_id long, text string, lang string, source string")
+    rows = quality.statistics(table).select("doc_id", "lang", "source", "base_failed", *quality.STATS)
+    got = by_id(quality.judged(rows, quality.estimate(rows)))
+    assert all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == set(range(200, 204))
+    assert {r.doc_id for r in quality.kept_documents(table).collect()} == set(range(200))
+    large = table.where("doc_id < 200").withColumn("source", F.lit("s"))
+    both = quality.statistics(large.unionAll(table.where("doc_id >= 200"))).select(*rows.columns)
+    own = {r.group for r in quality.estimate(both).select("group").collect()}
+    assert own == {*('{"lang":%s,"source":"s"}' % x for x in ('"en"', '"de"', "null")), *('{"lang":%s}' % x for x in ('"en"', '"de"', "null")), "{}"}
+    assert quality.judged(both, quality.estimate(both)).where("NOT kept").count() == 4
+
+
 def test_similar_documents_equal_all_pairs(spark, docs):
     base = prose(150).split()
     family = []

@@ -13,9 +13,11 @@ task. A small variance is added to each statistic (``FLOORS``): most texts have
 line at all, and one such mark in a text must not make it an outlier. The distance counts only for
 statistics on their bad side where that side is one (see ``statistics``).
 
+A group of fewer than ``min_rows`` rows that pass the base rules has no estimate of its own: its rows are
+compared with that of their language over all sources, or of all rows where the language has too few as well.
+
 Defined results: NULL texts have no words, so they fail the base rules; NULL languages and sources form
-groups like others; groups of fewer than ``min_rows`` rows that pass the base rules give no estimate, and
-their rows are kept.
+groups like others; there is no distance only where no row at all passes the base rules.
 """
 
 from __future__ import annotations
@@ -133,8 +135,31 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_w", "_l", "_upper")
 
 
-def _group() -> Column:
-    return F.to_json(F.struct(F.col("lang"), F.col("source")), {"ignoreNullFields": "false"})
+#: Columns of the groups that can give a row its estimate, nearest first.
+LEVELS = (["lang", "source"], ["lang"], [])
+
+
+def _group(level: list[str]) -> Column:
+    if not level:
+        return F.lit("{}")
+    return F.to_json(F.struct(*[F.col(c) for c in level]), {"ignoreNullFields": "false"})
+
+
+def _in_groups(rows: DataFrame, min_rows: int) -> DataFrame:
+    """(group, statistics) of the rows that pass the base rules, once for each group whose estimate some row needs."""
+    own, lang, whole = (_group(level) for level in LEVELS)
+    sizes = rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    sizes = cut_lineage(sizes.select(own.alias("own"), lang.alias("lang_group"), "n"))
+    langs = sizes.groupBy("lang_group").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least"))
+    few = langs.agg(F.coalesce(F.min("lang_n") < min_rows, F.lit(False)).alias("few"))
+    wanted = F.array(
+        F.when(F.col("n") >= min_rows, F.col("own")),
+        F.when((F.col("least") < min_rows) & (F.col("lang_n") >= min_rows), F.col("lang_group")),
+        F.when(F.col("few"), whole),
+    )
+    groups = sizes.join(langs, "lang_group").crossJoin(few).select("own", F.array_compact(wanted).alias("groups"))
+    good = rows.where("NOT base_failed").select(own.alias("own"), *STATS)
+    return good.join(cut_lineage(groups), "own").select(F.explode("groups").alias("group"), *STATS)
 
 
 def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -186,14 +211,14 @@ def _distance_bin() -> Column:
 
 
 def estimate(rows: DataFrame, steps: int = 2, min_rows: int = 30) -> DataFrame:
-    """Estimates per language and source from rows of ``statistics``: group, m_j, c_j, scale.
+    """Estimates per group of ``LEVELS`` that some row needs, from rows of ``statistics``: group, m_j, c_j, scale.
 
     ``rows`` is read several times: pass a written table of narrow columns.
     """
-    good = rows.where("NOT base_failed").select(_group().alias("group"), *STATS)
+    good = _in_groups(rows, min_rows)
     long = good.select("group", F.posexplode(F.array(*STATS)).alias("j", "x"))
     counts = long.groupBy("group", "j", F.floor(F.col("x") * PER_UNIT).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spread = _quantile_bins(counts, ["group", "j"], {"q1": 0.25, "q2": 0.5, "q3": 0.75}).where(F.col("rows") >= min_rows)
+    spread = _quantile_bins(counts, ["group", "j"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     floors = F.array(*[F.lit(v) for v in FLOORS.values()])
     start = spread.groupBy("group").agg(
         *[F.max(F.when(F.col("j") == j, (F.col("q2") + 0.5) / PER_UNIT)).alias(f"m_{j}") for j in range(len(STATS))],
@@ -221,13 +246,21 @@ def estimate(rows: DataFrame, steps: int = 2, min_rows: int = 30) -> DataFrame:
 
 
 def judged(rows: DataFrame, estimates: DataFrame, cutoff: float = 15.0) -> DataFrame:
-    """Add ``distance`` (NULL without an estimate) and ``kept`` to rows that have the statistics."""
-    found = rows.withColumn("group", _group()).join(estimates, "group", "left")
+    """Add ``distance`` and ``kept`` to rows that have the statistics; the nearest level with an estimate counts."""
+    names = [c for c in estimates.columns if c != "group"]
+    estimates = cut_lineage(estimates.select("group", F.struct(*names).alias("est")))
+    found = rows
+    for i, level in enumerate(LEVELS):
+        at = estimates.select(F.col("group").alias(f"group_{i}"), F.col("est").alias(f"est_{i}"))
+        found = found.withColumn(f"group_{i}", _group(level)).join(at, f"group_{i}", "left")
+    near = F.coalesce(*[F.col(f"est_{i}") for i in range(len(LEVELS))])
+    found = found.withColumn("est", near).drop(*[f"{p}_{i}" for p in ("group", "est") for i in range(len(LEVELS))])
+    found = found.withColumns({c: F.col(f"est.{c}") for c in names}).drop("est")
     scaled = _with_distance(found, "distance", one_sided=True).withColumn(
         "distance", F.col("distance") / F.greatest(F.col("scale"), F.lit(1.0))
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return scaled.withColumn("kept", kept).drop("group", "scale", *[f"{p}_{j}" for p in "mc" for j in range(len(STATS))])
+    return scaled.withColumn("kept", kept).drop("scale", *[f"{p}_{j}" for p in "mc" for j in range(len(STATS))])
 
 
 def kept_documents(docs: DataFrame, cutoff: float = 15.0) -> DataFrame:
