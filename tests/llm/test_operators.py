@@ -222,6 +222,16 @@ def test_lines_that_recur_are_dropped_after_the_first_document(spark, docs):
     assert line_templates.documents_with_new_lines(docs.limit(0)).count() == 0
 
 
+def test_long_lines_of_two_documents_are_dropped(spark):
+    long, tabs, short = prose(50), "\t".join(prose(60).split()), prose(49)
+    texts = [f"{prose(9)}\n{long}\n{tabs}\n{short}", f"{short}\n{long} \n{prose(8)}\n{tabs}", prose(50)]
+    rows = spark.createDataFrame([*enumerate(texts), (3, prose(50) + "\n" + texts[2]), (3, texts[2])], "doc_id long, text string")
+    got = {(r.doc_id, r.text, r.n) for r in line_templates.drop_recurring_lines(rows, removed="n").collect()}
+    _, _, kept, _ = texts[1].split("\n")
+    fourth = rows.where("doc_id = 3").first().text.split("\n")[0]
+    assert got == {(0, texts[0], 0), (1, f"{short}\n{kept}", 2), (2, texts[2], 0), (3, fourth, 1), (3, "", 1)}
+
+
 def test_packing(spark):
     sizes = [random.choice([1, 3, 60, 200, 500, 700, 1500, 4095, 4096, 9000]) for _ in range(400)] + [0, None]
     rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")

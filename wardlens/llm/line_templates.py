@@ -5,12 +5,15 @@ tokens that hold a digit as ``<*>``. Within a leaf a line is a row of fields (it
 ``FIELDS`` runs of tokens). A field value that fewer than ``min_docs`` documents show at its place is
 variable and generalised to ``<*>``; what remains is the line's template. A template counts when at least
 ``similarity`` of its fields are constant. Templates that occur in ``min_docs`` documents or more are
-recurring: their lines stay in the document with the least ``doc_id`` and are dropped from all others.
+recurring: their lines stay in the document with the least ``doc_id`` and are dropped from all others. A line
+that is the same (but for blanks at its ends) in that many documents recurs whatever its leaf holds; for a line
+of ``long_words`` words or more two documents are enough.
 
 Only hashes of lines and fields are shuffled and counted; a common line is one row per document, combined
 before the shuffle. The texts move once, to meet their list of dropped lines.
 
-Defined results: NULL texts stay NULL; lines of fewer than ``min_tokens`` tokens are never dropped; rows with
+Defined results: NULL texts stay NULL; lines of fewer than ``min_tokens`` tokens are never dropped (unless they
+have ``long_words`` words, parted by tabs); rows with
 the same doc_id are one document; a document that loses all its lines has an empty text.
 """
 
@@ -19,21 +22,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.native import BLANKS, hidden, let
+from wardlens.llm.native import BLANKS, hidden, let, words
 from wardlens.session import cut_lineage
 
 FIELDS = 8
 VARIABLE = r"\S*[0-9]\S*"
 
 
-def _line_facts(line: Column, depth: int) -> Column:
-    """struct(n tokens, leaf, line hash, field hashes) of a line."""
+def _trimmed(text: Column) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
+
+
+def _line_facts(line: Column, depth: int, long_words: int) -> Column:
+    """struct(n tokens, whether long, leaf, line hash, field hashes) of a trimmed line."""
+    # So many words have as many characters and a blank between any two.
+    long = F.when(F.length(line) >= 2 * long_words - 1, F.size(words(line)) >= long_words).otherwise(False)
 
     def facts(tokens: Column) -> Column:
         n = F.size(tokens)
         width = F.ceil(n / FIELDS).cast("int")
         return F.struct(
             n.alias("n"),
+            long.alias("long"),
             F.xxhash64(n, F.slice(tokens, F.lit(1), F.lit(depth))).alias("leaf"),
             F.xxhash64(line).alias("line"),
             F.transform(
@@ -42,17 +52,20 @@ def _line_facts(line: Column, depth: int) -> Column:
             ).alias("fields"),
         )
 
-    return let(F.split(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), VARIABLE, "<*>"), " ", -1), facts)
+    return let(F.split(F.regexp_replace(line, VARIABLE, "<*>"), " ", -1), facts)
 
 
 def recurring_lines(
-    docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.6, min_tokens: int = 3
+    docs: DataFrame, min_docs: int = 3, depth: int = 4, similarity: float = 0.6, min_tokens: int = 3, long_words: int = 50
 ) -> DataFrame:
-    """(doc_id, lines): hashes of the lines that a document loses."""
-    lines = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    facts = F.filter(F.transform(lines, lambda x: _line_facts(x, depth)), lambda f: f["n"] >= min_tokens)
-    shown = cut_lineage(docs.select("doc_id", F.inline(facts)).drop("n"))
-    counted = shown.groupBy("leaf", "line", "fields").agg(F.count(F.lit(1)).alias("docs"))
+    """(doc_id, lines): hashes of the lines, without blanks at their ends, that a document loses."""
+    lines = F.array_distinct(_trimmed(F.coalesce("text", F.lit(""))))
+    facts = F.transform(lines, lambda x: _line_facts(x, depth, long_words))
+    shown = cut_lineage(docs.select("doc_id", F.inline(F.filter(facts, lambda f: f["long"] | (f["n"] >= min_tokens)))))
+    counted = shown.groupBy("leaf", "line", "fields", "long", "n").agg(F.count(F.lit(1)).alias("docs"))
+    wanted = F.when(F.col("long"), F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs))
+    exact = counted.select("leaf", "line", F.col("line").alias("template"), wanted.alias("wanted"), "docs").where("docs >= wanted")
+    counted = counted.where(F.col("n") >= min_tokens).drop("long", "n")
     busy = counted.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs)
     busy_lines = cut_lineage(counted.join(busy.select("leaf"), "leaf"))
     fields = busy_lines.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
@@ -68,16 +81,17 @@ def recurring_lines(
             F.bit_xor(F.when(F.col("constant") == 1, F.xxhash64("at", "field")).otherwise(F.xxhash64("at"))).alias("template"),
         )
         .where(F.col("constants") >= F.col("n") * similarity)
-        .select("leaf", "line", "template")
+        .select("leaf", "line", "template", F.lit(min_docs).alias("wanted"))
+        .unionByName(exact.drop("docs"))
     )
     placed = cut_lineage(shown.select("doc_id", "leaf", "line").join(templates, ["leaf", "line"]))
     recurring = (
-        placed.select("doc_id", "leaf", "template")
+        placed.select("doc_id", "leaf", "template", "wanted")
         .distinct()
         .groupBy("leaf", "template")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
-        .where(F.col("docs") >= min_docs)
-        .drop("docs")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("wanted").alias("wanted"))
+        .where(F.col("docs") >= F.col("wanted"))
+        .drop("docs", "wanted")
     )
     dropped = placed.join(recurring, ["leaf", "template"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return dropped.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
@@ -90,7 +104,7 @@ def drop_recurring_lines(docs: DataFrame, removed: str | None = None, **options)
     found = found.select(F.col("doc_id").alias(f"{lost}_id"), F.col("lines").alias(lost))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found[f"{lost}_id"]), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x: ~F.array_contains(F.col(lost), F.xxhash64(x)))
+    left = F.filter(lines, lambda x: ~F.array_contains(F.col(lost), F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
     columns = {c: F.col(c) for c in docs.columns}
     columns["text"] = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
     if removed:
