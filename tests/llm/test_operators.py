@@ -232,6 +232,17 @@ def test_long_lines_of_two_documents_are_dropped(spark):
     assert got == {(0, texts[0], 0), (1, f"{short}\n{kept}", 2), (2, texts[2], 0), (3, fourth, 1), (3, "", 1)}
 
 
+def test_long_lines_are_generalised_token_by_token(spark):
+    """Four varying words, far from each other, in 80."""
+    line = prose(80).split()
+    changed = [[f"new{chr(97 + i)}{w}" if j in (15, 35, 55, 75) else w for j, w in enumerate(line)] for i in range(4)]
+    texts = [prose(7) + "\n" + " ".join(c) for c in changed] + [" ".join([*line[:4], *prose(76).split()])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(line_templates.drop_recurring_lines(rows, removed="n"))
+    assert [got[i].n for i in range(5)] == [0, 1, 1, 1, 0]
+    assert [got[i].text for i in (1, 2, 3)] == [texts[i].split("\n")[0] for i in (1, 2, 3)]
+
+
 def test_packing(spark):
     sizes = [random.choice([1, 3, 60, 200, 500, 700, 1500, 4095, 4096, 9000]) for _ in range(400)] + [0, None]
     rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")

@@ -1,16 +1,17 @@
 """Line dedup with a log-template tree (DataFrame functions only).
 
 A line's path in the tree has a fixed depth: its number of tokens, then its first ``depth`` tokens, with
-tokens that hold a digit as ``<*>``. Within a leaf a line is a row of fields (its tokens; a long line has
-``FIELDS`` runs of tokens). A field value that fewer than ``min_docs`` documents show at its place is
-variable and generalised to ``<*>``; what remains is the line's template. A template counts when at least
-``similarity`` of its fields are constant. Templates that occur in ``min_docs`` documents or more are
+tokens that hold a digit as ``<*>``. Within a leaf a line is a row of tokens. A token that fewer than
+``min_docs`` documents show at its place is variable and generalised to ``<*>``; what remains is the line's template. A template counts when at least
+``similarity`` of its tokens are constant. Templates that occur in ``min_docs`` documents or more are
 recurring: their lines stay in the document with the least ``doc_id`` and are dropped from all others. A line
 that is the same (but for blanks at its ends) in that many documents recurs whatever its leaf holds; for a line
 of ``long_words`` words or more two documents are enough.
 
-Only hashes of lines and fields are shuffled and counted; a common line is one row per document, combined
-before the shuffle. The texts move once, to meet their list of dropped lines.
+Only hashes of lines and tokens are shuffled and counted; a common line is one row per document, combined
+before the shuffle. Tokens are taken, in a second pass over the texts, only from distinct lines of leaves that
+hold ``min_docs`` rows and more than one distinct line: elsewhere there is nothing to generalise. The texts move
+once, to meet their list of dropped lines.
 
 Defined results: NULL texts stay NULL; lines of fewer than ``min_tokens`` tokens are never dropped (unless they
 have ``long_words`` words, parted by tabs); rows with
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from wardlens.llm.native import BLANKS, hidden, let, words
 from wardlens.session import cut_lineage
 
-FIELDS = 8
 VARIABLE = r"\S*[0-9]\S*"
 
 
@@ -34,25 +34,23 @@ def _trimmed(text: Column) -> Column:
 
 
 def _line_facts(line: Column, depth: int, long_words: int) -> Column:
-    """struct(n tokens, whether long, leaf, line hash, field hashes) of a trimmed line."""
+    """struct(n tokens, whether long, leaf, line hash, masked line) of a trimmed line."""
     # So many words have as many characters and a blank between any two.
     long = F.when(F.length(line) >= 2 * long_words - 1, F.size(words(line)) >= long_words).otherwise(False)
 
-    def facts(tokens: Column) -> Column:
-        n = F.size(tokens)
-        width = F.ceil(n / FIELDS).cast("int")
-        return F.struct(
-            n.alias("n"),
-            long.alias("long"),
-            F.xxhash64(n, F.slice(tokens, F.lit(1), F.lit(depth))).alias("leaf"),
-            F.xxhash64(line).alias("line"),
-            F.transform(
-                F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1),
-                lambda i: F.xxhash64(F.slice(tokens, i * width + 1, width)),
-            ).alias("fields"),
+    def facts(masked: Column) -> Column:
+        return let(
+            F.split(masked, " ", -1),
+            lambda tokens: F.struct(
+                F.size(tokens).alias("n"),
+                long.alias("long"),
+                F.xxhash64(F.size(tokens), F.slice(tokens, F.lit(1), F.lit(depth))).alias("leaf"),
+                F.xxhash64(line).alias("line"),
+                masked.alias("masked"),
+            ),
         )
 
-    return let(F.split(F.regexp_replace(line, VARIABLE, "<*>"), " ", -1), facts)
+    return let(F.regexp_replace(line, VARIABLE, "<*>"), facts)
 
 
 def recurring_lines(
@@ -61,13 +59,19 @@ def recurring_lines(
     """(doc_id, lines): hashes of the lines, without blanks at their ends, that a document loses."""
     lines = F.array_distinct(_trimmed(F.coalesce("text", F.lit(""))))
     facts = F.transform(lines, lambda x: _line_facts(x, depth, long_words))
-    shown = cut_lineage(docs.select("doc_id", F.inline(F.filter(facts, lambda f: f["long"] | (f["n"] >= min_tokens)))))
-    counted = shown.groupBy("leaf", "line", "fields", "long", "n").agg(F.count(F.lit(1)).alias("docs"))
+    found = docs.select("doc_id", F.inline(F.filter(facts, lambda f: f["long"] | (f["n"] >= min_tokens))))
+    shown = cut_lineage(found.drop("masked"))
+    counted = cut_lineage(shown.groupBy("leaf", "line", "long", "n").agg(F.count(F.lit(1)).alias("docs")))
     wanted = F.when(F.col("long"), F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs))
     exact = counted.select("leaf", "line", F.col("line").alias("template"), wanted.alias("wanted"), "docs").where("docs >= wanted")
-    counted = counted.where(F.col("n") >= min_tokens).drop("long", "n")
-    busy = counted.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs)
-    busy_lines = cut_lineage(counted.join(busy.select("leaf"), "leaf"))
+    rows_of = counted.where(F.col("n") >= min_tokens).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("distinct"))
+    busy = cut_lineage(rows_of.where((F.col("all") >= min_docs) & (F.col("distinct") > 1)).select("leaf"))
+    busy_lines = cut_lineage(
+        found.select("leaf", "line", "masked")
+        .join(busy, "leaf", "left_semi")
+        .groupBy("leaf", "line", F.transform(F.split("masked", " ", -1), lambda x: F.xxhash64(x)).alias("fields"))
+        .agg(F.count(F.lit(1)).alias("docs"))
+    )
     fields = busy_lines.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
     constant = (
         fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
