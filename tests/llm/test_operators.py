@@ -243,6 +243,18 @@ def test_long_lines_are_generalised_token_by_token(spark):
     assert [got[i].text for i in (1, 2, 3)] == [texts[i].split("\n")[0] for i in (1, 2, 3)]
 
 
+def test_lines_of_masked_tokens_have_no_template(spark):
+    """Table rows differ in three documents; only what is the same, or has words enough, recurs."""
+    texts = [f"{i}2 03 20{i}4\nTotal {i} {i}5 7{i} {i}\n11 22 33\nit rose by {i} per cent" for i in range(4)]
+    rows = spark.createDataFrame([*enumerate(texts), (4, "41 5 6\n7 8 9")], "doc_id long, text string")
+    got = by_id(line_templates.drop_recurring_lines(rows, removed="n"))
+    assert got[0].text == texts[0] and got[4].text == "41 5 6\n7 8 9"
+    for i in range(1, 4):
+        assert (got[i].text, got[i].n) == ("\n".join(texts[i].split("\n")[:2]), 2)
+    assert line_templates.documents_with_new_lines(rows).count() == 5
+    assert line_templates.drop_recurring_lines(rows, removed="n", similarity=0.0).where("doc_id = 4").first().n == 0
+
+
 def test_packing(spark):
     sizes = [random.choice([1, 3, 60, 200, 500, 700, 1500, 4095, 4096, 9000]) for _ in range(400)] + [0, None]
     rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")

@@ -3,7 +3,7 @@
 A line's path in the tree has a fixed depth: its number of tokens, then its first ``depth`` tokens, with
 tokens that hold a digit as ``<*>``. Within a leaf a line is a row of tokens. A token that fewer than
 ``min_docs`` documents show at its place is variable and generalised to ``<*>``; what remains is the line's template. A template counts when at least
-``similarity`` of its tokens are constant. Templates that occur in ``min_docs`` documents or more are
+``similarity`` of its tokens, and one at least, are constant; ``<*>`` is none, whatever stands behind it. Templates that occur in ``min_docs`` documents or more are
 recurring: their lines stay in the document with the least ``doc_id`` and are dropped from all others. A line
 that is the same (but for blanks at its ends) in that many documents recurs whatever its leaf holds; for a line
 of ``long_words`` words or more two documents are enough.
@@ -27,6 +27,7 @@ from wardlens.llm.native import BLANKS, hidden, let, words
 from wardlens.session import cut_lineage
 
 VARIABLE = r"\S*[0-9]\S*"
+MASK = "<*>"
 
 
 def _trimmed(text: Column) -> Column:
@@ -50,7 +51,7 @@ def _line_facts(line: Column, depth: int, long_words: int) -> Column:
             ),
         )
 
-    return let(F.regexp_replace(line, VARIABLE, "<*>"), facts)
+    return let(F.regexp_replace(line, VARIABLE, MASK), facts)
 
 
 def recurring_lines(
@@ -69,12 +70,16 @@ def recurring_lines(
     busy_lines = cut_lineage(
         found.select("leaf", "line", "masked")
         .join(busy, "leaf", "left_semi")
-        .groupBy("leaf", "line", F.transform(F.split("masked", " ", -1), lambda x: F.xxhash64(x)).alias("fields"))
+        .groupBy("leaf", "line", F.transform(F.split("masked", " ", -1), lambda x: F.when(x != MASK, F.xxhash64(x))).alias("fields"))
         .agg(F.count(F.lit(1)).alias("docs"))
     )
     fields = busy_lines.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
     constant = (
-        fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
+        fields.where("field IS NOT NULL")
+        .groupBy("leaf", "at", "field")
+        .agg(F.sum("docs").alias("support"))
+        .where(F.col("support") >= min_docs)
+        .drop("support")
     )
     templates = (
         fields.join(constant.withColumn("constant", F.lit(1)), ["leaf", "at", "field"], "left")
@@ -84,7 +89,7 @@ def recurring_lines(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.when(F.col("constant") == 1, F.xxhash64("at", "field")).otherwise(F.xxhash64("at"))).alias("template"),
         )
-        .where(F.col("constants") >= F.col("n") * similarity)
+        .where((F.col("constants") >= F.col("n") * similarity) & (F.col("constants") > 0))
         .select("leaf", "line", "template", F.lit(min_docs).alias("wanted"))
         .unionByName(exact.drop("docs"))
     )
