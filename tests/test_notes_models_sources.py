@@ -165,3 +165,11 @@ def test_save_table_replaces(spark, table, rows):
         out = writers.save_table(table("a long", [(value,)]), "wardlens_test.replaced")
     assert rows(out) == [(2,)] == rows(readers.read_table(spark, "wardlens_test.replaced"))
     spark.sql("DROP DATABASE wardlens_test CASCADE")
+
+
+def test_cross_counts_keep_every_value(table, rows):
+    from wardlens.plans import notes
+
+    df = table("cluster int, category int", [(0, 3), (0, 3), (0, 12), (1, None), (1, 3)])
+    want = [(0, 3, 2), (0, 12, 1), (0, None, 0), (1, 3, 1), (1, 12, 0), (1, None, 1)]
+    assert set(rows(notes.cross_counts(df, "cluster", "category"))) == set(want)

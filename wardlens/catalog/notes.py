@@ -232,7 +232,7 @@ def _(t):
 @query("tx13_cluster_by_category")
 def _(t):
     scaled = n.centred(t.vectors, "vector", 64, scale=True)
-    return n.cross_table(n.clusters(scaled, "vector", 12), "cluster", "category", list(range(10)))
+    return n.cross_counts(n.clusters(scaled, "vector", 12), "cluster", "category")
 
 
 @query(

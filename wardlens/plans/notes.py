@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from wardlens.functions.scalars import has_prefix, lacks_prefix
 from wardlens.operators.ordered import first_rows
 from wardlens.plans.features import shuffled
+from wardlens.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -385,3 +386,9 @@ def cross_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
+def cross_counts(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Long cross table (row, column, n) of every value of either, NULL included; 0 where a pair is absent."""
+    found = cut_lineage(df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n")))
+    others = found.agg(F.collect_set(F.struct(column))).scalar()
+    cells = found.select(row).distinct().select(row, F.inline(others)).withColumn("n", F.lit(0).cast("bigint"))
+    return found.unionByName(cells).groupBy(row, column).agg(F.sum("n").alias("n"))
