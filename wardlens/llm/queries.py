@@ -150,3 +150,87 @@ def _(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs.select("doc_id", (F.size(words(F.col("text"))) + 1).alias("length")), "length")
+
+
+#: DuckDB: a table of one row with the 256 values that crc32 is computed with.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+      lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_steps)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: unsigned crc32 of the UTF-8 bytes of a text, beside ``crc_table`` in the FROM clause."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c // 256, crc_steps[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def merkle_sql(levels: int = 10, fan: int = 8) -> str:
+    """Levels are spelled out; ten hold a thousand million rows of a language."""
+
+    def leaf(text: str) -> str:
+        values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        CRC_TABLE,
+        f"""leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf,
+          CASE WHEN {crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS claimed FROM documents, crc_table)""",
+        """n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at0 FROM leaves)""",
+    ]
+
+    def climb(name: str, start: str, tree: str, node: str, at: str) -> tuple[str, str]:
+        """CTEs name0 .. of (tree, pos, size, node, before, after) and the last name."""
+        previous = f"SELECT {tree} AS tree, {at} AS pos, count(*) OVER (PARTITION BY {tree}) AS size, {node} AS node FROM {start}"
+        for k in range(levels):
+            run = f"PARTITION BY tree, pos // {fan} ORDER BY pos ROWS BETWEEN"
+            ctes.append(
+                f"{name}{k} AS (SELECT *, coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, "
+                f"coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM ({previous}))"
+            )
+            previous = (
+                f"SELECT tree, pos // {fan} AS pos, (size + {fan - 1}) // {fan} AS size, sha256(node || after) AS node FROM {name}{k} "
+                f"WHERE size > 1 AND pos % {fan} = 0"
+            )
+        return name
+
+    climb("l", "n0", "tree", "leaf", "at0")
+    ctes.append(
+        "tops AS (" + " UNION ALL ".join(f"SELECT tree, node AS subroot FROM l{k} WHERE size = 1" for k in range(levels)) + ")"
+    )
+    ctes.append("t0 AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS at1 FROM tops)")
+    climb("u", "t0", "''", "subroot", "at1")
+    ctes.append("root AS (" + " UNION ALL ".join(f"SELECT node AS root FROM u{k} WHERE size = 1" for k in range(levels)) + ")")
+    lower = [f"l{k}" for k in range(levels)]
+    upper = [f"u{k}" for k in range(levels)]
+    joins = " ".join(
+        [f"LEFT JOIN {n} ON {n}.tree = n0.tree AND {n}.pos = n0.at0 // {fan**k} AND {n}.size > 1" for k, n in enumerate(lower)]
+        + [f"LEFT JOIN {n} ON {n}.pos = t0.at1 // {fan**k} AND {n}.size > 1" for k, n in enumerate(upper)]
+    )
+    proof = " || ".join(f"coalesce({n}.before || {n}.after, '')" for n in [*lower, *upper])
+    ctes.append(f"f0 AS (SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, claimed AS node, "
+                + ", ".join(f"{n}.before AS b_{n}, {n}.after AS a_{n}" for n in [*lower, *upper])
+                + f" FROM n0 JOIN t0 USING (tree) CROSS JOIN root {joins})")
+    last = "f0"
+    for n in [*lower, *upper]:
+        ctes.append(f"f_{n} AS (SELECT * REPLACE (CASE WHEN b_{n} IS NULL THEN node ELSE sha256(b_{n} || node || a_{n}) END AS node) FROM {last})")
+        last = f"f_{n}"
+    return "WITH " + ", ".join(ctes) + (
+        f" SELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM {last}"
+    )
+
+
+@query("op13_merkle_manifest", merkle_sql())
+def _(spark, sf_dir):
+    from wardlens.llm import merkle
+
+    tampered = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0, F.lit(False))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    told = F.when(tampered, lowered).otherwise(F.col("text"))
+    found = merkle.documents_manifest(table(spark, sf_dir, "documents"), {"text": told})
+    return found.select(
+        "doc_id",
+        *[merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.as_text(merkle.proof_digest(F.col("path"))).alias("proof_sha256"),
+        merkle.as_text(F.col("folded_root")).alias("folded_root"),
+        "verified",
+    )
