@@ -234,3 +234,37 @@ def _(spark, sf_dir):
         merkle.as_text(F.col("folded_root")).alias("folded_root"),
         "verified",
     )
+
+
+LETTERS = r"[A-Za-z\u00C0-\u00FF]"
+
+
+@query(
+    "op11_spelling_variants",
+    f"""WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+         FROM documents),
+hashed AS (SELECT run, m, {crc_sql("(doc_id || ':' || run)")} AS h
+           FROM (SELECT doc_id, run, count(*) AS m FROM runs GROUP BY ALL), crc_table),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM (
+            SELECT m, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+          UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+                 CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS top FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.top WHERE form IS NOT NULL)
+SELECT forms.word, forms.form, walk.top AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN walk USING (word) JOIN forms ends ON ends.word = walk.top WHERE ends.form IS NULL""",
+)
+def _(spark, sf_dir):
+    from wardlens.llm import spelling as sp
+
+    runs = sp.word_runs(table(spark, sf_dir, "documents"), LETTERS, ["doc_id"])
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    hashed = runs.select("run", F.crc32(F.encode(named, "UTF-8")).alias("h"))
+    slip = sp.without_code_point(F.col("run"), F.col("h") % F.length("run"))
+    return sp.variants(sp.word_counts(hashed, F.when(F.col("h") % 97 == 0, slip).otherwise(F.col("run"))))
