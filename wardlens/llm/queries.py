@@ -268,3 +268,21 @@ def _(spark, sf_dir):
     hashed = runs.select("run", F.crc32(F.encode(named, "UTF-8")).alias("h"))
     slip = sp.without_code_point(F.col("run"), F.col("h") % F.length("run"))
     return sp.variants(sp.word_counts(hashed, F.when(F.col("h") % 97 == 0, slip).otherwise(F.col("run"))))
+
+
+@query(
+    "op12_substring_dedup",
+    r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT r, doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+least AS (SELECT win, min(doc_id) AS least FROM wins GROUP BY win),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 13)) AS j FROM wins JOIN least USING (win) WHERE least < doc_id)),
+words AS (SELECT r, generate_subscripts(ws, 1) AS j, unnest(ws) AS word FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, (coalesce(len(ws), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)""",
+)
+def _(spark, sf_dir):
+    from wardlens.llm import substrings
+
+    left = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
