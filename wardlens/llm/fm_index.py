@@ -62,7 +62,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Index:
-    """Index of sequences for matches of up to ``depth`` symbols; symbols are 1 and above, 0 ends a sequence."""
+    """Index of sequences for matches of up to ``depth`` symbols; symbols are 1 and above, 0 ends a sequence, also the last."""
 
     def __init__(self, text: np.ndarray, depth: int):
         order = suffix_order(text, depth)
@@ -83,7 +83,7 @@ class Index:
             both = self.tree.rank(np.concatenate([symbols, symbols]), np.concatenate([low[alive], high[alive]]))
             start = self.first[symbols]
             new_low, new_high = start + both[: len(alive)], start + both[len(alive) :]
-            more = new_high - new_low > 1
+            more = (new_high - new_low > 1) & (symbols > 0)
             alive = alive[more]
             low[alive], high[alive] = new_low[more], new_high[more]
             length[alive] += 1

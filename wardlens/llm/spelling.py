@@ -58,7 +58,7 @@ def rotations(words: DataFrame) -> DataFrame:
     rotated = F.concat(F.substr("word", at + 1 + edit), F.lit(TERMINATOR), F.substring("word", F.lit(1), at))
     before, skipped = F.substring(F.col("word"), at, F.lit(1)), F.substring(F.col("word"), at + 1, F.lit(1))
     return words.select("id", "word", "n", steps).select(
-        F.when(F.length("word") > LONG, F.sha2(rotated, 256)).otherwise(rotated).alias("key"),
+        F.when(F.length(rotated) > LONG, F.sha2(rotated, 256)).otherwise(rotated).alias("key"),
         F.struct(
             (-F.col("n")).alias("less"), "id", edit.alias("edit"), ((edit == 0) | (at == 0) | (before != skipped)).alias("once")
         ).alias("member"),
