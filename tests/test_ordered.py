@@ -30,10 +30,11 @@ def skewed(spark):
     return df.repartition(7)
 
 
-@pytest.mark.parametrize("unit", ["YEAR", "DAY", "HOUR"])
-def test_next_in_time_equals_plain_lead(skewed, unit):
+@pytest.mark.parametrize("block", [1, 3, 10**6])
+def test_next_in_time_equals_plain_lead(skewed, block, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", block)
     w = Window.partitionBy("k").orderBy("at", "id")
-    both = ordered.next_in_time(skewed, ["k"], "at", "id", "nxt", unit).withColumn("want", F.lead("at").over(w))
+    both = ordered.next_in_time(skewed, ["k"], "at", "id", "nxt").withColumn("want", F.lead("at").over(w))
     assert both.where(~F.col("nxt").eqNullSafe(F.col("want"))).count() == 0
     assert both.count() == 3000
 
@@ -96,3 +97,27 @@ def test_slice_of_matches_sorted_position(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(ordered.slice_of(F.col("v"), points)).collect()]
     assert got == [int(np.searchsorted(points, v, side="right")) for v in values]
+
+
+def test_next_in_time_spreads_one_instant_of_one_key(spark, monkeypatch):
+    """A third of the rows on one key and one instant: no window partition has more rows than a block and its guard."""
+    rows = spark.range(30_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("timestamp").cast("timestamp_ntz").alias("at"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = ordered.placed_in_order(rows, ["k", "at", "id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 700)
+    got = ordered.next_in_time(rows, ["k"], "at", "id", "nxt")
+    want = F.lead("at").over(Window.partitionBy("k").orderBy("at", "id"))
+    assert got.withColumn("want", want).where(~F.col("nxt").eqNullSafe(F.col("want"))).count() == 0
+    assert got.count() == 30_000
+
+
+def test_next_in_time_of_no_rows_and_one_row(spark):
+    one = spark.createDataFrame([(1, None, 5)], "k int, at timestamp_ntz, id int")
+    assert [tuple(r) for r in ordered.next_in_time(one, ["k"], "at", "id", "n").collect()] == [(1, None, 5, None)]
+    assert ordered.next_in_time(one.limit(0), ["k"], "at", "id", "n").count() == 0

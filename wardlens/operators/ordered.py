@@ -7,12 +7,15 @@ slice carries the totals from slice to slice. Where the cuts lie only affects ba
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.session import cut_lineage
 
 ROWS_PER_SLICE = 200_000
+ROWS_PER_BLOCK = 50_000
 
 
 def split_points(df: DataFrame, column: str) -> list[float]:
@@ -256,29 +259,44 @@ def next_row(
     return joined.select(*df.columns, *[F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
-def next_in_time(
-    df: DataFrame, keys: list[str], time: str, tie: str, name: str, unit: str = "DAY"
-) -> DataFrame:
-    """Next time within a key, in (time, tie) order; NULL on the last row.
+def placed_in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows, written once in ranges of the order, with ``_part``, ``_block`` and ``_row``.
 
-    Rows of a key are split by calendar unit. Inside a unit a window finds the next row; the last
-    row of a unit takes the first time of the key's next unit that has rows. Rows without a time
-    come first.
+    (part, block, row) follow the order. A part is a range partition, so equal rows of a hot key share a part
+    only as far as the order cannot tell them apart; a block has at most ``ROWS_PER_BLOCK`` rows of a part.
     """
-    start = F.date_trunc(unit, F.col(time)).cast("timestamp_ntz")
-    cut = df.withColumn("_unit", F.coalesce(start, F.lit("0001-01-01").cast("timestamp_ntz")))
-    inside = Window.partitionBy(*keys, "_unit").orderBy(time, tie)
-    here = (
-        cut.withColumn("_next", F.lead(time).over(inside))
-        .withColumn("_is_last", F.lead(F.lit(1)).over(inside).isNull())
-        .withColumn("_first", F.first(time).over(inside))
-    )
-    after = F.lead("_first").over(_boundary_window(keys, "_unit", "_is_last"))
-    return (
-        here.withColumn("_after", after)
-        .withColumn(name, F.when(F.col("_is_last"), F.col("_after")).otherwise(F.col("_next")))
-        .drop("_unit", "_next", "_is_last", "_first", "_after")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_row", 33)).withColumn("_block", F.expr(f"_row % {1 << 33} div {ROWS_PER_BLOCK}"))
+
+
+def next_in_time(df: DataFrame, keys: list[str], time: str, tie: str, name: str) -> DataFrame:
+    """Next time within a key, in (time, tie) order; NULL on the last row. Rows without a time come first.
+
+    All rows are laid out in ranges of (key, time, tie), so a hot key, day or instant spreads like all others.
+    Windows run over blocks of bounded size. A carry table holds the first row of every block and gives it to
+    the block before as a guard row; over the first rows of parts, of which there is one a partition, a window
+    finds the part before.
+    """
+    order = [F.col(c).asc_nulls_first() for c in [*keys, time, tie]]
+    rows = placed_in_order(df, order)
+    carried = [*keys, time, "_row", "_part", "_block"]
+    opens = rows.where(F.col("_row") % (1 << 33) % ROWS_PER_BLOCK == 0).select(*carried)
+    parts = rows.groupBy("_part").agg(F.max("_block").alias("_last"))
+    before = parts.select(
+        F.lead("_part").over(_window([]).orderBy("_part")).alias("_part"),
+        F.struct(F.col("_part").alias("part"), F.col("_last").alias("block")).alias("_to"),
+    ).where(F.col("_part").isNotNull())
+    inner = opens.where(F.col("_block") > 0).withColumn("_block", F.col("_block") - 1)
+    outer = opens.where(F.col("_block") == 0).join(before, "_part").select(
+        *keys, time, "_row", F.col("_to.part").alias("_part"), F.col("_to.block").alias("_block")
     )
+    guards = inner.unionByName(outer).withColumn("_guard", F.lit(True))
+    both = rows.withColumn("_guard", F.lit(False)).unionByName(guards, allowMissingColumns=True)
+    following = Window.partitionBy("_part", "_block").orderBy("_row")
+    nexts = {c: F.lead(c).over(following) for c in [*keys, time]}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(nexts[k]) for k in keys], F.lead(F.lit(True)).over(following))
+    return both.withColumn(name, F.when(same, nexts[time])).where(~F.col("_guard")).select(*df.columns, name)
 
 
 def first_rows(
