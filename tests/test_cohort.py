@@ -82,3 +82,25 @@ def test_dose_text(table, rows):
         [(1, 1, "a", "1.5"), (1, 1, "b", "0.5"), (1, 1, "c", "10-20"), (1, 1, "d", "n/a"), (1, 1, "e", None), (2, 2, "f", "3")],
     )
     assert rows(c.drug_doses(codes, admissions, drugs)) == [("a", 1.0, 1), ("b", 0.0, 1), ("c", 10.0, 1), ("d", None, 1)]
+
+
+def _aggregates(df):
+    """Aggregate and window nodes of the optimised plan, one line each."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.split("\n") if "Aggregate [" in line or "Window [" in line]
+
+
+def test_no_aggregate_holds_a_note_text(spark):
+    import __spark_entry__ as entry
+
+    for name in ("ml11_multimodal_table", "ag14_first_present"):
+        nodes = _aggregates(entry.queries()[name](spark, "/root/testdata/sf0.01"))
+        assert nodes and not any("text#" in line.replace("_has_text#", "") for line in nodes), name
+
+
+def test_cohort_is_cut_down_before_aggregates(spark):
+    import __spark_entry__ as entry
+
+    for name in ("cq03_comorbidities_by_index", "cq23_mortality_by_creatinine"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan, name

@@ -107,6 +107,7 @@ def comorbidities_by_index(
     index = _index_by_admission(diagnoses, dictionary, prefix, "short_title")
     other = (
         diagnoses.where(lacks_prefix("icd9_code", prefix))
+        .join(index.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left_semi")
         .groupBy("subject_id", "hadm_id", "icd9_code")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -407,11 +408,6 @@ def mortality_by_creatinine(
     dedup: bool = False,
 ) -> DataFrame:
     """Bands of the peak value per subject; rows are matching diagnoses (admissions if ``dedup``)."""
-    peaks = (
-        labevents.join(labitems.where(F.col("label") == label), "itemid", "left_semi")
-        .groupBy("subject_id")
-        .agg(F.max(F.col("valuenum").cast("double")).alias("peak"))
-    )
     weight = F.lit(1).cast("bigint") if dedup else F.col("n_match")
     per_subject = (
         admissions.select("hadm_id", "subject_id", "hospital_expire_flag")
@@ -419,6 +415,12 @@ def mortality_by_creatinine(
         .groupBy("subject_id")
         .agg(F.sum(weight).alias("n"), F.sum(weight * F.col("hospital_expire_flag")).alias("died"))
     )
+    peaks = (
+        labevents.join(labitems.where(F.col("label") == label), "itemid", "left_semi")
+        .join(per_subject, "subject_id", "left_semi")
+        .groupBy("subject_id")
+        .agg(F.max(F.col("valuenum").cast("double")).alias("peak"))
+    )
     return (
         per_subject.join(peaks, "subject_id")
         .groupBy(creatinine_band("peak").alias("creatinine_level"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import completed_years, hours_between, mentions_word, MIXED_END, mixed
 from wardlens.operators.ordered import smallest_share
-from wardlens.operators.shape import first_present, most_frequent_values, pivot_means
+from wardlens.operators.shape import most_frequent_values, pivot_means
 
 
 def split_rows(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -51,19 +51,25 @@ def gender_dummies(df: DataFrame, column: str = "gender", levels: tuple[str, ...
     ).drop(column)
 
 
-def earliest_notes(notes: DataFrame) -> DataFrame:
-    """First non-missing value per column and admission, in time order.
+def earliest_notes(notes: DataFrame, admissions: DataFrame | None = None) -> DataFrame:
+    """First non-missing value per column and admission, in time order; of the given admissions only, if any.
 
-    Text and time may come from different notes: a column skips the notes where it is missing.
+    Text and time may come from different notes: a column skips the notes where it is missing. The note is
+    chosen on narrow columns, and its text is fetched by ``row_id`` (a key of the notes) afterwards, so no
+    aggregate, sort or window holds a text.
     """
-    return (
-        notes.where(F.col("hadm_id").isNotNull())
-        .groupBy("hadm_id")
-        .agg(
-            first_present("text", "charttime", "row_id").alias("text"),
-            F.min("charttime").alias("charttime"),
-        )
+    timed = notes.where(F.col("hadm_id").isNotNull()).select(
+        "hadm_id", "charttime", "row_id", F.col("text").isNotNull().alias("_has_text")
+    )
+    if admissions is not None:
+        timed = timed.join(admissions, "hadm_id", "left_semi")
+    first = F.struct(F.col("charttime").isNull(), F.col("charttime"), F.col("row_id").alias("row_id"))
+    chosen = timed.groupBy("hadm_id").agg(
+        F.min(F.when(F.col("_has_text"), first)).alias("_first"), F.min("charttime").alias("charttime")
     )
+    chosen = chosen.select("hadm_id", "charttime", F.col("_first.row_id").alias("row_id"))
+    texts = notes.where(F.col("text").isNotNull()).select("row_id", "text")
+    return chosen.join(texts, "row_id", "left").select("hadm_id", "text", "charttime")
 
 
 def multimodal(
@@ -74,19 +80,24 @@ def multimodal(
     word: str = "sepsis",
     items: int = 20,
 ) -> DataFrame:
-    """Admissions whose diagnosis names the word, with age, gender, mean labs and first note."""
+    """Admissions whose diagnosis names the word, with age, gender, mean labs and first note.
+
+    Readings and notes are cut down to the cohort before they are aggregated; the commonest items are those of
+    all readings.
+    """
+    chosen = admissions.where(mentions_word("diagnosis", word) & F.col("hospital_expire_flag").isNotNull())
     cohort = (
-        admissions.where(mentions_word("diagnosis", word) & F.col("hospital_expire_flag").isNotNull())
-        .select("hadm_id", "subject_id", "admittime", "hospital_expire_flag")
+        chosen.select("hadm_id", "subject_id", "admittime", "hospital_expire_flag")
         .join(patients.select("subject_id", "gender", "dob"), "subject_id", "left")
         .withColumn("age", completed_years("admittime", "dob"))
     )
+    ids = chosen.select("hadm_id")
     top = sorted(most_frequent_values(labevents, "itemid", items))
-    readings = labevents.where(F.col("itemid").isin(top))
+    readings = labevents.where(F.col("itemid").isin(top)).join(ids, "hadm_id", "left_semi")
     labs = pivot_means(readings, "hadm_id", "itemid", "valuenum", top, prefix="lab_")
     return (
         cohort.join(labs, "hadm_id", "left")
-        .join(earliest_notes(notes).where(F.col("text").isNotNull()), "hadm_id")
+        .join(earliest_notes(notes, ids).where(F.col("text").isNotNull()), "hadm_id")
         .withColumn("hours_from_admission", hours_between("charttime", "admittime"))
         .drop("dob")
     )
