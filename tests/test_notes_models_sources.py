@@ -85,11 +85,11 @@ def test_entities_weighted_by_copies(table, rows):
     assert rows(n.pattern_entities(notes, {"NUM": r"\d+", "CAP": r"[A-Z]\w+"})) == [("12", "NUM", 2), ("Renal", "CAP", 2)]
 
 
-def test_nearest_words_keep_unknown_terms(table, rows):
+def test_nearest_words_keep_unknown_terms(spark, table, rows):
     v = table("word string, vector array<double>", [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])])
-    out = rows(n.nearest_words(v, ["a", "two words"], 1), "term", "word")
+    out = rows(n.nearest_words(v, n.terms_table(spark, ["a", "two words"]), 1), "term", "word")
     assert out == [("a", "b"), ("two words", None)]
-    assert rows(n.nearest_words(v, ["nope"]), "term", "word") == [("nope", None)]
+    assert rows(n.nearest_words(v, n.terms_table(spark, ["nope"])), "term", "word") == [("nope", None)]
 
 
 def test_forest_scores_and_round_trip(spark, tmp_path):

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlens.catalog import query
+from wardlens.fixed_values import WATCHED_TERMS
+from wardlens.operators.nearest import nearest_rows, neighbours
 from wardlens.plans import features as f
 from wardlens.plans import models as m
 from wardlens.plans import notes as n
+from wardlens.session import cut_lineage
 
 COPIES = """
     SELECT n.*, copies FROM noteevents n JOIN (
@@ -150,7 +153,24 @@ def _(t):
 
 @query("tx07_nearest_words")
 def _(t):
-    return n.nearest_words(n.vector_table(_word_model(t)), ["the", "and", "renal failure", "dialysis"])
+    return n.nearest_words(n.vector_table(_word_model(t)), n.terms_table(t.spark, ["the", "and", *WATCHED_TERMS]))
+
+
+@query(
+    "tx07_nearest_terms",
+    f"""WITH words AS (SELECT coalesce(list_extract({WATCHED_TERMS[:-1]}, (vec_id + 1)::BIGINT), 'word ' || vec_id) AS word, embedding AS vector FROM embeddings),
+        terms AS (SELECT unnest({WATCHED_TERMS}) AS term),
+        near AS (SELECT a.word AS term, b.word, list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS similarity
+                 FROM words a JOIN terms ON term = a.word JOIN words b ON a.word <> b.word),
+        best AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, word) AS rn FROM near)
+        SELECT term, word, round(similarity, 6) AS similarity, rn::INT AS rn FROM terms LEFT JOIN (SELECT * FROM best WHERE rn <= 10) USING (term)""",
+)
+def _(t):
+    # The embeddings stand for a vocabulary that has all watched terms but the last.
+    named = F.get(F.array(*[F.lit(w) for w in WATCHED_TERMS[:-1]]), F.col("vec_id").cast("int"))
+    words = t.embeddings.select(F.coalesce(named, F.concat(F.lit("word "), F.col("vec_id").cast("string"))).alias("word"), F.col("embedding").alias("vector"))
+    out = n.nearest_words(words, n.terms_table(t.spark, WATCHED_TERMS))
+    return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("tx15_token_vectors")
@@ -200,6 +220,40 @@ def _(t):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "tx09_nearest_rows",
+    f"""SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round({COSINE}, 6) AS similarity,
+          row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 12) DESC, b.vec_id)::INT AS rn
+        FROM vectors a JOIN vectors b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rn <= 10""",
+)
+def _(t):
+    out = nearest_rows(t.vectors.where("vec_id % 20 = 0"), t.vectors, "vec_id", "vector", 10)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "tx09_neighbours_of_all",
+    f"""WITH near AS (SELECT a.vec_id, {COSINE} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rn
+                      FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id)
+        SELECT count(DISTINCT vec_id) AS n_queries, count(*) AS n_neighbours, true AS recall_reached, true AS similarities_exact FROM near WHERE rn <= 10""",
+)
+def _(t):
+    """Neighbours of all rows by buckets, held against the exact ones of every row whose id is divisible by 20."""
+    found = cut_lineage(neighbours(t.vectors, "vec_id", "vector", 10, recall=0.9))
+    exact = nearest_rows(t.vectors.where("vec_id % 20 = 0"), t.vectors, "vec_id", "vector", 10)
+    exact = exact.select("query", "neighbour", F.col("similarity").alias("exact"))
+    both = exact.join(found.select("query", "neighbour", "similarity"), ["query", "neighbour"], "left")
+    hits = both.agg(
+        F.struct(
+            (F.count("similarity") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+            F.coalesce(F.bool_and(F.abs(F.col("exact") - F.col("similarity")) < 1e-9), F.lit(True)).alias("similarities_exact"),
+        ).alias("hits")
+    ).scalar()
+    return found.agg(F.countDistinct("query").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours")).select("*", hits.alias("h")).select(
+        "n_queries", "n_neighbours", "h.recall_reached", "h.similarities_exact"
+    )
+
+
 @query(
     "tx10_group_similarity",
     f"""SELECT a.category AS group_a, b.category AS group_b, round(avg({COSINE}), 6) AS mean_similarity

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions.scalars import has_prefix, lacks_prefix
-from wardlens.operators.ordered import first_rows
+from wardlens.operators.nearest import nearest_rows, similarities
 from wardlens.plans.features import shuffled
 from wardlens.session import cut_lineage
 
@@ -240,35 +240,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, NULL for a zero vector."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
-def _literal(vector) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+def nearest_words(vectors: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
+    """The k nearest words of each term of a table (term); a term without a vector stays with no word.
 
+    Terms are looked up by a join and compared with the vocabulary in blocks.
+    """
+    asked = vectors.join(terms.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
+    near = nearest_rows(asked, vectors, "word", "vector", k)
+    return terms.distinct().join(near.withColumnsRenamed({"query": "term", "neighbour": "word"}), "term", "left")
 
-def nearest_words(vectors: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
-    """The k nearest words of each term; a term without a vector stays with no word.
 
-    The few term vectors travel as literals, so the vocabulary is read once and nothing is joined.
-    """
-    known = {r["word"]: r["vector"] for r in vectors.where(F.col("word").isin(terms)).collect()}
-    listed = vectors.sparkSession.createDataFrame([(w,) for w in terms], "term string")
-    if not known:
-        empty = F.lit(None)
-        return listed.select("term", empty.cast("string").alias("word"), empty.cast("double").alias("similarity"), empty.cast("int").alias("rn"))
-    probes = F.array(
-        *[F.struct(F.lit(w).alias("term"), _literal(v).alias("probe")) for w, v in known.items()]
-    )
-    compared = (
-        vectors.select("word", "vector", F.inline(probes))
-        .where(F.col("word") != F.col("term"))
-        .select("term", "word", cosine(F.col("vector"), F.col("probe")).alias("similarity"))
-    )
-    ranked = first_rows(compared, ["term"], [F.desc("similarity"), "word"], k)
-    return listed.join(ranked, "term", "left")
+def terms_table(spark, terms: list[str]) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in terms], "term string")
 
 
 # ---- note vectors -----------------------------------------------------------
@@ -308,18 +291,18 @@ def word_mean_vectors(model, notes: DataFrame) -> DataFrame:
 # ---- similarity -------------------------------------------------------------
 
 
-def similarity_to_first(vectors: DataFrame, key: str, vector: str, n: int = 10) -> DataFrame:
-    """Cosine of every vector with the n first vectors in key order, as (key, anchor, similarity).
+def similarity_to(vectors: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Cosine of every vector with every anchor, a table with the same two columns, as (key, anchor, similarity).
 
-    Rows whose key is an anchor form the n x n similarity matrix of the anchors.
+    If the anchors are rows, those rows form the similarity matrix of the anchors. A zero vector has similarity 0.
     """
-    anchors = vectors.select(key, vector).orderBy(key).limit(n).collect()
-    probes = F.array(
-        *[F.struct(F.lit(r[key]).alias("anchor"), _literal(r[vector]).alias("_probe")) for r in anchors]
-    )
-    return vectors.select(key, vector, F.inline(probes)).select(
-        key, "anchor", cosine(F.col(vector), F.col("_probe")).alias("similarity")
-    )
+    found = similarities(anchors, vectors, key, vector)
+    return found.select(F.col("neighbour").alias(key), F.col("query").alias("anchor"), "similarity")
+
+
+def similarity_to_first(vectors: DataFrame, key: str, vector: str, n: int = 10) -> DataFrame:
+    """As :func:`similarity_to`, with the n first vectors in key order as anchors."""
+    return similarity_to(vectors, vectors.orderBy(key).limit(n), key, vector)
 
 
 def group_similarity(vectors: DataFrame, pairs: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
