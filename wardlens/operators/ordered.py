@@ -16,6 +16,7 @@ from wardlens.session import cut_lineage
 
 ROWS_PER_SLICE = 200_000
 ROWS_PER_BLOCK = 50_000
+GRID_POINTS = 200
 
 
 def split_points(df: DataFrame, column: str) -> list[float]:
@@ -23,14 +24,25 @@ def split_points(df: DataFrame, column: str) -> list[float]:
 
     There is a slice for every shuffle partition at least, and more so that a slice has about
     ``ROWS_PER_SLICE`` rows. Every point is a value of the column; one number per slice reaches the driver.
+    The row count and a grid of quantiles come from one aggregate; only a table with more slices than the grid
+    has points is read again, for a grid of its own size.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(partitions, df.count() // ROWS_PER_SLICE + 1)
-    probabilities = [i / slices for i in range(1, slices)]
-    found = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
-        "v", probabilities, 0.5 / slices
-    )
-    return sorted(set(found))
+    value = F.col(column).cast("double")
+
+    def grid(slices: int) -> tuple[int, list[float]]:
+        points = F.array(*[F.lit(i / slices) for i in range(1, slices)]).cast("array<double>")
+        found = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, points, 5 * slices).alias("v")).first()
+        return found["n"], found["v"] or []
+
+    fine = max(partitions, GRID_POINTS)
+    n, points = grid(fine) if fine > 1 else (0, [])
+    slices = max(partitions, n // ROWS_PER_SLICE + 1)
+    if slices > fine:
+        _, points = grid(slices)
+    elif points:
+        points = [points[i * fine // slices - 1] for i in range(1, slices)]
+    return sorted({p for p in points if p == p})
 
 
 def slice_of(value: Column, points: list[float]) -> Column:
@@ -111,18 +123,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def _around_ranks(
-    df: DataFrame, value: str, by: list[str], ranks: list[Column], weight: Column | None = None
+    df: DataFrame, value: str, by: list[str], ranks: list[Column], weight: Column | None = None, counted: bool = False
 ) -> DataFrame:
     """Distinct values near the wanted zero-based ranks, as (by, _v, _n, _before, _all).
 
     Ranks may use ``_all``, the number of values in the group. Equal values are combined first and
-    written out once; then only the slices that hold a wanted rank are sorted.
+    written out once, unless the input is ``counted`` (a stored table with one row per group and value);
+    then only the slices that hold a wanted rank are sorted.
     """
-    counted = cut_lineage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_v"))
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
-    )
+    known = df.where(F.col(value).isNotNull())
+    if counted:
+        counted = known.select(*by, F.col(value).alias("_v"), weight.alias("_n"))
+    else:
+        counted = cut_lineage(
+            known.groupBy(*by, F.col(value).alias("_v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+        )
     points = split_points(counted, "_v")
     cut = counted.withColumn("_slice", slice_of(F.col("_v").cast("double"), points))
     totals = cut.groupBy(*by, "_slice").agg(F.sum("_n").alias("_in"))
@@ -152,10 +167,12 @@ def exact_percentiles(
     fractions: dict[str, float],
     by: list[str] | None = None,
     weight: str | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
-    ``weight`` names a column with the number of times a row counts.
+    ``weight`` names a column with the number of times a row counts; ``counted`` says that the input is a stored
+    table with one row per group and value, which need not be combined and written again.
     """
     by = by or []
 
@@ -164,7 +181,7 @@ def exact_percentiles(
 
     numbers = df.withColumn(value, F.col(value).cast("double"))
     ranks = [r for f in fractions.values() for r in (F.floor(rank(f)), F.ceil(rank(f)))]
-    near = _around_ranks(numbers, value, by, ranks, F.col(weight) if weight else None).withColumn("_end", F.col("_before") + F.col("_n"))
+    near = _around_ranks(numbers, value, by, ranks, F.col(weight) if weight else None, counted).withColumn("_end", F.col("_before") + F.col("_n"))
     picks = []
     for name, f in fractions.items():
         picks.append(F.min(F.when(F.col("_end") > F.floor(rank(f)), F.col("_v"))).alias(f"_lo_{name}"))

@@ -143,5 +143,5 @@ def stay_spread(admissions: DataFrame, icustays: DataFrame, by: list[str]) -> Da
     means = counted.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("los") * F.col("n")), F.sum("n")).alias("mean_los"), F.sum("n").alias("stays")
     )
-    quartiles = exact_percentiles(counted, "los", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, weight="n")
+    quartiles = exact_percentiles(counted, "los", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, weight="n", counted=True)
     return null_safe_join(means, quartiles, by, "left")
