@@ -104,3 +104,22 @@ def test_cohort_is_cut_down_before_aggregates(spark):
     for name in ("cq03_comorbidities_by_index", "cq23_mortality_by_creatinine"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftSemi" in plan, name
+
+
+def test_stored_table_is_read_without_a_shuffle(spark, tmp_path):
+    import __spark_entry__  # noqa: F401
+    from wardlens.catalog.bindings import Tables
+    from wardlens.plans import cohort as c
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    for _ in range(2):  # created, then replaced
+        stored = c.store_readmissions(t.diagnoses, t.admissions, "wardlens_readmissions_test", buckets=6, path=str(tmp_path / "r"))
+    assert stored.count() == c.readmissions(t.diagnoses, t.admissions).count()
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(c.subject_readmissions(stored))
+    rates = plan(c.readmission_rates(stored))  # the one exchange moves a row of counts per task
+    assert rates.count("Exchange") == rates.count("Exchange SinglePartition") == 1
+    spark.sql("DROP TABLE wardlens_readmissions_test")

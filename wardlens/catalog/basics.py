@@ -93,8 +93,34 @@ def _(t):
         FROM ({READMITTED})""",
 )
 def _(t):
-    table = c.readmissions(t.diagnoses, t.admissions, ordered=False)
-    return writers.save_parquet(table, scratch_path(t.spark, "readmissions"))
+    return _stored(t)
+
+
+def _stored(t):
+    """The cohort table in the session's catalog; its files lie in the shared folder."""
+    return c.store_readmissions(t.diagnoses, t.admissions, "wardlens_readmissions", path=scratch_path(t.spark, "readmissions"))
+
+
+@query(
+    "cq07_rates_of_stored_table",
+    " UNION ALL ".join(
+        f"""SELECT {d} AS days, count(*) AS total_admissions, count(*) FILTER (WHERE days_until_next <= {d}) AS readmissions,
+                   ceil(count(*) FILTER (WHERE days_until_next <= {d}) / nullif(count(*), 0)::DOUBLE * 100) AS readmission_rate_percent
+            FROM ({READMITTED})"""
+        for d in (60, 30, 7)
+    ),
+)
+def _(t):
+    return c.readmission_rates(_stored(t))
+
+
+@query(
+    "cq07_subjects_of_stored_table",
+    f"""SELECT subject_id, count(*) AS admissions, count(*) FILTER (WHERE days_until_next <= 30) AS readmitted,
+               max(gender) AS gender FROM ({READMITTED}) JOIN patients USING (subject_id) GROUP BY subject_id""",
+)
+def _(t):
+    return c.subject_readmissions(_stored(t)).join(t.patients.select("subject_id", "gender"), "subject_id")
 
 
 @query(

@@ -24,6 +24,7 @@ from wardlens.functions.scalars import (
     yes_no,
 )
 from wardlens.operators.ordered import next_in_time, over_all
+from wardlens.sources.writers import save_table
 
 PREFIX = "584"
 
@@ -190,6 +191,36 @@ def readmissions(
     return out.orderBy("subject_id", "admittime", "hadm_id") if ordered else out
 
 
+def store_readmissions(
+    diagnoses: DataFrame, admissions: DataFrame, name: str, prefix: str = PREFIX, buckets: int | None = None, path: str | None = None
+) -> DataFrame:
+    """:func:`readmissions` as a catalog table, created or replaced, in buckets by subject.
+
+    Rates and joins by subject read it from then on, so the cohort is built once. There are as many buckets as
+    shuffle partitions unless told otherwise.
+    """
+    table = readmissions(diagnoses, admissions, prefix, ordered=False)
+    buckets = buckets or int(diagnoses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return save_table(table, name, bucket_by=["subject_id"], buckets=buckets, path=path)
+
+
+def readmission_rates(table: DataFrame, limits: tuple[int, ...] = READMISSION_LIMITS) -> DataFrame:
+    """:func:`readmission_rate` for several limits from one scan, as (days, total_admissions, ...)."""
+    hits = [F.count_if(F.col(f"readmitted_within_{d}_days") == "YES").alias(f"h{d}") for d in limits]
+    counted = table.agg(F.count(F.lit(1)).alias("total_admissions"), *hits)
+    each = F.array(*[F.struct(F.lit(d).alias("days"), F.col(f"h{d}").alias("readmissions")) for d in limits])
+    return counted.select("total_admissions", F.inline(each)).select(
+        "days", "total_admissions", "readmissions", percent_up(F.col("readmissions"), F.col("total_admissions")).alias("readmission_rate_percent")
+    )
+
+
+def subject_readmissions(table: DataFrame) -> DataFrame:
+    """Cohort admissions and readmissions within 30 days per subject; a table in buckets by subject is not shuffled."""
+    return table.groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("admissions"), F.count_if(F.col("readmitted_within_30_days") == "YES").alias("readmitted")
+    )
+
+
 def readmission_rate(table: DataFrame, days: int) -> DataFrame:
     hits = F.count_if(F.col(f"readmitted_within_{days}_days") == "YES")
     return table.agg(
