@@ -263,7 +263,7 @@ FROM forms JOIN walk USING (word) JOIN forms ends ON ends.word = walk.top WHERE
 def _(spark, sf_dir):
     from wardlens.llm import spelling as sp
 
-    runs = sp.word_runs(table(spark, sf_dir, "documents"), LETTERS, ["doc_id"])
+    runs = sp.word_runs(table(spark, sf_dir, "documents"), LETTERS, ["doc_id"], min_length=5)  # a slip only shortens a run
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
     hashed = runs.select("run", F.crc32(F.encode(named, "UTF-8")).alias("h"))
     slip = sp.without_code_point(F.col("run"), F.col("h") % F.length("run"))

@@ -34,10 +34,12 @@ def word_counts(occurrences: DataFrame, word: Column, min_length: int = 5, min_c
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
-def word_runs(docs: DataFrame, letters: str, keep: list[str], text: str = "text", name: str = "run") -> DataFrame:
-    """A row for every maximal run of the letters in whole texts, with A-Z lower-cased, beside the kept columns."""
+def word_runs(
+    docs: DataFrame, letters: str, keep: list[str], text: str = "text", name: str = "run", min_length: int = 1
+) -> DataFrame:
+    """A row for every maximal run of so many letters or more in whole texts, A-Z lower-cased, beside the kept columns."""
     held = hidden(docs, "run")
-    runs = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(f"({letters}+)"), F.lit(0))).alias(held))
+    runs = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(f"({letters}{{{min_length},}})"), F.lit(0))).alias(held))
     return runs.select(*keep, F.translate(held, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias(name))
 
 
