@@ -146,3 +146,34 @@ def test_mixed_takes_any_key_and_spreads_neighbours(spark):
     shares = [r[1] for r in test.groupBy("block").agg(F.avg("t")).collect()]
     assert all(0.15 < s < 0.25 for s in shares)
     assert spark.range(1).select(mixed(F.lit("a-b"))).first()[0] >= 0
+
+
+def test_a_second_run_asks_nothing(table, rows, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    cases = table(
+        "case_id long, prompt string, system string",
+        [(1, "a", None), (2, "a", None), (3, "a", ""), (4, "bad", None), (5, "late", "s"), (6, None, None)],
+    )
+
+    def answer(prompt, system):
+        import uuid
+
+        (log / f"{prompt}-{system}-{uuid.uuid4().hex}").touch()
+        if prompt == "bad" or (prompt == "late" and len(list(log.glob("late*"))) < 2):
+            raise RuntimeError("down")
+        return f"{prompt} of {system}"
+
+    want = [(1, "a of None"), (2, "a of None"), (3, "a of"), (4, "ERROR"), (5, "late of s"), (6, "ERROR")]
+    for made in (1 + 1 + 3 + 2, 1 + 1 + 3 + 2):  # equal prompts once, bad ones three times; then nothing
+        ask = a.resumable(lambda key: a.python_responder(answer, key), str(tmp_path / "store"), "case_id")
+        assert rows(ask(cases)) == want
+        assert len(list(log.iterdir())) == made
+    more = a.resumable(lambda key: a.python_responder(answer, key), str(tmp_path / "store"), "case_id", max_tries=4)
+    assert rows(more(cases)) == want and len(list(log.iterdir())) == 8
+
+
+def test_resumed_run_of_no_cases(table, tmp_path):
+    none = table("case_id long, prompt string, system string", [(1, "a", None)]).limit(0)
+    ask = a.resumable(lambda key: a.python_responder(lambda p, s: p, key), str(tmp_path / "store"), "case_id")
+    assert ask(none).count() == 0

@@ -11,7 +11,7 @@ from wardlens.catalog import query
 from wardlens.plans import answers as a
 from wardlens.plans import evaluation as e
 from wardlens.plans import features as f
-from wardlens.session import cut_lineage
+from wardlens.session import cut_lineage, scratch_path
 
 SYMPTOMS = [f"symptom_{i}" for i in range(1, 6)]
 TRIMMED = ", ".join(f"trim({c})" for c in SYMPTOMS)
@@ -126,6 +126,33 @@ def _(t):
     return a.python_responder(_echo, "case_id")(prompted)
 
 
+def _busy(prompt: str, system: str | None) -> str:
+    """As _echo, but out of reach for some more prompts."""
+    if "Symptoms: Brand#1" in prompt:
+        raise TimeoutError("busy")
+    return _echo(prompt, system)
+
+
+def _down(prompt: str, system: str | None) -> str:
+    raise ConnectionError("down")
+
+
+@query(
+    "lm05_resumed_answers",
+    f"""SELECT case_id, {ECHO} AS answer,
+               CASE WHEN {ECHO} = 'ERROR' THEN 3 WHEN starts_with(symptoms[1], 'Brand#1') THEN 2 ELSE 1 END::BIGINT AS calls FROM ({CASES})""",
+)
+def _(t):
+    """Three runs over one store: the first leaves gaps, the second fills them, the third asks nothing."""
+    prompted = a.with_prompt(_cases(t), "zero_shot", classes="any")
+    folder = scratch_path(t.spark, "answers")
+    for answer, tries in ((_busy, 1), (_echo, 3), (_down, 3)):
+        answers = a.resumable(lambda key, answer=answer: a.python_responder(answer, key), folder, "case_id", max_tries=tries)(prompted)
+    calls = a.answer_store(t.spark, folder).groupBy("prompt_key").agg(F.count(F.lit(1)).alias("calls"))
+    keyed = prompted.select("case_id", a.prompt_key().alias("prompt_key")).join(calls, "prompt_key")
+    return answers.join(keyed, "case_id").select("case_id", "answer", "calls")
+
+
 @query(
     "lm05_recorded_answers",
     """SELECT u.conv_id, u.turn, u.text AS prompt, s.text AS answer FROM turns u

@@ -144,6 +144,56 @@ def python_responder(
     return respond
 
 
+STORE = "prompt_key string, answer string, part int"
+
+
+def prompt_key(prompt: Column | str = "prompt", system: Column | str = "system") -> Column:
+    """Digest of a prompt and its system text; a missing system text differs from an empty one."""
+    p, s = (F.col(c) if isinstance(c, str) else c for c in (prompt, system))
+    return F.sha2(F.encode(F.concat_ws("\x00", F.when(s.isNull(), "0").otherwise("1"), F.coalesce(s, F.lit("")), p), "UTF-8"), 256)
+
+
+def answer_store(spark: SparkSession, folder: str) -> DataFrame:
+    """All calls ever made: (prompt_key, answer, part), ERROR for failed ones; empty for a new folder."""
+    spark.createDataFrame([], STORE).write.mode("append").parquet(folder)
+    return spark.read.schema(STORE).parquet(folder)
+
+
+def resumable(responder: Callable[[str], Respond], folder: str, key: str, max_tries: int = 3, parts: int = 4) -> Respond:
+    """A responder that keeps its answers in a folder and asks only for what is missing there.
+
+    ``responder`` makes the responder that is asked, given the name of its key column. Equal prompts are asked
+    once, however many rows have them. A failed prompt is asked again, in this run or a later one, until it has
+    been asked ``max_tries`` times; then it counts as failed. A round appends its answers in several parts, so a
+    run that breaks off loses one part at most, and the next run goes on from there. Rows without a prompt fail.
+    """
+
+    def calls(spark: SparkSession) -> DataFrame:
+        made = answer_store(spark, folder)
+        return made.groupBy("prompt_key").agg(
+            F.count(F.lit(1)).alias("tries"), F.min(F.when(F.col("answer") != fv.FAILED, F.col("answer"))).alias("answer")
+        )
+
+    def respond(asked: DataFrame) -> DataFrame:
+        spark = asked.sparkSession
+        keyed = cut_lineage(asked.withColumn("prompt_key", prompt_key()))
+        wanted = keyed.where(F.col("prompt").isNotNull()).select("prompt_key", "prompt", "system").dropDuplicates(["prompt_key"])
+        for _ in range(max_tries):
+            settled = calls(spark).where(F.col("answer").isNotNull() | (F.col("tries") >= max_tries))
+            missing = wanted.join(settled, "prompt_key", "left_anti")
+            missing = cut_lineage(missing.withColumn("part", F.pmod(F.xxhash64("prompt_key"), F.lit(parts)).cast("int")))
+            if missing.isEmpty():
+                break
+            for part in range(parts):
+                answers = responder("prompt_key")(missing.where(F.col("part") == part))
+                answers.select("prompt_key", "answer", F.lit(part).alias("part")).write.mode("append").parquet(folder)
+        known = calls(spark).select("prompt_key", "answer")
+        found = keyed.select(key, "prompt_key").join(known, "prompt_key", "left")
+        return found.select(key, F.coalesce("answer", F.lit(fv.FAILED)).alias("answer"))
+
+    return respond
+
+
 def recorded(table: DataFrame, key: str, column: str) -> Respond:
     """Answers looked up by case; a case without a record counts as failed."""
 
