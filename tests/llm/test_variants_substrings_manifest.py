@@ -228,3 +228,31 @@ def test_manifest_of_other_fans(spark, fan):
     names = ["leaf", "subroot", "root"]
     got = [(r.doc_id, *[bytes(r[c]).hex() for c in names], bytes(r.proof).hex(), bytes(r.folded_root).hex(), r.verified) for r in found.withColumn("proof", merkle.proof_digest(found.path)).collect()]
     assert ordered(got) == ordered(plain_manifest(rows, fan, lambda d, t: t))
+
+
+CLASHES = ["_text", "_told", "_told_score", "_own_0", "_own_1", "est", "kept", "distance", "words", "length", "score", "lang_pred"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    """The filtering stages of the pipeline return the rows as they were, whatever further columns are called."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(2)
+    texts = [" ".join(random.choice(WORDS) for _ in range(80)) for _ in range(30)] + [None, "", "x"]
+    rows = [(i, t, "en", "s", None if t is None else len(t), *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        left = [tuple(r) for r in out.collect()]
+        assert 20 <= len(left) and set(left) <= set(rows), name
+
+
+def test_encoders_keep_columns_with_clashing_names(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from wardlens.llm import bpe, sentence_pieces
+
+    docs = spark.createDataFrame([(1, "a b", "own")], "doc_id long, text string, _text string")
+    counted = bpe.token_counts(docs, tokenizers.path("byte_bpe_50k.json"), ["doc_id", "_text"]).first()
+    assert (counted["_text"], counted["n_tokens"]) == ("own", 2)
+    assert sentence_pieces.encode(docs, tokenizers.path("piece_bpe_32k.model"), ["doc_id", "_text"]).first()["_text"] == "own"

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from wardlens.llm.native import hidden
 from wardlens.llm.tables import Bounded, map_texts
 
 CHUNKS, PRE_TOKENS = 600_000, 400_000
@@ -189,4 +190,5 @@ def token_counts(docs: DataFrame, path: str, keys: list[str], text: str = "text"
         count = counter(path)
         return lambda texts: [pa.array(list(map(count, texts)), pa.int64())]
 
-    return map_texts(docs.select(*keys, F.col(text).alias("_text")), "_text", schema, work)
+    held = hidden(docs, "text")
+    return map_texts(docs.select(*keys, F.col(text).alias(held)), held, schema, work)

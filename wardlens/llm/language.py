@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from wardlens.llm.native import hidden
 from wardlens.llm.tables import map_texts
 from wardlens.operators.ordered import first_rows
 
@@ -155,11 +156,13 @@ def predict(
 
         return run
 
-    return map_texts(docs.select(*keys, F.col(text).alias("_text")), "_text", schema, work)
+    held = hidden(docs, "text")
+    return map_texts(docs.select(*keys, F.col(text).alias(held)), held, schema, work)
 
 
 def in_stated_language(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told and is the stated one (NULL: any), with their columns."""
-    found = predict(docs, learn(docs), docs.columns, names=("_told", "_told_score"))
-    stated = F.coalesce(F.col("_told") == F.col("lang"), F.lit(True))
-    return found.where((F.col("_told") != UNKNOWN) & stated).select(*docs.columns)
+    told, score = hidden(docs, "told"), hidden(docs, "told_score")
+    found = predict(docs, learn(docs), docs.columns, names=(told, score))
+    stated = F.coalesce(F.col(told) == F.col("lang"), F.lit(True))
+    return found.where((F.col(told) != UNKNOWN) & stated).select(*docs.columns)

@@ -270,7 +270,10 @@ def kept_documents(docs: DataFrame, cutoff: float = 15.0) -> DataFrame:
     beside the texts, so that texts are joined with one row per group and not with one row per document.
     """
     stats = cut_lineage(statistics(docs).select("lang", "source", "base_failed", *STATS))
-    clash = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
+    prefix = "_own"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    clash = {c: f"{prefix}_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
     renamed = docs.withColumnsRenamed(clash)
     found = judged(statistics(renamed), estimate(stats), cutoff).where("kept")
     return found.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])

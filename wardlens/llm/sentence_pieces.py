@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from wardlens.llm.native import hidden
 from wardlens.llm.tables import Bounded, map_texts
 
 CHUNKS = 250_000
@@ -83,7 +84,8 @@ def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> D
 
         return run
 
-    return map_texts(docs.select(*keys, F.col(text).alias("_text")), "_text", schema, work)
+    held = hidden(docs, "text")
+    return map_texts(docs.select(*keys, F.col(text).alias(held)), held, schema, work)
 
 
 def encode_digests(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:
@@ -109,4 +111,5 @@ def encode_digests(docs: DataFrame, path: str, keys: list[str], text: str = "tex
 
         return run
 
-    return map_texts(docs.select(*keys, F.col(text).alias("_text")), "_text", schema, work)
+    held = hidden(docs, "text")
+    return map_texts(docs.select(*keys, F.col(text).alias(held)), held, schema, work)
