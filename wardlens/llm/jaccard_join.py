@@ -4,9 +4,12 @@ A document is the set of its distinct word n-grams; two documents link when thei
 least ``percent`` / 100. Documents with equal sets are one node. Sets are ordered by one global order, from
 rare to common n-grams (counts of all documents in a table of fixed size; equal counts by hash).
 
-1. Index. Linked sets share an n-gram among the first ``n - ceil(t * n) + 1`` of each, so every node is
-   listed under these only. Most of the lists have one node; the others are divided by set size. Sets of
-   like size share more than one list, so a node with fewer than any set in a list asks for leaves it.
+1. Index. Linked sets share an n-gram among the first ``n - ceil(t * n) + 1`` of each. Every node is listed under
+   about twice as many, so that linked sets share ``n - ceil(t * n) + 1`` lists at least, about half of a node's,
+   and more if they are of like size. A node that shares fewer lists with all others leaves before anything else
+   is done; the lists are then divided by set size, and a node with fewer than any set in a list asks for
+   leaves it. So what goes on follows the near copies, not how many n-grams unrelated texts share by chance,
+   which grows with the corpus.
 2. Star. Each list takes a hub, the node that is in most lists, and all others are compared with it: a block of sets is
    stored as a trie (paths from common to rare n-grams, in sorted order with the depth each shares with the
    path before), the hub's overlap is carried along shared paths, and a subtree is left as soon as the
@@ -78,8 +81,9 @@ class Overlap:
     def __init__(self, percent: int):
         self.t = Fraction(percent, 100)
 
-    def prefix(self, n: int) -> int:
-        return n - ceil(self.t * n) + 1
+    def listed(self, n: int) -> int:
+        """Under how many of its first n-grams a set of n is listed; ``_unlisted`` says the same of columns."""
+        return min(n, 2 * (n - ceil(self.t * n)) + 1)
 
     def wanted(self, a: int, b: int) -> int:
         """Least common elements of linked sets of sizes a and b."""
@@ -162,7 +166,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, cells, text: str = "text"
                     continue
                 if len(seen) < MEMBERS:
                     seen.add(node)
-                tokens.append(rare_first(hashes, counts)[: bounds.prefix(len(hashes))])
+                tokens.append(rare_first(hashes, counts)[: bounds.listed(len(hashes))])
                 nodes.append(node)
             if nodes:
                 gid = np.concatenate(tokens).view(np.int64)
@@ -347,7 +351,9 @@ def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     step = log(100 / percent) * 1.001 if percent < 100 else 1e-6
     own = F.floor(F.log("n") / step)
-    facts = nodes.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("rank")), "node").select("node", "n", "rank", own.alias("own"))
+    ranked = nodes.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("rank")), "node")
+    n = F.col("n")
+    facts = ranked.where(F.col("rank") >= _least_of_sizes(n, *_like_sizes(n, percent), percent)).select("node", "n", "rank", own.alias("own"))
     return (
         shared.select("gid", "node")
         .join(facts, "node")
@@ -357,12 +363,36 @@ def _by_size(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _least_shared(n: Column, other: Column, percent: int) -> Column:
-    """How many n-grams the prefixes of linked sets of these sizes have in common at least.
+    """How many lists linked sets of these sizes share at least.
 
-    Sets with o common elements share k of them among the first n - o + k of each, in any one order.
+    Common n-grams that a set is not listed under are its last, in one order for all, so of the sets' common
+    n-grams no more are missing than the larger number that one of them is not listed under.
     """
     wanted = F.ceil((n + other) * percent / F.lit(100 + percent) - 1e-9)
-    return 1 + wanted - F.ceil(F.greatest(n, other) * percent / F.lit(100) - 1e-9)
+    return wanted - F.greatest(_unlisted(n, percent), _unlisted(other, percent))
+
+
+def _unlisted(n: Column, percent: int) -> Column:
+    """How many n-grams of a set of n it is not listed under."""
+    return F.greatest(F.lit(0), 2 * F.ceil(n * percent / F.lit(100) - 1e-9) - n - 1)
+
+
+def _like_sizes(n: Column, percent: int) -> tuple[Column, Column]:
+    """Least and largest size of the sets that a set of n can link with."""
+    return F.ceil(n * percent / F.lit(100) - 1e-9), F.floor(n * 100 / F.lit(percent) + 1e-9)
+
+
+def _least_of_sizes(n: Column, smallest: Column, largest: Column, percent: int) -> Column:
+    """The least of ``_least_shared`` over all sizes of a range.
+
+    Without roundings, which are worth two, it is concave in the other size, so its least is at an end.
+    """
+
+    def unrounded(other: Column) -> Column:
+        gone = F.greatest(n, other) * F.lit((2 * percent - 100) / 100) - 1
+        return (n + other) * F.lit(percent / (100 + percent)) - F.greatest(F.lit(0.0), gone)
+
+    return F.greatest(F.lit(1), F.ceil(F.least(unrounded(smallest), unrounded(largest)) - 2 - 1e-6))
 
 
 def _viable(lists: DataFrame, percent: int) -> DataFrame:
@@ -372,10 +402,8 @@ def _viable(lists: DataFrame, percent: int) -> DataFrame:
     several = dealt.join(ends.where("a < b").drop("a", "b"), "gid")
     counted = several.groupBy("node", "c").agg(F.count(F.lit(1)).alias("lists"))
     n = F.col("n")
-    smaller = F.greatest(F.col("lo"), F.ceil(n * percent / F.lit(100) - 1e-9))
-    larger = F.least(F.col("hi"), F.floor(n * 100 / F.lit(percent) + 1e-9))
-    # For larger sets the bound falls with the size but for roundings, which are worth one.
-    least = F.least(_least_shared(n, smaller, percent), _least_shared(n, larger, percent) - 1)
+    smallest, largest = _like_sizes(n, percent)
+    least = _least_of_sizes(n, F.greatest("lo", smallest), F.least("hi", largest), percent)
     return several.join(counted, ["node", "c"]).where(F.col("lists") >= least).select(*lists.columns)
 
 
@@ -408,7 +436,7 @@ def _across(listed: DataFrame, tried: DataFrame, named: DataFrame, sets: DataFra
     left = _viable(members.join(several, "gid", "left_semi"), percent)
     open_stars = cut_lineage(tried.join(left.select("hub", "node").distinct(), ["hub", "node"]).select("hub", "node", "linked"))
     component = component.withColumnRenamed("p", "c")
-    lists = differences(open_stars, sets, percent).join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    lists = cut_lineage(differences(open_stars, sets, percent)).join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
     dealt = lists.repartition("gid")
     mixed = dealt.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
     lists = cut_lineage(dealt.join(mixed, "gid", "left_semi"))
