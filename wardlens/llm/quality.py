@@ -275,5 +275,8 @@ def kept_documents(docs: DataFrame, cutoff: float = 15.0) -> DataFrame:
         prefix = f"_{prefix}"
     clash = {c: f"{prefix}_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
     renamed = docs.withColumnsRenamed(clash)
-    found = judged(statistics(renamed), estimate(stats), cutoff).where("kept")
+    # A one-row generator: the filter on the verdict cannot go below it and compute the statistics anew.
+    every = statistics(renamed)
+    once = every.select(F.inline(F.array(F.struct(*[F.col(c) for c in every.columns]))))
+    found = judged(once, estimate(stats), cutoff).where("kept")
     return found.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
