@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.catalog import query
@@ -10,6 +11,7 @@ from wardlens.operators.nearest import nearest_rows, neighbours
 from wardlens.plans import features as f
 from wardlens.plans import models as m
 from wardlens.plans import notes as n
+from wardlens.plans.words import association, gram, neighbour_counts, vocabulary, word_vectors
 from wardlens.session import cut_lineage
 
 COPIES = """
@@ -142,18 +144,74 @@ def _(t):
     )
 
 
-def _word_model(t):
-    return n.word_vectors(t.noteevents, size=100, window=5, min_count=2, partitions=4)
+#: Tables of fitted vectors by application and folder: fitted once, read by all queries on word vectors.
+_FITTED: dict[tuple[str, str], DataFrame] = {}
 
 
-@query("tx06_word_vectors")
+def _word_vectors(t):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = word_vectors(t.noteevents, size=100, window=5, min_count=2)
+    return _FITTED[key]
+
+
+TOKENS = r"""placed AS (SELECT row_id, i AS pos, list_extract(words, i) AS word FROM
+        (SELECT row_id, words, unnest(range(1, len(words) + 1)) AS i FROM
+          (SELECT row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM noteevents WHERE text IS NOT NULL))),
+    vocabulary AS (SELECT word, count(*) AS n FROM placed GROUP BY 1 HAVING count(*) >= 2)"""
+CELLS = (
+    TOKENS
+    + """, near AS (SELECT a.word, b.word AS context, 6 - abs(a.pos - b.pos) AS weight FROM placed a JOIN (SELECT *, unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS d FROM placed) b
+              ON a.row_id = b.row_id AND a.pos = b.pos + d),
+    counts AS (SELECT word, context, sum(weight)::BIGINT AS n FROM near
+               WHERE word IN (SELECT word FROM vocabulary) AND context IN (SELECT word FROM vocabulary) GROUP BY 1, 2),
+    sums AS (SELECT word, sum(n)::DOUBLE AS total FROM counts GROUP BY 1)"""
+)
+
+
+@query(
+    "tx06_word_vectors",
+    f"""WITH {CELLS}, above AS (SELECT DISTINCT c.word FROM counts c JOIN sums a ON c.word = a.word JOIN sums b ON c.context = b.word
+                              WHERE ln(n * (SELECT sum(total) FROM sums) / a.total / b.total) > 0)
+        SELECT word, n, 100 AS dims, word IN (SELECT word FROM above) AS placed FROM vocabulary""",
+)
 def _(t):
-    return n.vector_table(_word_model(t)).select("word", F.size("vector").alias("dims"), n.norm(F.col("vector")).alias("length"))
+    """Every word of the vocabulary has a vector; words with an association above chance have one that is not zero."""
+    return _word_vectors(t).select("word", "n", F.size("vector").alias("dims"), (n.norm(F.col("vector")) > 0).alias("placed"))
+
+
+@query("tx06_neighbour_counts", f"WITH {CELLS} SELECT word, context, n FROM counts")
+def _(t):
+    return neighbour_counts(t.noteevents, vocabulary(t.noteevents))
+
+
+@query(
+    "tx06_association",
+    f"""WITH {CELLS} SELECT * FROM (SELECT c.word, context, round(ln(n * (SELECT sum(total) FROM sums) / a.total / b.total), 6) AS weight
+        FROM counts c JOIN sums a ON c.word = a.word JOIN sums b ON c.context = b.word) WHERE weight > 0""",
+)
+def _(t):
+    cells = association(neighbour_counts(t.noteevents, vocabulary(t.noteevents)))
+    return cells.select("word", "context", F.round("weight", 6).alias("weight")).where("weight > 0")
+
+
+@query("tx06_orthogonality", "SELECT 10000::BIGINT AS products, true AS orthogonal, true AS largest_first")
+def _(t):
+    """The columns of all vectors: pairwise orthogonal, with lengths that do not grow."""
+    products = cut_lineage(gram(_word_vectors(t), "vector"))
+    lengths = products.where("i = j").select(F.col("i").alias("at"), F.col("x").alias("length"))
+    a, b = lengths.withColumnsRenamed({"at": "i", "length": "a"}), lengths.withColumnsRenamed({"at": "j", "length": "b"})
+    held = products.join(a, "i").join(b, "j")
+    return held.agg(
+        F.count(F.lit(1)).alias("products"),
+        F.bool_and((F.col("i") == F.col("j")) | (F.abs("x") <= F.lit(1e-6) * F.greatest("a", "b"))).alias("orthogonal"),
+        F.bool_and((F.col("i") >= F.col("j")) | (F.col("b") <= F.col("a") * (1 + 1e-9))).alias("largest_first"),
+    )
 
 
 @query("tx07_nearest_words")
 def _(t):
-    return n.nearest_words(n.vector_table(_word_model(t)), n.terms_table(t.spark, ["the", "and", *WATCHED_TERMS]))
+    return n.nearest_words(_word_vectors(t).select("word", "vector"), n.terms_table(t.spark, ["the", "and", *WATCHED_TERMS]))
 
 
 @query(
@@ -173,21 +231,32 @@ def _(t):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("tx15_token_vectors")
+@query(
+    "tx15_token_vectors",
+    f"WITH {TOKENS} SELECT row_id, count(*) AS tokens, 100 AS dims FROM placed JOIN vocabulary USING (word) GROUP BY 1",
+)
 def _(t):
-    placed = n.token_vectors(t.noteevents, n.vector_table(_word_model(t)))
-    return placed.groupBy("row_id").agg(F.count(F.lit(1)).alias("tokens"), F.avg(F.get("vector", F.lit(0))).alias("mean_first"))
+    placed = n.token_vectors(t.noteevents, _word_vectors(t))
+    return placed.groupBy("row_id").agg(F.count(F.lit(1)).alias("tokens"), F.min(F.size("vector")).alias("dims"))
 
 
-@query("tx16_frequent_word_vectors")
+@query(
+    "tx16_frequent_word_vectors",
+    f"WITH {TOKENS} SELECT word, n, 100 AS dims FROM vocabulary ORDER BY n DESC, word LIMIT 1000",
+)
 def _(t):
-    return n.frequent_word_vectors(t.noteevents, n.vector_table(_word_model(t)), 1000)
+    return n.frequent_word_vectors(t.noteevents, _word_vectors(t), 1000).select("word", "n", F.size("vector").alias("dims"))
 
 
-@query("tx08_word_mean_embedding")
+@query(
+    "tx08_word_mean_embedding",
+    f"""WITH {TOKENS} SELECT e.row_id, 100 AS dims, coalesce(known, false) AS placed FROM noteevents e
+        LEFT JOIN (SELECT row_id, true AS known FROM placed JOIN vocabulary USING (word) GROUP BY 1) k ON e.row_id = k.row_id
+        WHERE text IS NOT NULL""",
+)
 def _(t):
-    model = _word_model(t)
-    return n.word_mean_vectors(model, t.noteevents.select("row_id", "text")).drop("text")
+    means = n.word_mean_vectors(_word_vectors(t), t.noteevents.select("row_id", "text"), 100)
+    return means.select("row_id", F.size("vector").alias("dims"), (n.norm(F.col("vector")) > 0).alias("placed"))
 
 
 @query(

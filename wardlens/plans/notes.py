@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,24 +203,9 @@ def entity_counts(
 # ---- word vectors -----------------------------------------------------------
 
 
-def word_vectors(
-    notes: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, partitions: int = 1, seed: int = 42
-):
-    """Fitted word model over the tokens of all notes; ``partitions`` trains in parallel."""
-    words = notes.where(F.col("text").isNotNull()).select(tokens("text").alias("words"))
-    return Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, inputCol="words", outputCol="vector",
-        numPartitions=partitions, seed=seed,
-    ).fit(words)
-
-
-def vector_table(model) -> DataFrame:
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
-
-
 def frequent_word_vectors(notes: DataFrame, vectors: DataFrame, n: int = 1000) -> DataFrame:
-    """Vectors of the n most frequent words of the vocabulary."""
-    return token_counts(notes).join(vectors, "word").orderBy(F.desc("n"), "word").limit(n)
+    """Vectors of the n most frequent words of the vocabulary, with their number in these notes."""
+    return token_counts(notes).join(vectors.select("word", "vector"), "word").orderBy(F.desc("n"), "word").limit(n)
 
 
 def token_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -228,7 +213,7 @@ def token_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
     placed = notes.where(F.col("text").isNotNull()).select(
         "row_id", F.posexplode(tokens("text")).alias("pos", "word")
     )
-    return placed.join(vectors, "word")
+    return placed.join(vectors.select("word", "vector"), "word")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -282,10 +267,17 @@ def letter_encoder():
     return encode
 
 
-def word_mean_vectors(model, notes: DataFrame) -> DataFrame:
-    """Note vector as the mean of its word vectors."""
-    words = notes.where(F.col("text").isNotNull()).withColumn("words", tokens("text"))
-    return model.transform(words).drop("words")
+def word_mean_vectors(vectors: DataFrame, notes: DataFrame, size: int, text: str = "text", key: str = "row_id") -> DataFrame:
+    """Notes with text and ``vector``, the mean over their tokens in the vocabulary; zeros if there are none.
+
+    A note's repeated words meet their vector once.
+    """
+    listed = notes.where(F.col(text).isNotNull())
+    counted = listed.select(key, F.explode(tokens(text)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
+    sums = [F.sum(F.get("vector", F.lit(i)) * F.col("_n")) / F.sum("_n") for i in range(size)]
+    means = counted.join(vectors.select("word", "vector"), "word").groupBy(key).agg(F.array(*sums).alias("vector"))
+    nothing = F.array_repeat(F.lit(0.0), size)
+    return listed.join(means, key, "left").withColumn("vector", F.coalesce("vector", nothing))
 
 
 # ---- similarity -------------------------------------------------------------
