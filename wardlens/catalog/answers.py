@@ -11,6 +11,7 @@ from wardlens.catalog import query
 from wardlens.plans import answers as a
 from wardlens.plans import evaluation as e
 from wardlens.plans import features as f
+from wardlens.plans import passes as ps
 from wardlens.session import cut_lineage, scratch_path
 
 SYMPTOMS = [f"symptom_{i}" for i in range(1, 6)]
@@ -244,6 +245,36 @@ def _(t):
     return out.select("case_id", "disease", F.array_join("potential", "|").alias("potential"), "prediction")
 
 
+def _asked(name: str, kind: str, answer: str, **places: str) -> str:
+    """SQL columns of one pass: digest of its prompt, its system text and its answer."""
+    system = _filled(fv.SYSTEM[kind], **places) if kind in fv.SYSTEM else "NULL::VARCHAR"
+    return f"""case_id, '{name}' AS pass, md5({_filled(fv.PROMPT[kind], symptoms=TEXT, **places)}) AS prompt_digest,
+               {system} AS system, coalesce(trim({answer}), 'ERROR') AS answer"""
+
+
+def _recorded(t, log, *names, **columns):
+    """Recorded answers as responders on record, a pass for each name, from a column of that or another name."""
+    return [log.of(x, a.recorded(t.answers, "case_id", columns.get(x, x))) for x in names]
+
+
+def _transcript(log):
+    return log.table().select("case_id", "pass", F.md5("prompt").alias("prompt_digest"), "system", "answer")
+
+
+@query(
+    "lm11_transcript",
+    f"""WITH known AS (SELECT c.*, listed, ranking, {LISTED.replace("listed", "coalesce(trim(listed), 'ERROR')")} AS names
+                       FROM ({CASES}) c LEFT JOIN answers a ON c.case_id = a.case_id)
+        SELECT {_asked("list", "list", "listed", classes=CLASSES, how_many="'7'")} FROM known
+        UNION ALL SELECT {_asked("rank", "rank", "ranking", candidates="array_to_string(names[1:3], ', ')")} FROM known WHERE len(names) > 1""",
+)
+def _(t):
+    """Prompts and answers of both passes of the narrowing job."""
+    cases, log = _cases(t), ps.Transcript()
+    a.narrow_down(cases, a.class_names(cases, "disease"), *_recorded(t, log, "list", "rank", list="listed", rank="ranking"))
+    return _transcript(log)
+
+
 MAPPING = """
     SELECT disease, arg_max(category, pos) AS category FROM category_members GROUP BY 1
     UNION ALL SELECT DISTINCT disease, 'Other' FROM cases WHERE disease NOT IN (SELECT disease FROM category_members)"""
@@ -319,6 +350,24 @@ def _(t):
     return _by_category(t)
 
 
+@query(
+    "lm14_transcript",
+    EVERYONE
+    + f""", sets AS ({SETS}), known AS (
+          SELECT c.*, a.category, few_shot FROM ({CASES}) c LEFT JOIN answers a ON c.case_id = a.case_id), settled AS (
+          SELECT k.* EXCLUDE (category), s.category, candidates FROM known k JOIN sets s ON s.category =
+                 CASE WHEN trim(k.category) IN (SELECT category FROM sets) THEN trim(k.category)
+                      ELSE (SELECT category FROM sets ORDER BY size DESC, category DESC LIMIT 1) END)
+        SELECT {_asked("category", "category", "category", categories=f"(SELECT string_agg(category, ', ' ORDER BY category) FROM (SELECT DISTINCT category FROM ({MAPPING})))")} FROM known
+        UNION ALL SELECT {_asked("within", "within_category", "few_shot", category="category", candidates="array_to_string(candidates, ', ')")} FROM settled""",
+)
+def _(t):
+    """Prompts and answers of both passes of the job by category."""
+    log = ps.Transcript()
+    a.by_category(_cases(t), t.category_members, *_recorded(t, log, "category", "within", within="few_shot"))
+    return _transcript(log)
+
+
 @query(
     "lm14_by_category_against_direct",
     f"""SELECT round(b, 6) AS first_accuracy, round(d, 6) AS second_accuracy,
@@ -482,6 +531,50 @@ def _(t):
     return a.weigh_votes(_voted(t), "confidence").select("case_id", "final_prediction", "final_confidence")
 
 
+def _vote(t, log):
+    """The whole voting job on the test cases, with examples from the training cases."""
+    split = cut_lineage(_split(t))
+    return ps.vote(
+        split.where("is_test").select("case_id", "disease", "symptoms"),
+        F.array_join(a.class_names(split, "disease"), ", "),
+        a.few_shot_examples(split.where(~F.col("is_test")), 5),
+        *_recorded(t, log, "direct", "chain", "few_shot", "confidence"),
+    )
+
+
+CANDIDATES = "list_sort(list_distinct(predictions))"
+POLLED = f"""polled AS (SELECT c.*, direct, chain, few_shot, a.confidence, predictions FROM ({SPLIT}) c
+                        JOIN answers a ON c.case_id = a.case_id JOIN ({VOTES}) v ON c.case_id = v.case_id WHERE is_test)"""
+
+
+@query(
+    "lm20_vote_job",
+    rf"""WITH {POLLED} SELECT case_id, disease, array_to_string(predictions, '|') AS predictions, name AS final_prediction, conf AS final_confidence
+        FROM (SELECT *, coalesce(nullif(regexp_extract(confidence, '(?is)\Q' || name || '\E.*?CONFIDENCE:?\s*(\d+)%', 1), '')::INT, 50) AS conf
+              FROM (SELECT *, unnest({CANDIDATES}) AS name FROM polled))
+        QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY conf DESC, name) = 1""",
+)
+def _(t):
+    """Four passes from cases to the surest answer."""
+    out = _vote(t, ps.Transcript())
+    return out.select("case_id", "disease", F.array_join("predictions", "|").alias("predictions"), "final_prediction", "final_confidence")
+
+
+@query(
+    "lm20_transcript",
+    f"""WITH {POLLED}
+        SELECT {_asked("direct", "vote_direct", "direct", classes=CLASSES)} FROM polled
+        UNION ALL SELECT {_asked("chain", "vote_chain", "chain", classes=CLASSES)} FROM polled
+        UNION ALL SELECT {_asked("few_shot", "vote_few_shot", "few_shot", classes=CLASSES, examples=EXAMPLES)} FROM polled
+        UNION ALL SELECT {_asked("confidence", "confidence", "confidence", candidates=f"array_to_string({CANDIDATES}, ', ')")} FROM polled""",
+)
+def _(t):
+    """Prompts and answers of all four passes."""
+    log = ps.Transcript()
+    _vote(t, log)
+    return _transcript(log)
+
+
 @query(
     "lm21_relevance",
     f"""SELECT disease, symptom, round(count(*) / any_value(total)::DOUBLE, 6) AS relevance
