@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from wardlens.plans import notes as n
+from wardlens.plans import words as wd
 from wardlens.plans.words import association, gram, neighbour_counts, vocabulary, word_vectors
 
 TEXTS = [
@@ -104,3 +105,15 @@ def test_note_means(spark, notes):
     means = {r.row_id: r.vector for r in n.word_mean_vectors(vectors, notes, 2).collect()}
     assert means[6] == [0.75, 0.5] and means[5] == [0.5, 1.0] and means[4] == [0.0, 0.0]
     assert 3 not in means and len(means) == len(TEXTS) - 1
+
+
+def test_counts_of_long_notes_in_many_groups(spark, monkeypatch):
+    """Notes longer than a chunk, words in several hash classes; pairs meet the vocabulary without a join of single pairs."""
+    texts = [" ".join(f"v{(i * i + k) % 41}" for i in range(length)) for k, length in enumerate((999, 1000, 1001, 1004, 2600, 1, 0))]
+    notes = spark.createDataFrame(list(enumerate([*texts, None])), "row_id long, text string")
+    monkeypatch.setattr(wd, "PAIRS_IN_GROUP", 1000)
+    words, counts = plain_counts(texts, 5, 2)
+    found = neighbour_counts(notes, vocabulary(notes, 2), 5)
+    assert {(r.word, r.context): r.n for r in found.collect()} == counts
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan

@@ -1,26 +1,35 @@
 """Word vectors without a vocabulary on the driver.
 
-Weighted neighbour counts are a table, their positive pointwise mutual information is a sparse symmetric
-matrix cut into square blocks of words, and a randomised range finder with power steps finds its leading
-eigenvectors block by block. Only matrices of (size + extra) squared numbers reach the driver.
+Weighted neighbour counts are added up in blocks of word pairs, their positive pointwise mutual information is a
+sparse symmetric matrix over blocks of words, and a randomised range finder with power steps finds its leading
+eigenvectors block by block. What reaches the driver: matrices of (size + extra) squared numbers and the places of
+the ``front`` most frequent words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardlens.plans.notes import token_counts, tokens
 from wardlens.session import cut_lineage
 
+#: Tokens of a note dealt as one row; a longer note is several rows that overlap by the window.
+CHUNK = 1000
+#: Pairs a task adds up before it passes them on.
+PAIRS_AT_ONCE = 1 << 24
+#: Pairs in all notes for each group of the shuffle that adds them up; equal pairs were added up before.
+PAIRS_IN_GROUP = 1 << 23
 #: Blocks added in one step when partial products are summed, which bounds the memory of a task.
 FAN_IN = 16
-#: Cells multiplied at once inside a task.
+#: Cells multiplied or spelled at once inside a task.
 STRETCH = 50_000
 
 
@@ -29,32 +38,185 @@ def vocabulary(notes: DataFrame, min_count: int = 2) -> DataFrame:
     return token_counts(notes).where(F.col("n") >= min_count)
 
 
+def _told_apart(notes: DataFrame) -> tuple[int, int]:
+    """A seed with which all words of the notes have different hashes, and the number of their tokens."""
+    words = cut_lineage(token_counts(notes))
+    for seed in count():
+        hashed = words.groupBy(_hash("word", seed)).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
+        most, total = hashed.agg(F.max("words"), F.sum("n")).first()
+        if (most or 0) < 2:
+            return seed, total or 0
+
+
+def _hash(word: Column | str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), word)
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """All values of a list column in one array."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _pairs(ids: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, and (low, high, n) of the pairs in chunks of tokens as places in them, in order."""
+    names, codes = np.unique(ids, return_inverse=True)
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    room = np.repeat(lengths, lengths) - at
+    bits = window.bit_length()
+    keys = []
+    for d in range(1, window + 1):
+        here = np.flatnonzero((at < CHUNK) & (room > d))
+        a, b = codes[here], codes[here + d]
+        keys.append(((np.minimum(a, b) * len(names) + np.maximum(a, b)) << bits) | (window + 1 - d))
+    keys = np.concatenate(keys)
+    keys.sort()
+    weights = keys & ((1 << bits) - 1)
+    keys >>= bits
+    starts = _starts(keys)
+    n = np.add.reduceat(weights, starts) if len(starts) else weights
+    return names, *np.divmod(keys[starts], max(1, len(names))), n
+
+
+def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
+    """Pairs added up inside tasks, in one row per batch and pair of hash classes.
+
+    (first, second, word, runs, context, n): each hash of ``word`` stands before so many of the contexts.
+    """
+    listed = notes.where(F.col("text").isNotNull()).select(F.transform(tokens("text"), lambda w: _hash(w, seed)).alias("ids"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(CHUNK))
+    chunks = listed.select("ids", F.explode(begins).alias("at")).select(F.slice("ids", F.col("at") + 1, CHUNK + window).alias("ids"))
+    fields = [("first", pa.int32()), ("second", pa.int32()), ("word", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32())),
+              ("context", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))]
+
+    def added(held: list[pa.ListArray]) -> pa.RecordBatch | None:
+        ids = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in held])
+        lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
+        names, low, high, n = _pairs(ids, lengths, window)
+        if not len(n):
+            return None
+        kind = names % grid
+        group = kind[low] * grid + kind[high]
+        order = np.argsort(group, kind="stable")
+        group, low, high, n = group[order], low[order], high[order], n[order]
+        edges = _starts(group)
+        words, runs, contexts, sums = [], [], [], []
+        for a, b in zip(edges, [*edges[1:], len(group)]):
+            begin = _starts(low[a:b])
+            words.append(names[low[a:b][begin]])
+            runs.append(np.diff([*begin, b - a]))
+            contexts.append(names[high[a:b]])
+            sums.append(n[a:b])
+        columns = [pa.array(x, pa.int32()) for x in np.divmod(group[edges], grid)]
+        columns += [_lists(x, t.value_type) for x, (_, t) in zip((words, runs, contexts, sums), fields[2:])]
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens_held = [], 0
+        step = max(1, PAIRS_AT_ONCE // (4 * window * CHUNK))
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                held.append(batch.column(0).slice(i, step))
+                tokens_held += len(held[-1].flatten())
+                if tokens_held * window >= PAIRS_AT_ONCE:
+                    out, held, tokens_held = added(held), [], 0
+                    if out is not None:
+                        yield out
+        if held and (out := added(held)) is not None:
+            yield out
+
+    schema = "first int, second int, word array<bigint>, runs array<int>, context array<bigint>, n array<int>"
+    return chunks.mapInArrow(run, schema)
+
+
+def _for_both(table: DataFrame, kind: str, grid: int) -> DataFrame:
+    """Rows of a hash class for every group (first, second) that the class is the first or the second of."""
+    others = F.sequence(F.lit(0), F.lit(grid - 1))
+    own = F.col(kind).cast("int")
+    places = F.concat(
+        F.transform(others, lambda o: F.struct(own.alias("first"), o.cast("int").alias("second"), F.lit(False).alias("as_second"))),
+        F.transform(others, lambda o: F.struct(o.cast("int").alias("first"), own.alias("second"), F.lit(True).alias("as_second"))),
+    )
+    return table.select(F.inline(places), *[c for c in table.columns if c != kind])
+
+
+def _grouped(
+    cells: DataFrame, table: DataFrame, kind: str, grid: int,
+    found: Callable[[pa.Table, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str, fields: list,
+) -> DataFrame:
+    """Rows that ``found`` makes of the cells of a pair of hash classes and the rows of both classes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        second = right.column("as_second").to_numpy()
+        return pa.Table.from_batches(found(left, right.filter(pa.array(~second)), right.filter(pa.array(second))) if left.num_rows else [], pa.schema(fields))
+
+    keys = ["first", "second"]
+    return cells.groupBy(*keys).cogroup(_for_both(table, kind, grid).groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _added_up(parts: pa.Table, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n) of the pairs of known words, as places in two ordered lists of hashes."""
+
+    def places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, hashes).clip(max=len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
+
+    if not len(first) or not len(second):
+        return (np.zeros(0, np.int64),) * 3
+    a = np.repeat(places(first, _flat(parts.column("word"))), _flat(parts.column("runs")))
+    b, n = places(second, _flat(parts.column("context"))), _flat(parts.column("n"))
+    kept = (a >= 0) & (b >= 0)
+    key, n = a[kept] * len(second) + b[kept], n[kept].astype(np.int64)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    starts = _starts(key)
+    return *np.divmod(key[starts], len(second)), np.add.reduceat(n, starts) if len(starts) else n
+
+
 def neighbour_counts(notes: DataFrame, words: DataFrame, window: int = 5) -> DataFrame:
     """Symmetric (word, context, n) of vocabulary words at most ``window`` tokens apart in a note.
 
     A pair at distance d weighs window + 1 - d, the mean effect of windows of random width. A word
     beside itself counts in both directions, like any pair. Words outside the vocabulary keep their places.
-    """
-    listed = notes.where(F.col("text").isNotNull()).select(tokens("text").alias("words"))
-
-    def at(d):
-        length = F.greatest(F.size("words") - d, F.lit(0))
-        return F.zip_with(
-            F.slice("words", F.lit(1), length),
-            F.slice("words", d + 1, length),
-            lambda a, b: F.struct(
-                F.least(a, b).alias("word"), F.greatest(a, b).alias("context"), (F.lit(window + 1) - d).alias("weight")
-            ),
-        )
 
-    pairs = listed.select(F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), at))))
-    counted = pairs.groupBy("word", "context").agg(F.sum("weight").alias("n"))
-    known = counted.join(words.select("word"), "word", "left_semi").join(
-        words.select(F.col("word").alias("context")), "context", "left_semi"
-    )
-    both = F.array(F.struct("word", "context", "n"), F.struct(F.col("context").alias("word"), F.col("word").alias("context"), "n"))
-    itself = F.array(F.struct("word", "context", (2 * F.col("n")).alias("n")))
-    return known.select(F.inline(F.when(F.col("word") == F.col("context"), itself).otherwise(both)))
+    Tasks add up the pairs of their notes by hashes under which all words differ; one shuffle of those sums, by the
+    hash classes of both words, adds them up and meets the words of both classes.
+    """
+    seed, total = _told_apart(notes)
+    grid = _grid(total, window)
+    listed = words.select("word").distinct().select("word", _hash("word", seed).alias("hash"))
+    listed = listed.withColumn("kind", F.pmod("hash", F.lit(grid)))
+    fields = [("word", pa.string()), ("context", pa.string()), ("n", pa.int64())]
+
+    def spelled(parts: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
+        first, second = first.sort_by("hash"), second.sort_by("hash")
+        hashes = [x.column("hash").to_numpy() for x in (first, second)]
+        names = [x.column("word").combine_chunks() for x in (first, second)]
+        a, b, n = _added_up(parts, *hashes)
+        for i in range(0, len(n), STRETCH):
+            x, y, k = a[i : i + STRETCH], b[i : i + STRETCH], n[i : i + STRETCH]
+            same = hashes[0][x] == hashes[1][y]
+            left, right = names[0].take(pa.array(x)), names[1].take(pa.array(y))
+            other = pa.array(~same)
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(np.where(same, 2 * k, k))], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([right.filter(other), left.filter(other), pa.array(k[~same])], schema=pa.schema(fields))
+
+    return _grouped(_parts(notes, window, seed, grid), listed, "kind", grid, spelled, "word string, context string, n bigint", fields)
+
+
+def _grid(total: int, window: int) -> int:
+    """Hash classes of words, so that their pairs are groups of about PAIRS_IN_GROUP pairs."""
+    return max(1, int(np.ceil(np.sqrt(total * window / PAIRS_IN_GROUP))))
 
 
 def association(counts: DataFrame) -> DataFrame:
