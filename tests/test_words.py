@@ -9,7 +9,7 @@ import pytest
 
 from wardlens.plans import notes as n
 from wardlens.plans import words as wd
-from wardlens.plans.words import association, gram, neighbour_counts, vocabulary, word_vectors
+from wardlens.plans.words import association, counted, gram, neighbour_counts, vocabulary, word_vectors
 
 TEXTS = [
     "Acute kidney injury with oliguria, creatinine rising; dialysis started.",
@@ -117,3 +117,18 @@ def test_counts_of_long_notes_in_many_groups(spark, monkeypatch):
     assert {(r.word, r.context): r.n for r in found.collect()} == counts
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CoGroup" in plan
+
+
+def test_association_of_listed_counts(spark, notes, monkeypatch):
+    """Lists of counts in many groups give the associations of the table of counts, words beside themselves included."""
+    monkeypatch.setattr(wd, "PAIRS_IN_GROUP", 100)
+    listed = counted(notes, vocabulary(notes, 2), 5)
+    assert listed.grid > 2
+    words, counts = plain_counts(TEXTS, 5, 2)
+    names, matrix = plain_matrix(words, counts)
+    found = association(listed)
+    got = {(r.word, r.context): (r.n, r.weight) for r in found.collect()}
+    expected = {(names[i], names[j]): matrix[i, j] for i, j in zip(*np.nonzero(matrix > 0))}
+    assert got.keys() == expected.keys() and any(a == b for a, b in got)
+    assert all(got[k][0] == counts[k] and abs(got[k][1] - expected[k]) < 1e-9 for k in expected)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,7 @@ from wardlens.operators.nearest import nearest_rows, neighbours
 from wardlens.plans import features as f
 from wardlens.plans import models as m
 from wardlens.plans import notes as n
-from wardlens.plans.words import association, gram, neighbour_counts, vocabulary, word_vectors
+from wardlens.plans.words import association, counted, gram, neighbour_counts, vocabulary, word_vectors
 from wardlens.session import cut_lineage
 
 COPIES = """
@@ -191,7 +191,7 @@ def _(t):
         FROM counts c JOIN sums a ON c.word = a.word JOIN sums b ON c.context = b.word) WHERE weight > 0""",
 )
 def _(t):
-    cells = association(neighbour_counts(t.noteevents, vocabulary(t.noteevents)))
+    cells = association(counted(t.noteevents, vocabulary(t.noteevents)))
     return cells.select("word", "context", F.round("weight", 6).alias("weight")).where("weight > 0")
 
 

@@ -9,6 +9,7 @@ the ``front`` most frequent words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -219,9 +220,101 @@ def _grid(total: int, window: int) -> int:
     return max(1, int(np.ceil(np.sqrt(total * window / PAIRS_IN_GROUP))))
 
 
-def association(counts: DataFrame) -> DataFrame:
-    """Positive pointwise mutual information of (word, context, n); pairs seen no more often than by chance go."""
-    sums = counts.groupBy("word").agg(F.sum("n").alias("total"))
+@dataclass(frozen=True)
+class Counted:
+    """Neighbour counts of pairs of hash classes, with words as places in their class.
+
+    ``cells`` has rows (first, second, a, b, n) of lists, each pair once; ``places`` has (word, kind, slot, hash).
+    """
+
+    cells: DataFrame
+    places: DataFrame
+    grid: int
+
+
+def counted(notes: DataFrame, words: DataFrame, window: int = 5) -> Counted:
+    """The numbers of :func:`neighbour_counts`, written out once in lists, for steps that read them again."""
+    seed, total = _told_apart(notes)
+    grid = _grid(total, window)
+    listed = words.select("word").distinct().select("word", _hash("word", seed).alias("hash"))
+    order = Window.partitionBy("kind").orderBy("hash")
+    placed = listed.withColumn("kind", F.pmod("hash", F.lit(grid)).cast("int")).withColumn("slot", F.row_number().over(order) - 1)
+    placed = cut_lineage(placed)
+    fields = [("first", pa.int32()), ("second", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]
+
+    def listing(parts: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.array([parts.column(c)[0].as_py()], pa.int32()) for c in ("first", "second")]
+        found = _added_up(parts, *(np.sort(x.column("hash").to_numpy()) for x in (first, second)))
+        for i in range(0, len(found[2]), STRETCH):
+            lists = [_lists([x[i : i + STRETCH]], t.value_type) for x, (_, t) in zip(found, fields[2:])]
+            yield pa.RecordBatch.from_arrays([*kinds, *lists], schema=pa.schema(fields))
+
+    schema = "first int, second int, a array<int>, b array<int>, n array<bigint>"
+    cells = _grouped(_parts(notes, window, seed, grid), placed.select("kind", "hash"), "kind", grid, listing, schema, fields)
+    return Counted(cut_lineage(cells), placed, grid)
+
+
+def _totals(counts: Counted) -> tuple[DataFrame, float]:
+    """(kind, slot, word, total) of all words, total being the sum of a word's cells, and the sum of all totals."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                n = batch.column("n")[i].values.to_numpy()
+                for kind, slot in (("first", "a"), ("second", "b")):
+                    found = np.bincount(batch.column(slot)[i].values.to_numpy(), n)
+                    slots = np.flatnonzero(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(kind)[i].as_py()], pa.int32()), _lists([slots], pa.int32()), _lists([found[slots]], pa.float64())],
+                        names=["kind", "slots", "sums"],
+                    )
+
+    def added(key: tuple, parts: pa.Table) -> pa.Table:
+        slots, found = _flat(parts.column("slots")), _flat(parts.column("sums"))
+        total = np.bincount(slots, found)
+        return pa.table({"kind": pa.array(np.full(len(total), key[0].as_py()), pa.int32()), "slot": pa.array(np.arange(len(total)), pa.int32()), "total": total})
+
+    parts = counts.cells.mapInArrow(sums, "kind int, slots array<int>, sums array<double>")
+    found = parts.groupBy("kind").applyInArrow(added, "kind int, slot int, total double")
+    totals = counts.places.select("kind", "slot", "word").join(found, ["kind", "slot"], "left")
+    totals = cut_lineage(totals.withColumn("total", F.coalesce("total", F.lit(0.0))))
+    return totals, totals.agg(F.sum("total")).first()[0] or 0.0
+
+
+def _weights(cells: pa.Table, first: np.ndarray, second: np.ndarray, everything: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(a, b, n, weight, turned) of both directions of the cells with a positive weight, a pair of equal words once."""
+    a, b, n = (_flat(cells.column(c)) for c in ("a", "b", "n"))
+    same = (a == b) if cells.column("first")[0] == cells.column("second")[0] else np.zeros(len(a), bool)
+    n = np.where(same, 2 * n, n)
+    for turned in (False, True):
+        total, other = (second[b], first[a]) if turned else (first[a], second[b])
+        weight = np.log(n * everything / total / other)
+        kept = (weight > 0) & ~(same & turned)
+        yield a[kept], b[kept], n[kept], weight[kept], turned
+
+
+def association(counts: DataFrame | Counted) -> DataFrame:
+    """Positive pointwise mutual information of (word, context, n); pairs seen no more often than by chance go.
+
+    Lists of counts meet the sums of their words in one shuffle of the lists; a table of counts is joined with them.
+    """
+    if isinstance(counts, Counted):
+        totals, everything = _totals(counts)
+        fields = [("word", pa.string()), ("context", pa.string()), ("n", pa.int64()), ("weight", pa.float64())]
+
+        def spelled(cells: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
+            first, second = first.sort_by("slot"), second.sort_by("slot")
+            names = [x.column("word").combine_chunks() for x in (first, second)]
+            sums = [x.column("total").to_numpy() for x in (first, second)]
+            for a, b, n, weight, turned in _weights(cells, *sums, everything):
+                for i in range(0, len(n), STRETCH):
+                    left, right = names[0].take(pa.array(a[i : i + STRETCH])), names[1].take(pa.array(b[i : i + STRETCH]))
+                    words = [right, left] if turned else [left, right]
+                    yield pa.RecordBatch.from_arrays([*words, pa.array(n[i : i + STRETCH]), pa.array(weight[i : i + STRETCH])], schema=pa.schema(fields))
+
+        return _grouped(counts.cells, totals, "kind", counts.grid, spelled, "word string, context string, n bigint, weight double", fields)
+    counts = cut_lineage(counts)
+    sums = cut_lineage(counts.groupBy("word").agg(F.sum("n").alias("total")))
     everything = sums.agg(F.sum("total").cast("double")).scalar()
     joined = counts.join(sums, "word").join(sums.select(F.col("word").alias("context"), F.col("total").alias("context_total")), "context")
     weight = F.log(F.col("n") * everything / F.col("total") / F.col("context_total"))
