@@ -132,3 +132,15 @@ def test_association_of_listed_counts(spark, notes, monkeypatch):
     assert got.keys() == expected.keys() and any(a == b for a, b in got)
     assert all(got[k][0] == counts[k] and abs(got[k][1] - expected[k]) < 1e-9 for k in expected)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("front, block_words", [(1, 3), (5, 4), (5, 8192)])
+def test_vectors_when_few_words_are_in_front(notes, monkeypatch, front, block_words):
+    """Words outside the front give their share by symmetry; only rows in front go to every block."""
+    monkeypatch.setattr(wd, "PAIRS_IN_GROUP", 500)
+    words, counts = plain_counts(TEXTS, 5, 2)
+    names, matrix = plain_matrix(words, counts)
+    vectors = word_vectors(notes, size=200, extra=0, power=0, block_words=block_words, front=front).collect()
+    got = np.array([r.vector for r in sorted(vectors, key=lambda r: r.word)])
+    values, axes = np.linalg.eigh(matrix)
+    assert np.allclose(got @ got.T, (axes * np.abs(values)) @ axes.T, atol=1e-6)

@@ -28,8 +28,6 @@ CHUNK = 1000
 PAIRS_AT_ONCE = 1 << 24
 #: Pairs in all notes for each group of the shuffle that adds them up; equal pairs were added up before.
 PAIRS_IN_GROUP = 1 << 23
-#: Blocks added in one step when partial products are summed, which bounds the memory of a task.
-FAN_IN = 16
 #: Cells multiplied or spelled at once inside a task.
 STRETCH = 50_000
 
@@ -353,14 +351,31 @@ def _collected(cells: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _sums(to: np.ndarray, of: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct targets in order, and for each the sum of weight times row over its cells."""
+    order = np.argsort(to, kind="stable")
+    to, of, weights = to[order], of[order], weights[order]
+    begins = _starts(to)
+    places = np.cumsum(np.bincount(begins, minlength=len(to))) - 1 if len(to) else begins
+    out = np.zeros((len(begins), rows.shape[1]))
+    for i in range(0, len(to), STRETCH):
+        at = places[i : i + STRETCH]
+        starts = _starts(at)
+        out[at[starts]] += np.add.reduceat(weights[i : i + STRETCH, None] * rows[of[i : i + STRETCH]], starts, axis=0)
+    return to[begins], out
+
+
 class _Blocks:
     """Sparse symmetric cells and tall dense matrices over the same blocks of ``height`` words.
 
     A dense matrix is a table (block, data), one row of height x width numbers per block; a missing block is zero.
+    A word's place is block * height + slot; ``front`` has the places of the words with most neighbours, in order.
+    Cells (block, slot, context, weight) are lists: those of a word in front name the words in front only, those of
+    any other word all its contexts, a word in front by its rank and another by len(front) + its place.
     """
 
-    def __init__(self, cells: DataFrame, blocks: int, height: int):
-        self.cells, self.blocks, self.height = cells, blocks, height
+    def __init__(self, cells: DataFrame, blocks: int, height: int, front: np.ndarray):
+        self.cells, self.blocks, self.height, self.front = cells, blocks, height, front
 
     def random(self, width: int, seed: int) -> DataFrame:
         height = self.height
@@ -375,40 +390,66 @@ class _Blocks:
         return spark.range(self.blocks).select(F.col("id").cast("int").alias("block")).mapInPandas(draw, "block int, data binary")
 
     def times(self, dense: DataFrame, width: int) -> DataFrame:
-        """Sparse times dense: each pair of blocks is one task's product; products are added in a tree."""
-        height = self.height
+        """Sparse times dense. Every block gets its own rows and those of the words in front, not those of all words.
+
+        What a word takes from words in front is added up in its own block. What other words give, to words in front
+        or not, is added up in the giver's block by symmetry, and only those sums go to the block they are for.
+        """
+        height, front, blocks = self.height, self.front, self.blocks
 
-        def product(cells: pd.DataFrame, factor: pd.DataFrame) -> pd.DataFrame:
-            if not len(cells) or not len(factor):
-                return pd.DataFrame({"block": [], "part": [], "data": []})
-            right = np.frombuffer(factor["data"].iloc[0]).reshape(height, width)
-            cells = cells.sort_values(["slot", "context_slot"])
-            slots, others, weights = (cells[c].to_numpy() for c in ("slot", "context_slot", "weight"))
-            out = np.zeros((height, width))
-            for i in range(0, len(slots), STRETCH):
-                rows, starts = np.unique(slots[i : i + STRETCH], return_index=True)
-                found = weights[i : i + STRETCH, None] * right[others[i : i + STRETCH]]
-                out[rows] += np.add.reduceat(found, starts, axis=0)
-            return pd.DataFrame({"block": [cells["block"].iloc[0]], "part": [cells["context_block"].iloc[0]], "data": [out.tobytes()]})
-
-        def added(parts: pd.DataFrame) -> pd.DataFrame:
-            parts = parts.sort_values("part")
-            total = np.zeros(height * width)
-            for data in parts["data"]:
-                total += np.frombuffer(data)
-            return pd.DataFrame({"block": [parts["block"].iloc[0]], "part": [parts["part"].iloc[0] // FAN_IN], "data": [total.tobytes()]})
-
-        schema = "block int, part int, data binary"
-        spread = dense.select(
-            F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block"), F.col("block").alias("context_block"), "data"
-        )
-        keys = ["block", "context_block"]
-        out = self.cells.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(product, schema)
-        parts = self.blocks
-        while parts > 1:
-            out = out.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("_step")).applyInPandas(added, schema)
-            parts = -(-parts // FAN_IN)
-        return cut_lineage(out.select("block", "data"))
+        def in_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                    rows = np.frombuffer(data.as_buffer()).reshape(height, width)
+                    ranks = slice(*np.searchsorted(front, [block * height, (block + 1) * height]))
+                    if ranks.stop > ranks.start:
+                        picked = rows[front[ranks] - block * height].tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([ranks.start], pa.int32()), pa.array([picked], pa.binary())], names=["rank", "data"])
+
+        def part(block: int, giver: int, slots: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([block], pa.int32()), pa.array([giver], pa.int32()), _lists([slots], pa.int32()), pa.array([rows.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, schema=sent)
+
+        sent = pa.schema([("block", pa.int32()), ("giver", pa.int32()), ("slots", pa.list_(pa.int32())), ("data", pa.binary())])
+
+        def product(cells: pa.Table, factors: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(products(cells, factors) if cells.num_rows else [], sent)
+
+        def products(cells: pa.Table, factors: pa.Table) -> Iterator[pa.RecordBatch]:
+            block = cells.column("block")[0].as_py()
+            ahead, own = np.zeros((len(front), width)), np.zeros((height, width))
+            for rank, data in zip(factors.column("rank").to_pylist(), factors.column("data")):
+                rows = np.frombuffer(data.as_buffer()).reshape(-1, width)
+                if rank < 0:
+                    own = rows
+                else:
+                    ahead[rank : rank + len(rows)] = rows
+            slots, contexts, weights = (_flat(cells.column(c)) for c in ("slot", "context", "weight"))
+            is_ahead = np.zeros(height, bool)
+            is_ahead[front[slice(*np.searchsorted(front, [block * height, (block + 1) * height]))] - block * height] = True
+            taken, given = np.flatnonzero(contexts < len(front)), np.flatnonzero(~is_ahead[slots])
+            yield part(block, block, *_sums(slots[taken], contexts[taken], weights[taken], ahead))
+            to = contexts[given]
+            to = np.where(to < len(front), front[to.clip(max=len(front) - 1)], to - len(front))
+            places, rows = _sums(to, slots[given], weights[given], own)
+            edges = np.searchsorted(places, np.arange(blocks + 1) * height)
+            for other in np.flatnonzero(np.diff(edges)).tolist():
+                here = slice(edges[other], edges[other + 1])
+                yield part(other, block, places[here] - other * height, rows[here])
+
+        def added(key: tuple, parts: pa.Table) -> pa.Table:
+            total = np.zeros((height, width))
+            parts = parts.sort_by("giver")
+            for slots, data in zip(parts.column("slots"), parts.column("data")):
+                if len(slots):
+                    total[slots.values.to_numpy()] += np.frombuffer(data.as_buffer()).reshape(-1, width)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+        shared = dense.mapInArrow(in_front, "rank int, data binary")
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        factors = shared.select(everywhere, "rank", "data").unionByName(dense.select("block", F.lit(-1).alias("rank"), "data"))
+        parts = self.cells.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(product, "block int, giver int, slots array<int>, data binary")
+        return cut_lineage(parts.groupBy("block").applyInArrow(added, "block int, data binary"))
 
     def turned(self, dense: DataFrame, matrix: np.ndarray) -> DataFrame:
         """Dense times a small matrix."""
@@ -458,27 +499,60 @@ class _Blocks:
         return dense.mapInPandas(cut, "block int, slot int, vector array<double>")
 
 
+def _placed_cells(counts: Counted, in_class: int, height: int, front: np.ndarray) -> DataFrame:
+    """Positive associations of counted pairs as cells of :class:`_Blocks`; a class of words is ``in_class`` blocks."""
+    totals, everything = _totals(counts)
+    fields = [("block", pa.int32()), ("slot", pa.list_(pa.int32())), ("context", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64()))]
+
+    def run(cells: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
+        sums = [x.sort_by("slot").column("total").to_numpy() for x in (first, second)]
+        begins = [cells.column(c)[0].as_py() * in_class * height for c in ("first", "second")]
+        for a, b, _, weight, turned in _weights(cells, *sums, everything):
+            word, context = a + begins[0], b + begins[1]
+            if turned:
+                word, context = context, word
+            ranks, word_ranks = (np.searchsorted(front, x).clip(max=len(front) - 1) for x in (context, word))
+            ahead = front[ranks] == context
+            kept = ahead | (front[word_ranks] != word)
+            context = np.where(ahead, ranks, context + len(front))[kept]
+            block, slot = np.divmod(word[kept], height)
+            order = np.argsort(block, kind="stable")
+            edges = _starts(block[order])
+            for i, j in zip(edges, [*edges[1:], len(order)]):
+                some = order[i:j]
+                lists = [_lists([x[some]], t.value_type) for x, (_, t) in zip((slot, context, weight[kept]), fields[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]], pa.int32()), *lists], schema=pa.schema(fields))
+
+    schema = "block int, slot array<int>, context array<bigint>, weight array<double>"
+    return cut_lineage(_grouped(counts.cells, totals.drop("word"), "kind", counts.grid, run, schema, fields))
+
+
 def word_vectors(
     notes: DataFrame, size: int = 100, window: int = 5, min_count: int = 2,
-    extra: int = 10, power: int = 2, block_words: int = 8192, seed: int = 42,
+    extra: int = 10, power: int = 2, block_words: int = 32768, seed: int = 42, front: int = 65536,
 ) -> DataFrame:
     """Vectors (word, n, vector) of all words found ``min_count`` times or more, written to the shared folder.
 
     The columns of the vectors are orthogonal: eigenvectors of the association matrix times the root of the
     size of their eigenvalue, largest first, up to sign and rounding. A word without any association above chance
     (alone in its notes) has a zero vector, and columns beyond the rank are zero. NULL and empty notes add nothing;
-    no notes give no rows. Work memory of a task is bounded by ``block_words``, not by the vocabulary.
+    no notes give no rows. Work memory of a task is bounded by ``block_words`` and by ``front``, the number of most
+    frequent words whose rows go to every block, not by the vocabulary; neither changes the result.
     """
     words = cut_lineage(vocabulary(notes, min_count))
-    counts = cut_lineage(neighbour_counts(notes, words, window))
-    blocks = max(1, -(-words.count() // block_words))
-    block = F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")
-    order = Window.partitionBy("block").orderBy("word")
-    placed = cut_lineage(words.withColumn("block", block).withColumn("slot", F.row_number().over(order) - 1))
-    height = (placed.agg(F.max("slot")).first()[0] or 0) + 1
-    there = placed.select(F.col("word").alias("context"), F.col("block").alias("context_block"), F.col("slot").alias("context_slot"))
-    cells = association(counts).join(placed.drop("n"), "word").join(there, "context")
-    matrix = _Blocks(cut_lineage(cells.select("block", "slot", "context_block", "context_slot", "weight")), blocks, height)
+    counts = counted(notes, words, window)
+    most = (counts.places.agg(F.max("slot")).first()[0] or 0) + 1
+    in_class = -(-most // block_words)
+    height = -(-most // in_class)
+    block = F.col("kind") * in_class + F.floor(F.col("slot") / height).cast("int")
+    placed = counts.places.select("word", block.alias("block"), (F.col("slot") % height).alias("slot")).join(words, "word")
+    placed = cut_lineage(placed)
+    blocks = counts.grid * in_class
+    ahead = placed.orderBy(F.desc("n"), "word").limit(front).select((F.col("block").cast("bigint") * height + F.col("slot")).alias("place"))
+    ahead = np.sort(ahead.toPandas()["place"].to_numpy(np.int64))
+    if not len(ahead):
+        return words.select("word", "n", F.array_repeat(F.lit(0.0), size).alias("vector"))
+    matrix = _Blocks(_placed_cells(counts, in_class, height, ahead), blocks, height, ahead)
 
     width = min(size + extra, blocks * height)
     basis = matrix.random(width, seed)
