@@ -84,3 +84,14 @@ def test_hot_buckets_are_divided_by_further_bits(spark):
     coded = nearest._coded(nearest._known(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v"), "id", 42)
     extra = nearest._extra_bits(coded, 5, 20).collect()
     assert extra and max(r["extra"] for r in extra) >= 3
+
+
+def test_larger_buckets_when_they_send_fewer_rows(spark, monkeypatch):
+    rows = np.random.default_rng(5).standard_normal((3000, 32)).tolist()
+    coded = nearest._coded(spark.createDataFrame(list(enumerate(rows)), "k long, vector array<double>"), "k", 42).localCheckpoint()
+    chosen = nearest.calibrated(coded, "k", 42, 10, 0.9, 64)
+    monkeypatch.setattr(nearest, "MORE_COMPARED", 0)
+    smallest = nearest.calibrated(coded, "k", 42, 10, 0.9, 64)
+    assert 0 < chosen[0] < smallest[0]
+    assert nearest.rows_sent(3000, *chosen) < nearest.rows_sent(3000, *smallest)
+    assert nearest.share_compared(*chosen) <= 1.25 * nearest.share_compared(*smallest)

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from wardlens.operators.ordered import first_rows
 from wardlens.session import cut_lineage
 
-QUERIES_PER_BLOCK = 2048
-ROWS_PER_PRODUCT = 2048
+QUERIES_PER_BLOCK = 8192
+ROWS_PER_PRODUCT = 1024
 ROWS_PER_BUCKET = 4096
 CODE_BITS = 60
 #: Of the bits with the least margins, how many are flipped in all combinations to find the buckets to probe.
 FLIPPED_BITS = 10
 SAMPLED_QUERIES = 200
+#: How much more may be compared than with the smallest buckets, if fewer rows are sent that way.
+MORE_COMPARED = 1.25
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -207,13 +209,25 @@ def _extra_bits(coded: DataFrame, bits: int, per_bucket: int) -> DataFrame:
     return counted.where(F.col("n") > 4 * per_bucket).select("prefix", extra.alias("extra"))
 
 
+def share_compared(bits: int, probes: int) -> float:
+    """Share of all rows that a query meets in buckets of equal size."""
+    return probes / (1 << bits)
+
+
+def rows_sent(nodes: int, bits: int, probes: int) -> float:
+    """How often a row is sent: to the buckets it probes, and to the blocks of queries that probe its own bucket."""
+    return probes + math.ceil(nodes * probes / (1 << bits) / QUERIES_PER_BLOCK)
+
+
 def calibrated(coded: DataFrame, key: str, seed: int, k: int, recall: float, per_bucket: int) -> tuple[int, int]:
     """(bits, probes) with which a sample of queries finds its exact neighbours to the recall asked for.
 
     The sample is the ``SAMPLED_QUERIES`` rows whose hashed keys come first. Buckets of ``per_bucket`` rows are tried
-    first, then fewer and larger ones; one bucket finds all. The sample and its neighbours reach the driver.
+    first, then fewer and larger ones; one bucket finds all. Buckets are made larger still while that sends fewer
+    rows and compares little more. The sample and its neighbours reach the driver.
     """
-    bits = max(0, math.ceil(math.log2(max(1, coded.count()) / per_bucket)))
+    nodes = max(1, coded.count())
+    bits = max(0, math.ceil(math.log2(nodes / per_bucket)))
     if bits == 0:
         return 0, 1
     sample = coded.orderBy(F.xxhash64(F.lit(seed), key), key).limit(SAMPLED_QUERIES)
@@ -224,6 +238,7 @@ def calibrated(coded: DataFrame, key: str, seed: int, k: int, recall: float, per
     projected = _projected(_matrix(pa.array([list(r["vector"]) for r in held], pa.list_(pa.float64()))), seed)
     query = np.array([at[r["query"]] for r in near], np.int64)
     codes = np.array([r["near_code"] for r in near], np.int64)
+    chosen = None
     while bits > 0 and len(query):
         extra = {r["prefix"]: r["extra"] for r in _extra_bits(coded, bits, per_bucket).join(
             coded.sparkSession.createDataFrame([(int(p),) for p in set((codes >> (CODE_BITS - bits)).tolist())], "prefix bigint"), "prefix"
@@ -237,9 +252,16 @@ def calibrated(coded: DataFrame, key: str, seed: int, k: int, recall: float, per
         place = np.where(hit.any(1) & same, hit.argmax(1), probes.shape[1])
         reached = np.sort(place)[max(0, math.ceil(min(1.0, recall + 0.02) * len(place)) - 1)]
         if reached < probes.shape[1]:
-            return bits, int(reached) + 1
+            found = bits, int(reached) + 1
+            if chosen is None:
+                most = MORE_COMPARED * share_compared(*found)
+            elif share_compared(*found) > most or rows_sent(nodes, *found) >= rows_sent(nodes, *chosen):
+                break
+            chosen = found
+        elif chosen is not None:
+            break
         bits -= 1
-    return 0, 1
+    return chosen or (0, 1)
 
 
 def neighbours(
