@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.plans.answers import Respond, ask_all, votes, weigh_votes, with_prompt
-from wardlens.session import cut_lineage
+from wardlens.session import cut_lineage, dealt
 
 
 class Transcript:
@@ -28,7 +28,8 @@ class Transcript:
 
         def on_record(prompted: DataFrame) -> DataFrame:
             asked = cut_lineage(prompted.select(self.key, "prompt", "system"))
-            answered = cut_lineage(asked.join(respond(asked).select(self.key, "answer"), self.key, "left"))
+            answers = respond(asked).select(self.key, "answer")
+            answered = cut_lineage(dealt(asked, self.key).join(answers, self.key, "left"))
             self.passes.append(answered.withColumn("pass", F.lit(name)))
             return answered.select(self.key, "answer")
 

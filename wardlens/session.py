@@ -54,3 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a key that one task sorts at most, on average.
+TASK_ROWS = 1 << 17
+
+
+def dealt(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """The rows dealt out by a key in so many partitions that none has more than ``TASK_ROWS`` on average.
+
+    Adaptive execution joins partitions by their compressed bytes, so a task that sorts rows for several joins may
+    get far more memory to fill than these tell. A table of so many rows for each core is left to it. Keys must be
+    near unique: one that holds many rows is not divided. ``rows`` is counted if not given.
+    """
+    spark = df.sparkSession
+    rows = df.count() if rows is None else rows
+    if rows <= TASK_ROWS * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), key)
