@@ -255,6 +255,22 @@ def test_lines_of_masked_tokens_have_no_template(spark):
     assert line_templates.drop_recurring_lines(rows, removed="n", similarity=0.0).where("doc_id = 4").first().n == 0
 
 
+def test_paths_of_lines_need_their_first_tokens_only(spark):
+    """Token counts, paths and long lines as by masking and splitting whole lines."""
+    lines = ["", "a", "a b", "a  b 1c d e", "x\ty1 z\t2 3", "1 2 3 4 5", "<*> <*> <*> <*> 6", "é1 日本 b7 c\x0bd9 e", "a b c d e1", "a b c d f", " ".join("w" * 50), " ".join("w" * 49),
+             "\t".join("w" * 50), "  ".join("w" * 49), "  ".join("w" * 50), " \t".join("w" * 50), "w" * 120, " ".join(["é"] * 50), " ".join(["é"] * 49) + "\re"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, l string")
+    got = by_id(rows.select(F.col("i").alias("doc_id"), F.inline(F.array(line_templates._line_facts(F.col("l"), 4, 50)))))
+    placed = by_id(rows.select(F.col("i").alias("doc_id"), F.inline(F.array(line_templates._placed_line(F.col("l"), 4)))))
+    paths = {}
+    for i, line in enumerate(lines):
+        tokens = re.sub(r"[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", "<*>", line).split(" ")
+        assert (got[i].n, got[i].long) == (len(tokens), len(WORD.findall(line)) >= 50), line
+        assert (placed[i].n, placed[i].leaf, placed[i].text) == (got[i].n, got[i].leaf, line)
+        paths.setdefault(got[i].leaf, set()).add((len(tokens), *tokens[:4]))
+    assert all(len(p) == 1 for p in paths.values()) and len(paths) == len({p for s in paths.values() for p in s})
+
+
 def test_packing(spark):
     sizes = [random.choice([1, 3, 60, 200, 500, 700, 1500, 4095, 4096, 9000]) for _ in range(400)] + [0, None]
     rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")

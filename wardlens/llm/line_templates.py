@@ -20,6 +20,8 @@ the same doc_id are one document; a document that loses all its lines has an emp
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +36,44 @@ def _trimmed(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
-def _line_facts(line: Column, depth: int, long_words: int) -> Column:
-    """struct(n tokens, whether long, leaf, line hash, masked line) of a trimmed line."""
+def _tokens(line: Column) -> Column:
+    """Number of tokens, which are what lies between single spaces."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _masked(line: Column) -> Column:
+    return F.regexp_replace(line, VARIABLE, MASK)
+
+
+def _leaf(line: Column, n: Column, depth: int) -> Column:
+    """Hash of the path: a variable run holds no space, so masking the first tokens gives those of the masked line."""
+    return F.xxhash64(n, _masked(F.substring_index(line, " ", depth)))
+
+
+def _is_long(line: Column, n: Column, long_words: int) -> Column:
+    """Whether a trimmed line has so many words; without other blanks and runs of blanks its words are its tokens."""
+    other = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in ("  ", *BLANKS.replace(" ", ""))])
+    counted = F.when(other, F.size(words(line)) >= long_words).otherwise(n >= long_words)
     # So many words have as many characters and a blank between any two.
-    long = F.when(F.length(line) >= 2 * long_words - 1, F.size(words(line)) >= long_words).otherwise(False)
-
-    def facts(masked: Column) -> Column:
-        return let(
-            F.split(masked, " ", -1),
-            lambda tokens: F.struct(
-                F.size(tokens).alias("n"),
-                long.alias("long"),
-                F.xxhash64(F.size(tokens), F.slice(tokens, F.lit(1), F.lit(depth))).alias("leaf"),
-                F.xxhash64(line).alias("line"),
-                masked.alias("masked"),
-            ),
-        )
+    return F.when(F.octet_length(line) >= 2 * long_words - 1, counted).otherwise(False)
+
+
+def _line_facts(line: Column, depth: int, long_words: int) -> Column:
+    """struct(n tokens, whether long, leaf, line hash) of a trimmed line."""
+    return let(
+        _tokens(line),
+        lambda n: F.struct(
+            n.alias("n"),
+            _is_long(line, n, long_words).alias("long"),
+            _leaf(line, n, depth).alias("leaf"),
+            F.xxhash64(line).alias("line"),
+        ),
+    )
+
 
-    return let(F.regexp_replace(line, VARIABLE, MASK), facts)
+def _placed_line(line: Column, depth: int) -> Column:
+    """struct(n tokens, leaf, text) of a trimmed line."""
+    return let(_tokens(line), lambda n: F.struct(n.alias("n"), _leaf(line, n, depth).alias("leaf"), line.alias("text")))
 
 
 def recurring_lines(
@@ -60,17 +82,18 @@ def recurring_lines(
     """(doc_id, lines): hashes of the lines, without blanks at their ends, that a document loses."""
     lines = F.array_distinct(_trimmed(F.coalesce("text", F.lit(""))))
     facts = F.transform(lines, lambda x: _line_facts(x, depth, long_words))
-    found = docs.select("doc_id", F.inline(F.filter(facts, lambda f: f["long"] | (f["n"] >= min_tokens))))
-    shown = cut_lineage(found.drop("masked"))
+    shown = cut_lineage(docs.select("doc_id", F.inline(F.filter(facts, lambda f: f["long"] | (f["n"] >= min_tokens)))))
     counted = cut_lineage(shown.groupBy("leaf", "line", "long", "n").agg(F.count(F.lit(1)).alias("docs")))
     wanted = F.when(F.col("long"), F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs))
     exact = counted.select("leaf", "line", F.col("line").alias("template"), wanted.alias("wanted"), "docs").where("docs >= wanted")
     rows_of = counted.where(F.col("n") >= min_tokens).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("distinct"))
     busy = cut_lineage(rows_of.where((F.col("all") >= min_docs) & (F.col("distinct") > 1)).select("leaf"))
+    texts = docs.select(F.inline(F.filter(F.transform(lines, lambda x: _placed_line(x, depth)), lambda f: f["n"] >= min_tokens)))
+    tokens = F.split(_masked(F.col("text")), " ", -1)
     busy_lines = cut_lineage(
-        found.select("leaf", "line", "masked")
-        .join(busy, "leaf", "left_semi")
-        .groupBy("leaf", "line", F.transform(F.split("masked", " ", -1), lambda x: F.when(x != MASK, F.xxhash64(x))).alias("fields"))
+        texts.join(busy, "leaf", "left_semi")
+        .select("leaf", F.xxhash64("text").alias("line"), F.transform(tokens, lambda x: F.when(x != MASK, F.xxhash64(x))).alias("fields"))
+        .groupBy("leaf", "line", "fields")
         .agg(F.count(F.lit(1)).alias("docs"))
     )
     fields = busy_lines.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
