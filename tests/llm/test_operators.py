@@ -90,6 +90,17 @@ def test_latin_split_equals_the_library_for_every_character():
             assert b.split(text) == [p for p, _ in b.library_split(text)], (point, text)
 
 
+def test_plain_words_are_encoded_without_the_pattern(monkeypatch):
+    """Words of Latin letters, alone or with one sign after them; all other chunks go through the pattern."""
+    from tokenizers import Tokenizer
+
+    tokenizer, text = Tokenizer.from_file(BPE), "x word, 'no don't l'été. über ºª ſtraße! Ƀɏ? a1 b2. c\td e'' f\" «g» hɐ日本.\nend. я,"
+    encode, seen = bpe.Encoder(bpe.loaded(BPE)), []
+    monkeypatch.setattr(encode, "plain", lambda t, plain=encode.plain: seen.append(t) or plain(t))
+    assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {" word,", " über", " ºª", " ſtraße!", " Ƀɏ?"} & set(seen) and {" don't", " a1", " c\td", " e''", " hɐ日本."} <= set(seen)
+
+
 def test_packed_ids_come_back():
     for ids in ([], [5], [7] * 1000, list(range(70_000)) * 2):
         given = np.array(ids, "<u4")

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
+from codecs import charmap_decode
 from functools import lru_cache
 
 import pyarrow as pa
@@ -54,6 +56,11 @@ def _byte_letters() -> str:
 BYTE_LETTERS = _byte_letters()
 
 
+def _letters(text: str) -> str:
+    """A text in the letters of the vocabulary, one for each byte."""
+    return charmap_decode(text.encode(), "strict", BYTE_LETTERS)[0]
+
+
 class Bpe:
     """A tokenizer file with tables of bounded size; one per Python worker."""
 
@@ -86,8 +93,8 @@ class Bpe:
         """Pre-tokens in the letters of the vocabulary."""
         if text.isascii() or max(text) < LATIN_END:
             if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-                return [text.encode().decode("latin-1").translate(BYTE_LETTERS)]
-            return [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in LATIN.findall(text)]
+                return [_letters(text)]
+            return [_letters(p) for p in LATIN.findall(text)]
         return [p for p, _ in self.library_split(text)]
 
     def encoded(self, piece: str) -> bytes:
@@ -110,6 +117,10 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+#: Signs that are neither letter, digit nor blank; each is its own byte letter.
+SIGNS = frozenset(string.punctuation)
+
+
 def _chunk(piece: str) -> str:
     return piece if piece.startswith("\n") else " " + piece
 
@@ -146,7 +157,16 @@ class Encoder:
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
         self.pre = Bounded(bpe.encoded, PRE_TOKENS)
-        self.chunks = Bounded(lambda p: self.plain(_chunk(p)), CHUNKS)
+        self.chunks = Bounded(self.chunk, CHUNKS)
+
+    def chunk(self, piece: str) -> bytes:
+        """A chunk without its space; of letters, and one sign at most after them, without the pattern."""
+        if piece.isalpha():
+            if piece.isascii() or max(piece) < LATIN_END:
+                return self.bpe.encoded(_letters(" " + piece))
+        elif piece[-1:] in SIGNS and piece[:-1].isalpha() and (piece.isascii() or max(piece) < LATIN_END):
+            return self.chunks[piece[:-1]] + self.pre[piece[-1]]
+        return self.plain(_chunk(piece))
 
     def plain(self, text: str) -> bytes:
         return b"".join([self.pre[p] for p in self.bpe.split(text)])
