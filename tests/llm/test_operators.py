@@ -101,6 +101,41 @@ def test_plain_words_are_encoded_without_the_pattern(monkeypatch):
     assert not {" word,", " über", " ºª", " ſtraße!", " Ƀɏ?"} & set(seen) and {" don't", " a1", " c\td", " e''", " hɐ日本."} <= set(seen)
 
 
+def test_distinct_chunks_of_a_slice_are_looked_up_once():
+    class Seen(bpe.Bounded):
+        asked = ()
+
+        def __getitem__(self, key):
+            self.asked = *self.asked, key
+            return super().__getitem__(key)
+
+    encode = bpe.Encoder(bpe.loaded(BPE))
+    encode.chunks = Seen(encode.chunk, 100)
+    assert set(encode.texts(["a b a b a b\nc"] * 50)) == {encode("a b a b a b\nc")}
+    assert encode.chunks.asked == (b"a", b" b", b" a", b"\nc") * 2
+
+
+def test_a_full_table_keeps_the_chunks_of_the_last_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNKS", 3)
+    encode, worked = bpe.Encoder(bpe.loaded(BPE)), []
+    monkeypatch.setattr(encode.chunks, "compute", lambda p: worked.append(p) or encode.chunk(p))
+    for text in (" one two three four", " one two three four five"):
+        encode(text)
+    assert len(worked) == 5
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 23])
+def test_texts_are_encoded_alike_in_any_slices(monkeypatch, size):
+    from tokenizers import Tokenizer
+
+    tokenizer, more = Tokenizer.from_file(BPE), [None, "", " ", "\n", " a", "a\n", "a \nb", "\u2028a\u2003 b", "é\tü ß, 日本 語", "<|endoftext|>a b<|endoftext|>", " x'"]
+    monkeypatch.setattr(bpe, "SLICE", size)
+    monkeypatch.setattr(bpe, "CHUNKS", 3)
+    texts = [*more, *AWKWARD, *more]
+    got = [np.frombuffer(i, "<u4").tolist() for i in bpe.Encoder(bpe.loaded(BPE)).texts(texts)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_ids_come_back():
     for ids in ([], [5], [7] * 1000, list(range(70_000)) * 2):
         given = np.array(ids, "<u4")

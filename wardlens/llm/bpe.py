@@ -14,8 +14,11 @@ import re
 import string
 import unicodedata
 from codecs import charmap_decode
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from wardlens.llm.native import hidden
 from wardlens.llm.tables import Bounded, map_texts
 
 CHUNKS, PRE_TOKENS = 600_000, 400_000
+#: Characters of texts that are encoded together.
+SLICE = 1 << 23
 TWO_BLANKS = re.compile(r"\s\s")
 #: Below this code point the categories are the same in all versions of Unicode, so the pattern of the
 #: library can be stated with plain character classes; other chunks are split by the library.
@@ -125,6 +130,18 @@ def _chunk(piece: str) -> str:
     return piece if piece.startswith("\n") else " " + piece
 
 
+def _cut(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of texts that are not empty, in UTF-8, and the number of chunks before each text and after the last."""
+    _, ends, data = pa.array(texts, pa.string()).buffers()
+    ends = np.frombuffer(ends, np.int32, len(texts) + 1)
+    letters = np.frombuffer(data, np.uint8, ends[-1])
+    opens = (letters == ord(" ")) | (letters == ord("\n"))
+    opens[ends[:-1]] = True
+    edges = np.append(np.flatnonzero(opens), ends[-1]).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), data])
+    return chunks.dictionary_encode(), np.searchsorted(edges, ends)
+
+
 class Counter:
     """Number of tokens of a text."""
 
@@ -152,39 +169,73 @@ class Counter:
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit integers."""
+    """Token ids of texts as little-endian unsigned 32-bit integers.
+
+    The texts of a slice are cut into chunks together; each distinct one is looked up once a slice.
+    """
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
         self.pre = Bounded(bpe.encoded, PRE_TOKENS)
-        self.chunks = Bounded(self.chunk, CHUNKS)
-
-    def chunk(self, piece: str) -> bytes:
-        """A chunk without its space; of letters, and one sign at most after them, without the pattern."""
-        if piece.isalpha():
-            if piece.isascii() or max(piece) < LATIN_END:
-                return self.bpe.encoded(_letters(" " + piece))
-        elif piece[-1:] in SIGNS and piece[:-1].isalpha() and (piece.isascii() or max(piece) < LATIN_END):
-            return self.chunks[piece[:-1]] + self.pre[piece[-1]]
-        return self.plain(_chunk(piece))
+        self.chunks = Bounded(self.chunk, 2 * CHUNKS)
+
+    def chunk(self, piece: bytes) -> bytes:
+        """A chunk in UTF-8; of a space and letters, and one sign at most after them, without the pattern."""
+        text = piece.decode()
+        if text[0] == " " and (text.isascii() or max(text) < LATIN_END):
+            if text[1:].isalpha():
+                return self.bpe.encoded(charmap_decode(piece, "strict", BYTE_LETTERS)[0])
+            if text[-1] in SIGNS and text[1:-1].isalpha():
+                return self.chunks[piece[:-1]] + self.pre[text[-1]]
+        return self.plain(text)
 
     def plain(self, text: str) -> bytes:
         return b"".join([self.pre[p] for p in self.bpe.split(text)])
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.bpe.special is not None and self.bpe.special.search(text):
-            return b"".join(
-                self.part(p) if isinstance(p, str) else self.bpe.bytes_of[p] for p in self.bpe.parts(text)
-            )
-        return self.part(text)
-
-    def part(self, text: str) -> bytes:
-        if TWO_BLANKS.search(text):
-            return self.plain(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return (self.plain(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+        return next(self.texts([text]))
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        start = held = 0
+        for i, text in enumerate(texts):
+            size = len(text or "")
+            if held + size > SLICE and i > start:
+                yield from self.slice(texts[start:i])
+                start, held = i, 0
+            held += size
+        yield from self.slice(texts[start:])
+
+    def slice(self, texts: list[str | None]) -> list[bytes]:
+        out, places, usual, special = [b""] * len(texts), [], [], self.bpe.special
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if special is not None and special.search(text):
+                parts = self.bpe.parts(text)
+                ids = self.texts([p for p in parts if isinstance(p, str)])
+                out[i] = b"".join([next(ids) if isinstance(p, str) else self.bpe.bytes_of[p] for p in parts])
+            elif TWO_BLANKS.search(text):
+                out[i] = self.plain(text)
+            else:
+                places.append(i)
+                usual.append(text)
+        if usual:
+            for i, ids in zip(places, self.by_chunks(usual), strict=True):
+                out[i] = ids
+        return out
+
+    def by_chunks(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are neither empty nor hold two blanks in a row."""
+        found, bounds = _cut(texts)
+        keys = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.chunks.__getitem__, keys))
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+            self.chunks.update(zip(keys, values, strict=True))
+        _, starts, ids = pa.array(values, pa.large_binary()).take(found.indices).buffers()
+        ends, ids = np.frombuffer(starts, np.int64)[bounds].tolist(), memoryview(ids)
+        return [ids[a:b].tobytes() for a, b in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)

@@ -95,8 +95,8 @@ def write_ids(docs: DataFrame, model: str, to: str, end_id: int | None = 0, text
             )
 
         for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(value) + end
+            for name, ids in zip(batch.column(0).to_pylist(), encode.texts(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 names.append(name)
                 sizes.append(len(ids) // 4)
                 streams.append(ids)
