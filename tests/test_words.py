@@ -144,3 +144,25 @@ def test_vectors_when_few_words_are_in_front(notes, monkeypatch, front, block_wo
     got = np.array([r.vector for r in sorted(vectors, key=lambda r: r.word)])
     values, axes = np.linalg.eigh(matrix)
     assert np.allclose(got @ got.T, (axes * np.abs(values)) @ axes.T, atol=1e-6)
+
+
+def test_a_product_in_passes_is_held_by_pairs_of_blocks(notes, monkeypatch):
+    """Columns multiplied in several passes give the same vectors, and a task's rows of cells and words are small."""
+    monkeypatch.setattr(wd, "PAIRS_IN_GROUP", 500)
+    monkeypatch.setattr(wd, "LISTED", 3)
+    monkeypatch.setattr(wd, "PIECE", 2)
+    whole = sorted((r.word, r.vector) for r in word_vectors(notes, size=6, extra=4, power=1, block_words=8, front=5).collect())
+    monkeypatch.setattr(wd, "PASS_BYTES", 300)
+    sizes, write = [], wd.cut_lineage
+
+    def written(df):
+        out = write(df)
+        if {"slot", "weight"} <= set(out.columns) and "block" in out.columns:
+            sizes.extend(r.k for r in out.select(n.F.size("slot").alias("k")).collect())
+        return out
+
+    monkeypatch.setattr(wd, "cut_lineage", written)
+    parts = sorted((r.word, r.vector) for r in word_vectors(notes, size=6, extra=4, power=1, block_words=8, front=5).collect())
+    assert max(sizes) <= 3 and len(sizes) > 10
+    a, b = (np.array([v for _, v in x]) for x in (whole, parts))
+    assert [w for w, _ in whole] == [w for w, _ in parts] and np.allclose(a @ a.T, b @ b.T, atol=1e-8)  # signs are arbitrary

@@ -10,17 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardlens.operators.arrays import flat, list_column, matrix_of, runs, starts_of, sums_of_rows
 from wardlens.plans.notes import token_counts, tokens
-from wardlens.session import cut_lineage
+from wardlens.session import WRITING, cut_lineage, remove_table, settings
 
 #: Tokens of a note dealt as one row; a longer note is several rows that overlap by the window.
 CHUNK = 1000
@@ -28,8 +31,17 @@ CHUNK = 1000
 PAIRS_AT_ONCE = 1 << 24
 #: Pairs in all notes for each group of the shuffle that adds them up; equal pairs were added up before.
 PAIRS_IN_GROUP = 1 << 23
-#: Cells multiplied or spelled at once inside a task.
+#: Cells spelled or listed at once inside a task.
 STRETCH = 50_000
+#: Cells weighed at once inside a task.
+WEIGHED = 1 << 19
+#: Cells in one row of their table at most.
+LISTED = 8192
+#: Words of a dense block in one row of its table.
+PIECE = 256
+#: Bytes of a dense block that are multiplied in one pass; more columns are left for further passes.
+PASS_BYTES = 1 << 24
+DENSE = "block int, at int, data binary"
 
 
 def vocabulary(notes: DataFrame, min_count: int = 2) -> DataFrame:
@@ -51,40 +63,30 @@ def _hash(word: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), word)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), kind))
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    """All values of a list column in one array."""
-    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _starts(ordered: np.ndarray) -> np.ndarray:
-    """Where runs of equal numbers begin."""
-    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-
-
 def _pairs(ids: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, and (low, high, n) of the pairs in chunks of tokens as places in them, in order."""
     names, codes = np.unique(ids, return_inverse=True)
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    room = np.repeat(lengths, lengths) - at
+    at = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    room = np.repeat(lengths, lengths).astype(np.int32) - at
     bits = window.bit_length()
-    keys = []
-    for d in range(1, window + 1):
-        here = np.flatnonzero((at < CHUNK) & (room > d))
+    there = [(at < CHUNK) & (room > d) for d in range(1, window + 1)]
+    keys, filled = np.empty(sum(map(np.count_nonzero, there)), np.int64), 0
+    for d, mask in enumerate(there, 1):
+        here = np.flatnonzero(mask)
         a, b = codes[here], codes[here + d]
-        keys.append(((np.minimum(a, b) * len(names) + np.maximum(a, b)) << bits) | (window + 1 - d))
-    keys = np.concatenate(keys)
+        keys[filled : filled + len(here)] = ((np.minimum(a, b) * len(names) + np.maximum(a, b)) << bits) | (window + 1 - d)
+        filled += len(here)
+    del codes, at, room, there
     keys.sort()
-    weights = keys & ((1 << bits) - 1)
+    weights = (keys & ((1 << bits) - 1)).astype(np.int32)
     keys >>= bits
-    starts = _starts(keys)
+    starts = starts_of(keys)
     n = np.add.reduceat(weights, starts) if len(starts) else weights
-    return names, *np.divmod(keys[starts], max(1, len(names))), n
+    del weights
+    keys = keys[starts]
+    low = keys // max(1, len(names))
+    keys -= low * len(names)
+    return names, low.astype(np.int32), keys.astype(np.int32), n
 
 
 def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
@@ -98,27 +100,24 @@ def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
     fields = [("first", pa.int32()), ("second", pa.int32()), ("word", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32())),
               ("context", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))]
 
-    def added(held: list[pa.ListArray]) -> pa.RecordBatch | None:
+    def added(held: list[pa.ListArray]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in held])
         lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
+        held.clear()
         names, low, high, n = _pairs(ids, lengths, window)
-        if not len(n):
-            return None
-        kind = names % grid
+        del ids
+        kind = (names % grid).astype(np.int32)
         group = kind[low] * grid + kind[high]
         order = np.argsort(group, kind="stable")
-        group, low, high, n = group[order], low[order], high[order], n[order]
-        edges = _starts(group)
-        words, runs, contexts, sums = [], [], [], []
-        for a, b in zip(edges, [*edges[1:], len(group)]):
-            begin = _starts(low[a:b])
-            words.append(names[low[a:b][begin]])
-            runs.append(np.diff([*begin, b - a]))
-            contexts.append(names[high[a:b]])
-            sums.append(n[a:b])
-        columns = [pa.array(x, pa.int32()) for x in np.divmod(group[edges], grid)]
-        columns += [_lists(x, t.value_type) for x, (_, t) in zip((words, runs, contexts, sums), fields[2:])]
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+        edges = starts_of(group := group[order])
+        for a, b in zip(edges, [*edges[1:], len(order)]):
+            some = order[a:b]
+            word = low[some]
+            begin = starts_of(word)
+            columns = [pa.array([x], pa.int32()) for x in divmod(group[a], grid)]
+            values = names[word[begin]], np.diff([*begin, b - a]), names[high[some]], n[some]
+            columns += [list_column([x], t.value_type) for x, (_, t) in zip(values, fields[2:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens_held = [], 0
@@ -128,11 +127,10 @@ def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
                 held.append(batch.column(0).slice(i, step))
                 tokens_held += len(held[-1].flatten())
                 if tokens_held * window >= PAIRS_AT_ONCE:
-                    out, held, tokens_held = added(held), [], 0
-                    if out is not None:
-                        yield out
-        if held and (out := added(held)) is not None:
-            yield out
+                    yield from added(held)
+                    tokens_held = 0
+        if held:
+            yield from added(held)
 
     schema = "first int, second int, word array<bigint>, runs array<int>, context array<bigint>, n array<int>"
     return chunks.mapInArrow(run, schema)
@@ -172,13 +170,13 @@ def _added_up(parts: pa.Table, first: np.ndarray, second: np.ndarray) -> tuple[n
 
     if not len(first) or not len(second):
         return (np.zeros(0, np.int64),) * 3
-    a = np.repeat(places(first, _flat(parts.column("word"))), _flat(parts.column("runs")))
-    b, n = places(second, _flat(parts.column("context"))), _flat(parts.column("n"))
+    a = np.repeat(places(first, flat(parts.column("word"))), flat(parts.column("runs")))
+    b, n = places(second, flat(parts.column("context"))), flat(parts.column("n"))
     kept = (a >= 0) & (b >= 0)
     key, n = a[kept] * len(second) + b[kept], n[kept].astype(np.int64)
     order = np.argsort(key)
     key, n = key[order], n[order]
-    starts = _starts(key)
+    starts = starts_of(key)
     return *np.divmod(key[starts], len(second)), np.add.reduceat(n, starts) if len(starts) else n
 
 
@@ -244,7 +242,7 @@ def counted(notes: DataFrame, words: DataFrame, window: int = 5) -> Counted:
         kinds = [pa.array([parts.column(c)[0].as_py()], pa.int32()) for c in ("first", "second")]
         found = _added_up(parts, *(np.sort(x.column("hash").to_numpy()) for x in (first, second)))
         for i in range(0, len(found[2]), STRETCH):
-            lists = [_lists([x[i : i + STRETCH]], t.value_type) for x, (_, t) in zip(found, fields[2:])]
+            lists = [list_column([x[i : i + STRETCH]], t.value_type) for x, (_, t) in zip(found, fields[2:])]
             yield pa.RecordBatch.from_arrays([*kinds, *lists], schema=pa.schema(fields))
 
     schema = "first int, second int, a array<int>, b array<int>, n array<bigint>"
@@ -263,12 +261,12 @@ def _totals(counts: Counted) -> tuple[DataFrame, float]:
                     found = np.bincount(batch.column(slot)[i].values.to_numpy(), n)
                     slots = np.flatnonzero(found)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(kind)[i].as_py()], pa.int32()), _lists([slots], pa.int32()), _lists([found[slots]], pa.float64())],
+                        [pa.array([batch.column(kind)[i].as_py()], pa.int32()), list_column([slots], pa.int32()), list_column([found[slots]], pa.float64())],
                         names=["kind", "slots", "sums"],
                     )
 
     def added(key: tuple, parts: pa.Table) -> pa.Table:
-        slots, found = _flat(parts.column("slots")), _flat(parts.column("sums"))
+        slots, found = flat(parts.column("slots")), flat(parts.column("sums"))
         total = np.bincount(slots, found)
         return pa.table({"kind": pa.array(np.full(len(total), key[0].as_py()), pa.int32()), "slot": pa.array(np.arange(len(total)), pa.int32()), "total": total})
 
@@ -281,14 +279,17 @@ def _totals(counts: Counted) -> tuple[DataFrame, float]:
 
 def _weights(cells: pa.Table, first: np.ndarray, second: np.ndarray, everything: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """(a, b, n, weight, turned) of both directions of the cells with a positive weight, a pair of equal words once."""
-    a, b, n = (_flat(cells.column(c)) for c in ("a", "b", "n"))
-    same = (a == b) if cells.column("first")[0] == cells.column("second")[0] else np.zeros(len(a), bool)
-    n = np.where(same, 2 * n, n)
-    for turned in (False, True):
-        total, other = (second[b], first[a]) if turned else (first[a], second[b])
-        weight = np.log(n * everything / total / other)
-        kept = (weight > 0) & ~(same & turned)
-        yield a[kept], b[kept], n[kept], weight[kept], turned
+    one_class = cells.column("first")[0] == cells.column("second")[0]
+    step = max(1, WEIGHED // STRETCH)
+    for i in range(0, cells.num_rows, step):
+        a, b, n = (flat(cells.column(c).slice(i, step)) for c in ("a", "b", "n"))
+        same = (a == b) if one_class else np.zeros(len(a), bool)
+        n = np.where(same, 2 * n, n)
+        for turned in (False, True):
+            total, other = (second[b], first[a]) if turned else (first[a], second[b])
+            weight = np.log(n * everything / total / other)
+            kept = (weight > 0) & ~(same & turned)
+            yield a[kept], b[kept], n[kept], weight[kept], turned
 
 
 def association(counts: DataFrame | Counted) -> DataFrame:
@@ -351,179 +352,267 @@ def _collected(cells: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _sums(to: np.ndarray, of: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct targets in order, and for each the sum of weight times row over its cells."""
-    order = np.argsort(to, kind="stable")
-    to, of, weights = to[order], of[order], weights[order]
-    begins = _starts(to)
-    places = np.cumsum(np.bincount(begins, minlength=len(to))) - 1 if len(to) else begins
-    out = np.zeros((len(begins), rows.shape[1]))
-    for i in range(0, len(to), STRETCH):
-        at = places[i : i + STRETCH]
-        starts = _starts(at)
-        out[at[starts]] += np.add.reduceat(weights[i : i + STRETCH, None] * rows[of[i : i + STRETCH]], starts, axis=0)
-    return to[begins], out
+@dataclass(frozen=True)
+class _Dense:
+    """A table (block, at, data) of ``stored`` columns, times a small matrix if there is one."""
+
+    table: DataFrame
+    stored: int
+    matrix: np.ndarray | None = None
+
+    @property
+    def width(self) -> int:
+        return self.stored if self.matrix is None else self.matrix.shape[1]
+
+    def times(self, matrix: np.ndarray) -> _Dense:
+        return _Dense(self.table, self.stored, matrix if self.matrix is None else self.matrix @ matrix)
+
+    def columns(self, some: slice = slice(None)) -> Callable[[pa.Scalar, slice], np.ndarray]:
+        """What makes some columns of some rows of a stored row."""
+        stored, matrix = self.stored, None if self.matrix is None else np.ascontiguousarray(self.matrix[:, some])
+
+        def rows(data: pa.Scalar, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+            found = matrix_of(data, stored)[which]
+            return found[:, some] if matrix is None else found @ matrix
+
+        return rows
 
 
 class _Blocks:
     """Sparse symmetric cells and tall dense matrices over the same blocks of ``height`` words.
 
-    A dense matrix is a table (block, data), one row of height x width numbers per block; a missing block is zero.
-    A word's place is block * height + slot; ``front`` has the places of the words with most neighbours, in order.
-    Cells (block, slot, context, weight) are lists: those of a word in front name the words in front only, those of
-    any other word all its contexts, a word in front by its rank and another by len(front) + its place.
+    A dense matrix is a table (block, at, data), one row of numbers of up to PIECE words from a block's slot ``at``
+    on; a missing piece is zero. A word's place is block * height + slot; ``front`` has the places of the words with
+    most neighbours, in order.
+    Cells (block, part, ahead, slot, other, weight) are lists of pairs of words of the blocks ``block`` and ``part``:
+    with ``ahead``, the other is in front and told by its rank among the words in front of its block; else it is told by
+    its slot, and neither word is in front.
     """
 
     def __init__(self, cells: DataFrame, blocks: int, height: int, front: np.ndarray):
         self.cells, self.blocks, self.height, self.front = cells, blocks, height, front
 
-    def random(self, width: int, seed: int) -> DataFrame:
+    def random(self, width: int, seed: int) -> _Dense:
+        """Normal numbers, written out once: in one task with the product they would take a second Python worker."""
         height = self.height
 
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in batch["block"]:
-                    data = np.random.default_rng([seed, int(block)]).standard_normal((height, width))
-                    yield pd.DataFrame({"block": [block], "data": [data.tobytes()]})
+                for block in batch.column(0).to_pylist():
+                    yield from _pieces(block, np.random.default_rng([seed, block]).standard_normal((height, width)))
 
         spark = self.cells.sparkSession
-        return spark.range(self.blocks).select(F.col("id").cast("int").alias("block")).mapInPandas(draw, "block int, data binary")
-
-    def times(self, dense: DataFrame, width: int) -> DataFrame:
-        """Sparse times dense. Every block gets its own rows and those of the words in front, not those of all words.
+        drawn = spark.range(self.blocks).select(F.col("id").cast("int").alias("block")).mapInArrow(draw, DENSE)
+        return _Dense(cut_lineage(drawn), width)
+
+    def _by_block(self, table: DataFrame, *order: str) -> DataFrame:
+        """All rows of a block in one task, in order; so many tasks as there are blocks, or else shuffle partitions."""
+        tasks = min(self.blocks, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return table.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block", *order)
+
+    def times(self, dense: _Dense) -> _Dense:
+        """Sparse times dense, in passes over some columns each, so that blocks and what is shuffled at once are bounded."""
+        passes = -(-8 * self.height * dense.width // PASS_BYTES)
+        edges = [i * dense.width // passes for i in range(passes + 1)]
+        found = [self._some_columns(dense, slice(a, b)) for a, b in zip(edges, edges[1:]) if b > a]
+        if len(found) == 1:
+            return _Dense(found[0], dense.width)
+        width = dense.width
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (block, at), rows in runs(batches, 2):
+                some = [(edges[i], matrix_of(x, edges[i + 1] - edges[i])) for i, x in zip(rows.column("part").to_pylist(), rows.column("data"))]
+                full = np.zeros((len(some[0][1]), width))
+                for begin, x in some:
+                    full[:, begin : begin + x.shape[1]] = x
+                yield from _pieces(block, full, at)
+
+        tables = [x.select("block", "at", F.lit(i).alias("part"), "data") for i, x in enumerate(found)]
+        out = cut_lineage(self._by_block(reduce(DataFrame.unionByName, tables), "at").mapInArrow(joined, DENSE))
+        for x in found:
+            remove_table(x)
+        return _Dense(out, width)
+
+    def _some_columns(self, dense: _Dense, some: slice) -> DataFrame:
+        """Some columns of sparse times dense. A block gets its own rows and those of the words in front, not those of all words.
 
         What a word takes from words in front is added up in its own block. What other words give, to words in front
-        or not, is added up in the giver's block by symmetry, and only those sums go to the block they are for.
+        or not, is added up in the giver's block by symmetry, and only those sums go to the block they are for. A task
+        holds the rows of one block, its sums, and the cells it has in common with one other block.
         """
-        height, front, blocks = self.height, self.front, self.blocks
+        height, front, width, stored, made = self.height, self.front, some.stop - some.start, dense.stored, dense.columns(some)
 
-        def in_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ahead_of(block: int) -> np.ndarray:
+            """Slots of the words of a block that are in front."""
+            return front[slice(*np.searchsorted(front, [block * height, (block + 1) * height]))] - block * height
+
+        def own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                    rows = np.frombuffer(data.as_buffer()).reshape(height, width)
-                    ranks = slice(*np.searchsorted(front, [block * height, (block + 1) * height]))
-                    if ranks.stop > ranks.start:
-                        picked = rows[front[ranks] - block * height].tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([ranks.start], pa.int32()), pa.array([picked], pa.binary())], names=["rank", "data"])
+                for i in range(batch.num_rows):
+                    data = pa.array([made(batch.column("data")[i]).tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("block", "at")), data], names=["block", "at", "data"])
 
-        def part(block: int, giver: int, slots: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array([block], pa.int32()), pa.array([giver], pa.int32()), _lists([slots], pa.int32()), pa.array([rows.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, schema=sent)
+        def in_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, at, data in zip(batch.column("block").to_pylist(), batch.column("at").to_pylist(), batch.column("data")):
+                    slots = ahead_of(block)
+                    a, b = np.searchsorted(slots, [at, at + len(data.as_buffer()) // (8 * stored)])
+                    if b > a:
+                        picked = made(data, slots[a:b] - at).tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([a], pa.int32()), pa.array([picked], pa.binary())], names=["part", "at", "data"])
 
         sent = pa.schema([("block", pa.int32()), ("giver", pa.int32()), ("slots", pa.list_(pa.int32())), ("data", pa.binary())])
 
-        def product(cells: pa.Table, factors: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(products(cells, factors) if cells.num_rows else [], sent)
-
-        def products(cells: pa.Table, factors: pa.Table) -> Iterator[pa.RecordBatch]:
-            block = cells.column("block")[0].as_py()
-            ahead, own = np.zeros((len(front), width)), np.zeros((height, width))
-            for rank, data in zip(factors.column("rank").to_pylist(), factors.column("data")):
-                rows = np.frombuffer(data.as_buffer()).reshape(-1, width)
-                if rank < 0:
-                    own = rows
+        def sums(block: int, giver: int, slots: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(slots), PIECE):
+                columns = [pa.array([block], pa.int32()), pa.array([giver], pa.int32()), list_column([slots[i : i + PIECE]], pa.int32()), pa.array([rows[i : i + PIECE].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=sent)
+
+        def filled(rows: pa.Table, out: np.ndarray) -> np.ndarray:
+            for at, data in zip(rows.column("at").to_pylist(), rows.column("data")):
+                if data.is_valid:
+                    out[at : at + len(data.as_buffer()) // (8 * width)] = matrix_of(data, width)
+            return out
+
+        def listed(rows: pa.Table, ahead: bool) -> tuple[np.ndarray, ...]:
+            some = rows.filter(pc.equal(rows.column("ahead"), ahead))
+            return tuple(flat(some.column(c)) for c in ("slot", "other", "weight"))
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, own, taken, is_ahead = None, np.zeros((height, width)), np.zeros((height, width)), np.zeros(height, bool)
+
+            def ended() -> Iterator[pa.RecordBatch]:
+                touched = np.flatnonzero(taken.any(axis=1))
+                for i in range(0, len(touched), PIECE):
+                    yield from sums(here, here, touched[i : i + PIECE], taken[touched[i : i + PIECE]])
+
+            for (block, part), rows in runs(batches, 2):
+                if block != here:
+                    yield from ended()
+                    here = block
+                    for x in (own, taken, is_ahead):
+                        x.fill(0)
+                    is_ahead[ahead_of(block)] = True
+                if part < 0:
+                    filled(rows, own)
+                    continue
+                slots = ahead_of(part)
+                slot, other, weight = listed(rows, True)
+                to, found = sums_of_rows(slot, other, weight, filled(rows, np.zeros((len(slots), width))))
+                taken[to] += found
+                given = ~is_ahead[slot]
+                cells = zip((slots[other[given]], slot[given], weight[given]), (listed(rows, False)[i] for i in (1, 0, 2)))
+                to, found = sums_of_rows(*map(np.concatenate, cells), own)
+                if part == block:
+                    taken[to] += found
                 else:
-                    ahead[rank : rank + len(rows)] = rows
-            slots, contexts, weights = (_flat(cells.column(c)) for c in ("slot", "context", "weight"))
-            is_ahead = np.zeros(height, bool)
-            is_ahead[front[slice(*np.searchsorted(front, [block * height, (block + 1) * height]))] - block * height] = True
-            taken, given = np.flatnonzero(contexts < len(front)), np.flatnonzero(~is_ahead[slots])
-            yield part(block, block, *_sums(slots[taken], contexts[taken], weights[taken], ahead))
-            to = contexts[given]
-            to = np.where(to < len(front), front[to.clip(max=len(front) - 1)], to - len(front))
-            places, rows = _sums(to, slots[given], weights[given], own)
-            edges = np.searchsorted(places, np.arange(blocks + 1) * height)
-            for other in np.flatnonzero(np.diff(edges)).tolist():
-                here = slice(edges[other], edges[other + 1])
-                yield part(other, block, places[here] - other * height, rows[here])
-
-        def added(key: tuple, parts: pa.Table) -> pa.Table:
-            total = np.zeros((height, width))
-            parts = parts.sort_by("giver")
-            for slots, data in zip(parts.column("slots"), parts.column("data")):
-                if len(slots):
-                    total[slots.values.to_numpy()] += np.frombuffer(data.as_buffer()).reshape(-1, width)
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-        shared = dense.mapInArrow(in_front, "rank int, data binary")
-        everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-        factors = shared.select(everywhere, "rank", "data").unionByName(dense.select("block", F.lit(-1).alias("rank"), "data"))
-        parts = self.cells.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(product, "block int, giver int, slots array<int>, data binary")
-        return cut_lineage(parts.groupBy("block").applyInArrow(added, "block int, data binary"))
-
-    def turned(self, dense: DataFrame, matrix: np.ndarray) -> DataFrame:
-        """Dense times a small matrix."""
-
-        def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for block, data in zip(batch["block"], batch["data"]):
-                    yield pd.DataFrame({"block": [block], "data": [(np.frombuffer(data).reshape(-1, len(matrix)) @ matrix).tobytes()]})
-
-        return dense.mapInPandas(turn, "block int, data binary")
-
-    def inner(self, left: DataFrame, right: DataFrame | None, width: int) -> np.ndarray:
+                    yield from sums(part, block, to, found)
+            yield from ended()
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, total = None, np.zeros((height, width))
+            for (block, _), rows in runs(batches, 2):
+                if block != here:
+                    if here is not None:
+                        yield from _pieces(here, total)
+                    here = block
+                    total.fill(0)
+                for slots, data in zip(rows.column("slots"), rows.column("data")):
+                    total[slots.values.to_numpy()] += matrix_of(data, width)
+            if here is not None:
+                yield from _pieces(here, total)
+
+        own = dense.table.mapInArrow(own_rows, DENSE).select("block", F.lit(-1).alias("part"), "at", "data")
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
+        shared = dense.table.mapInArrow(in_front, "part int, at int, data binary").select(everywhere, "part", "at", "data")
+        factors = own.unionByName(shared).unionByName(self.cells, allowMissingColumns=True)
+        parts = self._by_block(factors, "part").mapInArrow(products, "block int, giver int, slots array<int>, data binary")
+        return cut_lineage(self._by_block(parts, "giver").mapInArrow(added, DENSE))
+
+    def inner(self, left: _Dense, right: _Dense | None = None) -> np.ndarray:
         """Left transposed times right (left itself, if None), a matrix of width squared numbers."""
-        both = left.withColumn("other", F.col("data")) if right is None else left.join(right.withColumnRenamed("data", "other"), "block")
+        both = left.table if right is None else left.table.join(right.table.withColumnRenamed("data", "other"), ["block", "at"])
+        first, second = left.columns(), (left if right is None else right).columns()
+        shape, against = (left.width, (left if right is None else right).width), None if right is None else "other"
 
-        def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, width))
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
             for batch in batches:
-                for a, b in zip(batch["data"], batch["other"]):
-                    total += np.frombuffer(a).reshape(-1, width).T @ np.frombuffer(b).reshape(-1, width)
-            yield _cells(total)
+                for i, data in enumerate(batch.column("data")):
+                    a = first(data)
+                    total += a.T @ (a if against is None else second(batch.column(against)[i]))
+            yield pa.RecordBatch.from_pandas(_cells(total), pa.schema([("i", pa.int32()), ("j", pa.int32()), ("x", pa.float64())]), preserve_index=False)
 
-        return _collected(_summed(both.mapInPandas(products, "i int, j int, x double")), width)
+        with settings(left.table.sparkSession, WRITING):
+            return _collected(_summed(both.mapInArrow(products, "i int, j int, x double")), left.width)
 
-    def orthonormal(self, dense: DataFrame, width: int) -> tuple[DataFrame, int]:
-        """Orthonormal columns of the same span, and their number; whitened twice against rounding."""
+    def orthonormal(self, dense: _Dense) -> _Dense:
+        """Orthonormal columns of the same span; whitened twice against rounding."""
         for _ in range(2):
-            if width:
-                values, vectors = np.linalg.eigh(self.inner(dense, None, width))
+            if dense.width:
+                values, vectors = np.linalg.eigh(self.inner(dense))
                 kept = values > max(values.max(), 0) * 1e-12
-                dense, width = self.turned(dense, vectors[:, kept] / np.sqrt(values[kept])), int(kept.sum())
-        return dense, width
+                dense = dense.times(vectors[:, kept] / np.sqrt(values[kept]))
+        return dense
 
-    def rows(self, dense: DataFrame, width: int, size: int) -> DataFrame:
+    def rows(self, dense: _Dense, size: int) -> DataFrame:
         """One row (block, slot, vector) per word, filled with zeros up to ``size`` numbers."""
-        height = self.height
+        schema, made = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("vector", pa.list_(pa.float64()))]), dense.columns()
 
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block, data in zip(batch["block"], batch["data"]):
-                    full = np.zeros((height, size))
-                    full[:, :width] = np.frombuffer(data).reshape(height, width)
-                    for i in range(0, height, 1000):
-                        some = full[i : i + 1000]
-                        yield pd.DataFrame({"block": block, "slot": np.arange(i, i + len(some)), "vector": list(some)})
+                for block, at, data in zip(batch.column("block").to_pylist(), batch.column("at").to_pylist(), batch.column("data")):
+                    numbers = made(data)
+                    full = np.zeros((len(numbers), size))
+                    full[:, : numbers.shape[1]] = numbers
+                    columns = [pa.array(np.full(len(full), block), pa.int32()), pa.array(np.arange(at, at + len(full)), pa.int32()), list_column(list(full), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        return dense.mapInPandas(cut, "block int, slot int, vector array<double>")
+        return dense.table.mapInArrow(cut, "block int, slot int, vector array<double>")
+
+
+def _pieces(block: int, rows: np.ndarray, begin: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of a dense table, from a slot on."""
+    for at in range(0, len(rows), PIECE):
+        columns = [pa.array([x], pa.int32()) for x in (block, begin + at)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[at : at + PIECE].tobytes()], pa.binary())], names=["block", "at", "data"])
 
 
 def _placed_cells(counts: Counted, in_class: int, height: int, front: np.ndarray) -> DataFrame:
     """Positive associations of counted pairs as cells of :class:`_Blocks`; a class of words is ``in_class`` blocks."""
     totals, everything = _totals(counts)
-    fields = [("block", pa.int32()), ("slot", pa.list_(pa.int32())), ("context", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64()))]
+    fields = [("block", pa.int32()), ("part", pa.int32()), ("ahead", pa.bool_()),
+              ("slot", pa.list_(pa.int32())), ("other", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64()))]
 
     def run(cells: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
         sums = [x.sort_by("slot").column("total").to_numpy() for x in (first, second)]
-        begins = [cells.column(c)[0].as_py() * in_class * height for c in ("first", "second")]
+        classes = [cells.column(c)[0].as_py() for c in ("first", "second")]
+        ranks = []
+        for kind, total in zip(classes, sums):  # of all words of a class among those in front of their block, or else -1
+            rank = np.full(in_class * height, -1, np.int32)
+            begin, end = kind * in_class * height, (kind + 1) * in_class * height
+            places = front[slice(*np.searchsorted(front, [begin, end]))] - begin
+            begins = np.searchsorted(places, np.arange(in_class) * height)
+            rank[places] = np.arange(len(places)) - begins[places // height]
+            ranks.append(rank)
         for a, b, _, weight, turned in _weights(cells, *sums, everything):
-            word, context = a + begins[0], b + begins[1]
-            if turned:
-                word, context = context, word
-            ranks, word_ranks = (np.searchsorted(front, x).clip(max=len(front) - 1) for x in (context, word))
-            ahead = front[ranks] == context
-            kept = ahead | (front[word_ranks] != word)
-            context = np.where(ahead, ranks, context + len(front))[kept]
-            block, slot = np.divmod(word[kept], height)
-            order = np.argsort(block, kind="stable")
-            edges = _starts(block[order])
+            (word, word_rank, kind), (context, rank, other_kind) = [(a, ranks[0], classes[0]), (b, ranks[1], classes[1])][:: -1 if turned else 1]
+            kept = (rank[context] >= 0) | (word_rank[word] < 0)
+            word, context, weight = word[kept], context[kept], weight[kept]
+            rank = rank[context]
+            (block, slot), (part, other) = np.divmod(word, height), np.divmod(context, height)
+            order = np.argsort((block * in_class + part) * 2 + (rank >= 0), kind="stable")
+            block, part, slot, rank, other, weight = (x[order] for x in (block, part, slot, rank, other, weight))
+            edges = starts_of((block * in_class + part) * 2 + (rank >= 0))
             for i, j in zip(edges, [*edges[1:], len(order)]):
-                some = order[i:j]
-                lists = [_lists([x[some]], t.value_type) for x, (_, t) in zip((slot, context, weight[kept]), fields[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([block[some[0]]], pa.int32()), *lists], schema=pa.schema(fields))
-
-    schema = "block int, slot array<int>, context array<bigint>, weight array<double>"
+                ahead = bool(rank[i] >= 0)
+                told = [slot[i:j], (rank if ahead else other)[i:j], weight[i:j]]
+                names = [pa.array([int(kind * in_class + block[i])], pa.int32()), pa.array([int(other_kind * in_class + part[i])], pa.int32()), pa.array([ahead])]
+                for k in range(0, j - i, LISTED):
+                    lists = [list_column([x[k : k + LISTED]], t.value_type) for x, (_, t) in zip(told, fields[3:])]
+                    yield pa.RecordBatch.from_arrays([*names, *lists], schema=pa.schema(fields))
+
+    schema = "block int, part int, ahead boolean, slot array<int>, other array<int>, weight array<double>"
     return cut_lineage(_grouped(counts.cells, totals.drop("word"), "kind", counts.grid, run, schema, fields))
 
 
@@ -554,17 +643,25 @@ def word_vectors(
         return words.select("word", "n", F.array_repeat(F.lit(0.0), size).alias("vector"))
     matrix = _Blocks(_placed_cells(counts, in_class, height, ahead), blocks, height, ahead)
 
-    width = min(size + extra, blocks * height)
-    basis = matrix.random(width, seed)
+    basis = matrix.random(min(size + extra, blocks * height), seed)
+    read = [basis.table]
     for _ in range(1 + power):
-        basis, width = matrix.orthonormal(matrix.times(basis, width), width)
-        if not width:
+        basis = matrix.orthonormal(matrix.times(basis))
+        for table in read:
+            remove_table(table)
+        read = [basis.table]
+        if not basis.width:
             break
-    if width:
-        values, turn = np.linalg.eigh(matrix.inner(basis, matrix.times(basis, width), width))
+    if basis.width:
+        product = matrix.times(basis)
+        values, turn = np.linalg.eigh(matrix.inner(basis, product))
+        remove_table(product.table)
         best = np.argsort(-np.abs(values))[:size]
         turn = turn[:, best] * np.sign(turn[np.abs(turn[:, best]).argmax(axis=0), best])
-        basis, width = matrix.turned(basis, turn * np.sqrt(np.abs(values[best]))), len(best)
-    found = placed.join(matrix.rows(basis, width, size), ["block", "slot"], "left")
+        basis = basis.times(turn * np.sqrt(np.abs(values[best])))
+    found = placed.join(matrix.rows(basis, size), ["block", "slot"], "left")
     nothing = F.array_repeat(F.lit(0.0), size)
-    return cut_lineage(found.select("word", "n", F.coalesce("vector", nothing).alias("vector")))
+    vectors = cut_lineage(found.select("word", "n", F.coalesce("vector", nothing).alias("vector")))
+    for table in (*read, matrix.cells, counts.cells):
+        remove_table(table)
+    return vectors
