@@ -146,6 +146,34 @@ def test_vectors_when_few_words_are_in_front(notes, monkeypatch, front, block_wo
     assert np.allclose(got @ got.T, (axes * np.abs(values)) @ axes.T, atol=1e-6)
 
 
+def _fixed(spark):
+    return spark.createDataFrame([("lung", 4, [1.0, 0.0]), ("cough", 2, [0.0, 2.0]), ("fever", 3, [4.0, 4.0])], "word string, n long, vector array<double>")
+
+
+@pytest.mark.parametrize("rows, tokens", [(1, 1 << 22), (2, 3), (1 << 14, 1 << 22)])
+def test_note_means_in_blocks(spark, monkeypatch, rows, tokens):
+    """Repeated keys share one mean over all their tokens, across blocks; rows without a key have zeros."""
+    monkeypatch.setattr(n, "ROWS_IN_BLOCK", rows)
+    monkeypatch.setattr(n, "TOKENS_IN_BLOCK", tokens)
+    monkeypatch.setattr(n, "ROWS_AT_ONCE", 1)
+    texts = [(1, "lung lung cough"), (1, "fever"), (2, "absent"), (None, "lung"), (3, ""), (4, "Cough, lung"), (5, None), (2, "none")]
+    notes = spark.createDataFrame(texts, "row_id long, text string").coalesce(1)
+    found = sorted((r.row_id or 0, r.text, r.vector) for r in n.word_mean_vectors(_fixed(spark), notes, 2).collect())
+    assert found == [
+        (0, "lung", [0.0, 0.0]), (1, "fever", [1.5, 1.5]), (1, "lung lung cough", [1.5, 1.5]), (2, "absent", [0.0, 0.0]),
+        (2, "none", [0.0, 0.0]), (3, "", [0.0, 0.0]), (4, "Cough, lung", [0.5, 1.0]),
+    ]
+
+
+def test_note_means_send_a_vector_once_to_a_block(spark, monkeypatch):
+    """A word in all notes of a block meets its vector in one row, not in one for every note."""
+    notes = spark.createDataFrame([(i, "lung cough lung") for i in range(500)], "row_id string, text string").coalesce(1)
+    found = n._words_of_blocks(notes, "row_id").collect()
+    assert sorted((r.word or "", len(r.slots or r["keys"])) for r in found) == [("", 500), ("cough", 500), ("lung", 500)]
+    means = n.word_mean_vectors(_fixed(spark), notes, 2).collect()
+    assert {r.row_id for r in means} == {str(i) for i in range(500)} and all(np.allclose(r.vector, [2 / 3, 2 / 3]) for r in means)
+
+
 def test_a_product_in_passes_is_held_by_pairs_of_blocks(notes, monkeypatch):
     """Columns multiplied in several passes give the same vectors, and a task's rows of cells and words are small."""
     monkeypatch.setattr(wd, "PAIRS_IN_GROUP", 500)

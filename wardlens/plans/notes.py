@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -14,11 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions.scalars import has_prefix, lacks_prefix
+from wardlens.operators.arrays import flat, list_column, runs, starts_of, sums_of_rows
 from wardlens.operators.nearest import nearest_rows, similarities
 from wardlens.plans.features import shuffled
 from wardlens.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Notes, or else their tokens, that meet the vectors of their words together.
+ROWS_IN_BLOCK = 1 << 14
+TOKENS_IN_BLOCK = 1 << 22
+#: Rows handled at once inside a task.
+ROWS_AT_ONCE = 256
 
 
 # ---- cohorts ----------------------------------------------------------------
@@ -267,15 +275,103 @@ def letter_encoder():
     return encode
 
 
+def _words_of_blocks(listed: DataFrame, key: str) -> DataFrame:
+    """Notes in blocks of neighbouring rows: (block, keys) once, and (block, word, slots, ns) for every word of a block.
+
+    Slots are places of a block's notes, ns the number of times that the word is in each.
+    """
+    kind = listed.schema[key].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        held, rows, held_tokens = [], 0, 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            keys = pa.concat_arrays([x.column(0) for x in held])
+            lengths = np.concatenate([x.column(1).value_lengths().to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
+            words = pa.chunked_array([x.column(1).flatten() for x in held]).dictionary_encode().unify_dictionaries()
+            held.clear()
+            if not words.num_chunks:
+                return
+            names = words.chunk(0).dictionary
+            codes = np.concatenate([x.indices.to_numpy() for x in words.chunks]).astype(np.int64)
+            del words
+            codes *= len(keys)
+            codes += np.repeat(np.arange(len(keys)), lengths)
+            codes, ns = np.unique(codes, return_counts=True)
+            word, slots = np.divmod(codes, max(1, len(keys)))
+            begins = starts_of(word)
+            ends = pa.array([*begins, len(word)] if len(word) else [0], pa.int32())
+            number = pa.array(np.full(len(begins), task << 32 | made), pa.int64())
+            columns = [names.take(pa.array(word[begins])).cast(pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (slots, ns))]
+            yield pa.RecordBatch.from_arrays([number, pa.nulls(len(begins), pa.list_(keys.type)), *columns], names=fields)
+            own = [pa.array([task << 32 | made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(1, x.type) for x in columns)], names=fields)
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                held.append(batch.slice(i, ROWS_AT_ONCE))
+                rows += held[-1].num_rows
+                held_tokens += len(held[-1].column(1).flatten())
+                if rows >= ROWS_IN_BLOCK or held_tokens >= TOKENS_IN_BLOCK:
+                    yield from block()
+                    made, rows, held_tokens = made + 1, 0, 0
+        if held:
+            yield from block()
+
+    fields = ["block", "keys", "word", "slots", "ns"]
+    split = listed.select(key, tokens("text").alias("words"))
+    return split.mapInArrow(run, f"block bigint, keys array<{kind.simpleString()}>, word string, slots array<int>, ns array<int>")
+
+
+def _sums_of_blocks(words: DataFrame, size: int, key: str) -> DataFrame:
+    """(key, sums, n) of the notes of each block, from rows (block, keys) and (block, slots, ns, vector)."""
+    kind = words.schema["keys"].dataType.elementType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, keys, total, n = None, None, None, None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            found = np.flatnonzero(n)
+            for i in range(0, len(found), ROWS_AT_ONCE):
+                some = found[i : i + ROWS_AT_ONCE]
+                columns = [keys.take(pa.array(some)), list_column(list(total[some]), pa.float64()), pa.array(n[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "sums", "n"])
+
+        for (block,), rows in runs(batches, 1, parts=True):
+            if block != here:
+                if here is not None:
+                    yield from ended()
+                here, keys = block, rows.column("keys")[0].values
+                total, n = np.zeros((len(keys), size)), np.zeros(len(keys), np.int64)
+                rows = rows.slice(1)
+            if rows.num_rows:
+                slots, ns = flat(rows.column("slots")), flat(rows.column("ns"))
+                lengths = np.concatenate([x.value_lengths().to_numpy() for x in rows.column("slots").chunks])
+                to, found = sums_of_rows(slots, np.repeat(np.arange(rows.num_rows), lengths), ns, flat(rows.column("vector")).reshape(-1, size))
+                total[to] += found
+                n += np.bincount(slots, ns, len(n)).astype(np.int64)
+        if here is not None:
+            yield from ended()
+
+    dealt = words.select("block", "keys", "slots", "ns", "vector").repartition("block").sortWithinPartitions("block", F.col("keys").isNull())
+    return dealt.mapInArrow(run, f"{key} {kind.simpleString()}, sums array<double>, n bigint")
+
+
 def word_mean_vectors(vectors: DataFrame, notes: DataFrame, size: int, text: str = "text", key: str = "row_id") -> DataFrame:
     """Notes with text and ``vector``, the mean over their tokens in the vocabulary; zeros if there are none.
 
-    A note's repeated words meet their vector once.
+    A word's vector is sent once to every block of notes that has the word, not once to every note; a block's sums are
+    added up in its task, and rows with one key share theirs.
     """
     listed = notes.where(F.col(text).isNotNull())
-    counted = listed.select(key, F.explode(tokens(text)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    sums = [F.sum(F.get("vector", F.lit(i)) * F.col("_n")) / F.sum("_n") for i in range(size)]
-    means = counted.join(vectors.select("word", "vector"), "word").groupBy(key).agg(F.array(*sums).alias("vector"))
+    keyed = listed.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
+    found = cut_lineage(_words_of_blocks(keyed, key))
+    at = [F.coalesce(F.get("vector", F.lit(i)).cast("double"), F.lit(0.0)) for i in range(size)]
+    given = vectors.select("word", F.array(*at).alias("vector"))
+    words = found.where(F.col("word").isNotNull()).select("block", "word", "slots", "ns").join(given, "word")
+    sums = cut_lineage(_sums_of_blocks(found.where(F.col("word").isNull()).select("block", "keys").unionByName(words, allowMissingColumns=True), size, key))
+    means = sums.groupBy(key).agg(F.array(*[F.sum(F.get("sums", F.lit(i))) / F.sum("n") for i in range(size)]).alias("vector"))
     nothing = F.array_repeat(F.lit(0.0), size)
     return listed.join(means, key, "left").withColumn("vector", F.coalesce("vector", nothing))
 
