@@ -95,3 +95,36 @@ def test_larger_buckets_when_they_send_fewer_rows(spark, monkeypatch):
     assert 0 < chosen[0] < smallest[0]
     assert nearest.rows_sent(3000, *chosen) < nearest.rows_sent(3000, *smallest)
     assert nearest.share_compared(*chosen) <= 1.25 * nearest.share_compared(*smallest)
+
+
+@pytest.mark.parametrize("per_bucket", [30, 10**6])
+def test_all_rows_are_searched_in_passes_of_bounded_size(spark, data, monkeypatch, per_bucket):
+    """What one pass sends grows with the table, not with its square; vectors of floats are sent as such."""
+    monkeypatch.setattr(nearest, "QUERIES_PER_BLOCK", 10)
+    sent, search = [], nearest._searched
+
+    def counted(cells, key, k):
+        if k == 5:
+            sent.append((cells.count(), cells.schema["vector"].dataType.simpleString()))
+        return search(cells, key, k)
+
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    monkeypatch.setattr(nearest, "calibrated", lambda coded, *a: (0, 1) if per_bucket == 10**6 else (3, 6))
+    monkeypatch.setattr(nearest, "_searched", counted)
+    got = lists(nearest.neighbours(df, "id", "v", 5, per_bucket=per_bucket))
+    nodes = 300 + 80 + 1
+    assert len(sent) > 2 and {kind for _, kind in sent} == {"array<float>"}
+    stretches = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(n for n, _ in sent) <= nodes * (2 * nearest.SENT_AT_ONCE + stretches / len(sent))
+    assert set(got) == {i for i, v in data if v is not None} and all(len(near) == 5 for near in got.values())
+    if per_bucket == 10**6:
+        agrees(got, exact(data, [i for i, _ in data], 5))
+
+
+def test_queries_in_many_blocks_are_sent_to_few_stretches(spark, data, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERIES_PER_BLOCK", 100)
+    df = nearest._known(spark.createDataFrame(data, SCHEMA), "id", "v")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = nearest._cells(df, df, "id")
+    assert cells.where("not is_row").count() <= df.count() * -(-2 * partitions // 6)
+    assert cells.select("cell").distinct().count() >= partitions

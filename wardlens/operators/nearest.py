@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ CODE_BITS = 60
 #: Of the bits with the least margins, how many are flipped in all combinations to find the buckets to probe.
 FLIPPED_BITS = 10
 SAMPLED_QUERIES = 200
+#: Rows that one pass of the search of all rows sends, for each row of the table; more are sent in further passes.
+SENT_AT_ONCE = 8
 #: How much more may be compared than with the smallest buckets, if fewer rows are sent that way.
 MORE_COMPARED = 1.25
 
@@ -115,13 +118,19 @@ def _searched(cells: DataFrame, key: str, k: int | None) -> DataFrame:
 
 
 def _known(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("vector"))
+    """Rows with a vector, floats as they are: products are of doubles, but half as much is sent."""
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    return vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast(kind).alias("vector"))
 
 
 def _cells(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Queries in blocks by hash, rows in stretches by hash: a cell is a block of queries and a stretch of rows."""
+    """Queries in blocks by hash, rows in stretches by hash: a cell is a block of queries and a stretch of rows.
+
+    There are about two cells for a shuffle partition, so many blocks mean few stretches to send a query to.
+    """
     blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    stretches = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = min(partitions, math.ceil(2 * partitions / blocks))
     block, stretch = F.pmod(F.xxhash64(key), F.lit(blocks)), F.pmod(F.xxhash64(F.lit(7), key), F.lit(stretches))
     asked = queries.select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda s: block * stretches + s)).alias("cell"), F.lit(False).alias("is_row"), key, "vector"
@@ -185,7 +194,8 @@ def _coded(rows: DataFrame, key: str, seed: int) -> DataFrame:
                 code = pa.array(_codes(_projected(_matrix(batch.column(1)), seed)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code], names=[key, "vector", "code"])
 
-    return rows.select(key, "vector").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>, code bigint")
+    kinds = [rows.schema[c].dataType.simpleString() for c in (key, "vector")]
+    return rows.select(key, "vector").mapInArrow(run, f"{key} {kinds[0]}, vector {kinds[1]}, code bigint")
 
 
 def _with_probes(coded: DataFrame, key: str, seed: int, bits: int, count: int) -> DataFrame:
@@ -198,7 +208,8 @@ def _with_probes(coded: DataFrame, key: str, seed: int, bits: int, count: int) -
                 listed = pa.array(probes.tolist(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=[key, "vector", "code", "probes"])
 
-    schema = f"{key} {coded.schema[key].dataType.simpleString()}, vector array<double>, code bigint, probes array<bigint>"
+    kinds = [coded.schema[c].dataType.simpleString() for c in (key, "vector")]
+    schema = f"{key} {kinds[0]}, vector {kinds[1]}, code bigint, probes array<bigint>"
     return coded.select(key, "vector", "code").mapInArrow(run, schema).select(key, "vector", "code", F.explode("probes").alias("prefix"))
 
 
@@ -272,34 +283,40 @@ def neighbours(
     Vectors get a code of one bit per random hyperplane. Rows lie in the bucket of their code's first bits; a
     query probes its own bucket and those across the planes it lies closest to, as many as a sample of queries
     needs. Buckets far above the mean are divided by further bits. Equal vectors are one node with its first keys,
-    so copies meet in no product. Inside the probed buckets similarities are exact.
+    so copies meet in no product. Inside the probed buckets similarities are exact. All queries are searched, in as many
+    passes as keep what one pass sends in proportion to the table.
     """
     rows = cut_lineage(_known(vectors, key, vector).withColumn("copies", F.xxhash64("vector")))
     members = first_rows(rows, ["copies", "vector"], [key], k + 1)  # a vector's neighbours need no more of its keys
     nodes = cut_lineage(members.groupBy("copies", "vector").agg(F.min(key).alias(key), F.sort_array(F.collect_list(key)).alias("keys")))
     coded = cut_lineage(_coded(nodes, key, seed))
     bits, count = calibrated(coded, key, seed, k, recall, per_bucket)
-    if bits == 0:
-        found = _ranked(_searched(_cells(coded, coded, key), key, k), k)
-    else:
-        extra = _extra_bits(coded, bits, per_bucket)
+    passes = max(1, math.ceil(rows_sent(coded.count(), bits, count) / SENT_AT_ONCE))
+    extra = cut_lineage(_extra_bits(coded, bits, per_bucket)) if bits else None
+
+    def cells(queries: DataFrame) -> DataFrame:
+        if bits == 0:
+            return _cells(queries, coded, key)
 
         def placed(df: DataFrame) -> DataFrame:
             deep = F.coalesce("extra", F.lit(0))
             rest = F.col("code").bitwiseAND(F.lit((1 << (CODE_BITS - bits)) - 1))
             return df.join(extra, "prefix", "left").withColumn("rest", F.call_function("shiftright", rest, F.lit(CODE_BITS - bits) - deep)).drop("extra")
 
-        asked = placed(_with_probes(coded, key, seed, bits, count))
+        asked = placed(_with_probes(queries, key, seed, bits, count))
         given = placed(coded.withColumn("prefix", F.shiftright("code", CODE_BITS - bits)))
         blocks = asked.groupBy("prefix", "rest").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).alias("blocks"))
         asked = asked.join(blocks, ["prefix", "rest"]).select(F.pmod(F.xxhash64(key), "blocks").alias("block"), "prefix", "rest", F.lit(False).alias("is_row"), key, "vector")
         given = given.join(blocks, ["prefix", "rest"]).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "prefix", "rest", F.lit(True).alias("is_row"), key, "vector")
-        cells = asked.unionByName(given).withColumn("cell", F.xxhash64("prefix", "rest", "block"))
-        found = _ranked(_searched(cells, key, k), k)
+        return asked.unionByName(given).withColumn("cell", F.xxhash64("prefix", "rest", "block"))
+
+    turn = F.pmod(F.xxhash64(F.lit(11), key), F.lit(passes))
+    parts = [coded if passes == 1 else coded.where(turn == i) for i in range(passes)]
+    found = reduce(DataFrame.unionByName, [cut_lineage(_ranked(_searched(cells(x), key, k), k)) for x in parts])
     # Back from nodes to rows: a row's own copies are neighbours of similarity 1 (0 for zero vectors).
     node_keys = nodes.select(F.col(key).alias("neighbour"), "keys")
     listed = found.join(node_keys, "neighbour").select("query", "similarity", F.explode("keys").alias("neighbour"))
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     own = nodes.select(F.col(key).alias("query"), F.when(length > 0, 1.0).otherwise(0.0).alias("similarity"), F.explode("keys").alias("neighbour"))
     best = _ranked(listed.unionByName(own), k + 1)  # the row itself may be one of them
     lists = best.groupBy("query").agg(F.collect_list(F.struct("similarity", "neighbour")).alias("best"))
