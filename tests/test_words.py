@@ -156,6 +156,7 @@ def test_note_means_in_blocks(spark, monkeypatch, rows, tokens):
     monkeypatch.setattr(n, "ROWS_IN_BLOCK", rows)
     monkeypatch.setattr(n, "TOKENS_IN_BLOCK", tokens)
     monkeypatch.setattr(n, "ROWS_AT_ONCE", 1)
+    monkeypatch.setattr(n, "COLUMNS_AT_ONCE", 1)
     texts = [(1, "lung lung cough"), (1, "fever"), (2, "absent"), (None, "lung"), (3, ""), (4, "Cough, lung"), (5, None), (2, "none")]
     notes = spark.createDataFrame(texts, "row_id long, text string").coalesce(1)
     found = sorted((r.row_id or 0, r.text, r.vector) for r in n.word_mean_vectors(_fixed(spark), notes, 2).collect())
@@ -185,8 +186,8 @@ def test_a_product_in_passes_is_held_by_pairs_of_blocks(notes, monkeypatch):
 
     def written(df):
         out = write(df)
-        if {"slot", "weight"} <= set(out.columns) and "block" in out.columns:
-            sizes.extend(r.k for r in out.select(n.F.size("slot").alias("k")).collect())
+        for column in {"slot", "n"} & {c for c, kind in out.dtypes if kind.startswith("array")}:
+            sizes.extend(r.k for r in out.select(n.F.size(column).alias("k")).collect())
         return out
 
     monkeypatch.setattr(wd, "cut_lineage", written)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions.scalars import has_prefix, lacks_prefix
-from wardlens.operators.arrays import flat, list_column, runs, starts_of, sums_of_rows
+from wardlens.operators.arrays import add_rows, flat, list_column, runs, starts_of, sums_of_rows
 from wardlens.operators.nearest import nearest_rows, similarities
 from wardlens.plans.features import shuffled
 from wardlens.session import cut_lineage
@@ -25,6 +26,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 #: Notes, or else their tokens, that meet the vectors of their words together.
 ROWS_IN_BLOCK = 1 << 14
 TOKENS_IN_BLOCK = 1 << 22
+#: Columns of the vectors sent in one pass.
+COLUMNS_AT_ONCE = 50
 #: Rows handled at once inside a task.
 ROWS_AT_ONCE = 256
 
@@ -349,7 +352,7 @@ def _sums_of_blocks(words: DataFrame, size: int, key: str) -> DataFrame:
                 slots, ns = flat(rows.column("slots")), flat(rows.column("ns"))
                 lengths = np.concatenate([x.value_lengths().to_numpy() for x in rows.column("slots").chunks])
                 to, found = sums_of_rows(slots, np.repeat(np.arange(rows.num_rows), lengths), ns, flat(rows.column("vector")).reshape(-1, size))
-                total[to] += found
+                add_rows(total, to, found)
                 n += np.bincount(slots, ns, len(n)).astype(np.int64)
         if here is not None:
             yield from ended()
@@ -361,17 +364,24 @@ def _sums_of_blocks(words: DataFrame, size: int, key: str) -> DataFrame:
 def word_mean_vectors(vectors: DataFrame, notes: DataFrame, size: int, text: str = "text", key: str = "row_id") -> DataFrame:
     """Notes with text and ``vector``, the mean over their tokens in the vocabulary; zeros if there are none.
 
-    A word's vector is sent once to every block of notes that has the word, not once to every note; a block's sums are
-    added up in its task, and rows with one key share theirs.
+    A word's vector is sent once to every block of notes that has the word, not once to every note, in passes over some
+    columns; a block's sums are added up in its task, and rows with one key share theirs.
     """
     listed = notes.where(F.col(text).isNotNull())
     keyed = listed.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
     found = cut_lineage(_words_of_blocks(keyed, key))
-    at = [F.coalesce(F.get("vector", F.lit(i)).cast("double"), F.lit(0.0)) for i in range(size)]
-    given = vectors.select("word", F.array(*at).alias("vector"))
-    words = found.where(F.col("word").isNotNull()).select("block", "word", "slots", "ns").join(given, "word")
-    sums = cut_lineage(_sums_of_blocks(found.where(F.col("word").isNull()).select("block", "keys").unionByName(words, allowMissingColumns=True), size, key))
-    means = sums.groupBy(key).agg(F.array(*[F.sum(F.get("sums", F.lit(i))) / F.sum("n") for i in range(size)]).alias("vector"))
+    keys = found.where(F.col("word").isNull()).select("block", "keys")
+    words = found.where(F.col("word").isNotNull()).select("block", "word", "slots", "ns")
+    parts = []
+    for begin in range(0, size, COLUMNS_AT_ONCE):
+        columns = range(begin, min(size, begin + COLUMNS_AT_ONCE))
+        numbers = [F.coalesce(F.get("vector", F.lit(i)).cast("double"), F.lit(0.0)) for i in columns]
+        met = words.join(vectors.select("word", F.array(*numbers).alias("vector")), "word")
+        sums = cut_lineage(_sums_of_blocks(keys.unionByName(met, allowMissingColumns=True), len(columns), key))
+        parts.append(sums.withColumn("begin", F.lit(begin)))
+    of = [F.when(F.col("begin") == i - i % COLUMNS_AT_ONCE, F.get("sums", F.lit(i % COLUMNS_AT_ONCE))) for i in range(size)]
+    n = F.sum(F.when(F.col("begin") == 0, F.col("n")))
+    means = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.array(*[F.sum(x) / n for x in of]).alias("vector"))
     nothing = F.array_repeat(F.lit(0.0), size)
     return listed.join(means, key, "left").withColumn("vector", F.coalesce("vector", nothing))
 

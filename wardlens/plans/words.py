@@ -21,7 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlens.operators.arrays import flat, list_column, matrix_of, runs, starts_of, sums_of_rows
+from wardlens.operators.arrays import (
+    add_rows,
+    flat,
+    list_column,
+    matrix_of,
+    pairs_added_up,
+    pairs_of,
+    pieces_of,
+    runs,
+    starts_of,
+    sums_of_rows,
+    weights_of,
+)
 from wardlens.plans.notes import token_counts, tokens
 from wardlens.session import WRITING, cut_lineage, remove_table, settings
 
@@ -31,12 +43,12 @@ CHUNK = 1000
 PAIRS_AT_ONCE = 1 << 24
 #: Pairs in all notes for each group of the shuffle that adds them up; equal pairs were added up before.
 PAIRS_IN_GROUP = 1 << 23
-#: Cells spelled or listed at once inside a task.
+#: Cells spelled at once inside a task.
 STRETCH = 50_000
-#: Cells weighed at once inside a task.
-WEIGHED = 1 << 19
 #: Cells in one row of their table at most.
 LISTED = 8192
+#: Such rows weighed at once inside a task.
+ROWS_WEIGHED = 64
 #: Words of a dense block in one row of its table.
 PIECE = 256
 #: Bytes of a dense block that are multiplied in one pass; more columns are left for further passes.
@@ -63,32 +75,6 @@ def _hash(word: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), word)
 
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, and (low, high, n) of the pairs in chunks of tokens as places in them, in order."""
-    names, codes = np.unique(ids, return_inverse=True)
-    at = (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-    room = np.repeat(lengths, lengths).astype(np.int32) - at
-    bits = window.bit_length()
-    there = [(at < CHUNK) & (room > d) for d in range(1, window + 1)]
-    keys, filled = np.empty(sum(map(np.count_nonzero, there)), np.int64), 0
-    for d, mask in enumerate(there, 1):
-        here = np.flatnonzero(mask)
-        a, b = codes[here], codes[here + d]
-        keys[filled : filled + len(here)] = ((np.minimum(a, b) * len(names) + np.maximum(a, b)) << bits) | (window + 1 - d)
-        filled += len(here)
-    del codes, at, room, there
-    keys.sort()
-    weights = (keys & ((1 << bits) - 1)).astype(np.int32)
-    keys >>= bits
-    starts = starts_of(keys)
-    n = np.add.reduceat(weights, starts) if len(starts) else weights
-    del weights
-    keys = keys[starts]
-    low = keys // max(1, len(names))
-    keys -= low * len(names)
-    return names, low.astype(np.int32), keys.astype(np.int32), n
-
-
 def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
     """Pairs added up inside tasks, in one row per batch and pair of hash classes.
 
@@ -104,7 +90,7 @@ def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
         ids = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in held])
         lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
         held.clear()
-        names, low, high, n = _pairs(ids, lengths, window)
+        names, low, high, n = pairs_of(ids, lengths, window, CHUNK)
         del ids
         kind = (names % grid).astype(np.int32)
         group = kind[low] * grid + kind[high]
@@ -161,25 +147,6 @@ def _grouped(
     return cells.groupBy(*keys).cogroup(_for_both(table, kind, grid).groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _added_up(parts: pa.Table, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n) of the pairs of known words, as places in two ordered lists of hashes."""
-
-    def places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(known, hashes).clip(max=len(known) - 1)
-        return np.where(known[at] == hashes, at, -1)
-
-    if not len(first) or not len(second):
-        return (np.zeros(0, np.int64),) * 3
-    a = np.repeat(places(first, flat(parts.column("word"))), flat(parts.column("runs")))
-    b, n = places(second, flat(parts.column("context"))), flat(parts.column("n"))
-    kept = (a >= 0) & (b >= 0)
-    key, n = a[kept] * len(second) + b[kept], n[kept].astype(np.int64)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    starts = starts_of(key)
-    return *np.divmod(key[starts], len(second)), np.add.reduceat(n, starts) if len(starts) else n
-
-
 def neighbour_counts(notes: DataFrame, words: DataFrame, window: int = 5) -> DataFrame:
     """Symmetric (word, context, n) of vocabulary words at most ``window`` tokens apart in a note.
 
@@ -199,7 +166,7 @@ def neighbour_counts(notes: DataFrame, words: DataFrame, window: int = 5) -> Dat
         first, second = first.sort_by("hash"), second.sort_by("hash")
         hashes = [x.column("hash").to_numpy() for x in (first, second)]
         names = [x.column("word").combine_chunks() for x in (first, second)]
-        a, b, n = _added_up(parts, *hashes)
+        a, b, n = pairs_added_up(parts, *hashes)
         for i in range(0, len(n), STRETCH):
             x, y, k = a[i : i + STRETCH], b[i : i + STRETCH], n[i : i + STRETCH]
             same = hashes[0][x] == hashes[1][y]
@@ -240,9 +207,9 @@ def counted(notes: DataFrame, words: DataFrame, window: int = 5) -> Counted:
 
     def listing(parts: pa.Table, first: pa.Table, second: pa.Table) -> Iterator[pa.RecordBatch]:
         kinds = [pa.array([parts.column(c)[0].as_py()], pa.int32()) for c in ("first", "second")]
-        found = _added_up(parts, *(np.sort(x.column("hash").to_numpy()) for x in (first, second)))
-        for i in range(0, len(found[2]), STRETCH):
-            lists = [list_column([x[i : i + STRETCH]], t.value_type) for x, (_, t) in zip(found, fields[2:])]
+        found = pairs_added_up(parts, *(np.sort(x.column("hash").to_numpy()) for x in (first, second)))
+        for i in range(0, len(found[2]), LISTED):
+            lists = [list_column([x[i : i + LISTED]], t.value_type) for x, (_, t) in zip(found, fields[2:])]
             yield pa.RecordBatch.from_arrays([*kinds, *lists], schema=pa.schema(fields))
 
     schema = "first int, second int, a array<int>, b array<int>, n array<bigint>"
@@ -277,21 +244,6 @@ def _totals(counts: Counted) -> tuple[DataFrame, float]:
     return totals, totals.agg(F.sum("total")).first()[0] or 0.0
 
 
-def _weights(cells: pa.Table, first: np.ndarray, second: np.ndarray, everything: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(a, b, n, weight, turned) of both directions of the cells with a positive weight, a pair of equal words once."""
-    one_class = cells.column("first")[0] == cells.column("second")[0]
-    step = max(1, WEIGHED // STRETCH)
-    for i in range(0, cells.num_rows, step):
-        a, b, n = (flat(cells.column(c).slice(i, step)) for c in ("a", "b", "n"))
-        same = (a == b) if one_class else np.zeros(len(a), bool)
-        n = np.where(same, 2 * n, n)
-        for turned in (False, True):
-            total, other = (second[b], first[a]) if turned else (first[a], second[b])
-            weight = np.log(n * everything / total / other)
-            kept = (weight > 0) & ~(same & turned)
-            yield a[kept], b[kept], n[kept], weight[kept], turned
-
-
 def association(counts: DataFrame | Counted) -> DataFrame:
     """Positive pointwise mutual information of (word, context, n); pairs seen no more often than by chance go.
 
@@ -305,7 +257,7 @@ def association(counts: DataFrame | Counted) -> DataFrame:
             first, second = first.sort_by("slot"), second.sort_by("slot")
             names = [x.column("word").combine_chunks() for x in (first, second)]
             sums = [x.column("total").to_numpy() for x in (first, second)]
-            for a, b, n, weight, turned in _weights(cells, *sums, everything):
+            for a, b, n, weight, turned in weights_of(cells, *sums, everything, ROWS_WEIGHED):
                 for i in range(0, len(n), STRETCH):
                     left, right = names[0].take(pa.array(a[i : i + STRETCH])), names[1].take(pa.array(b[i : i + STRETCH]))
                     words = [right, left] if turned else [left, right]
@@ -399,7 +351,7 @@ class _Blocks:
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in batch.column(0).to_pylist():
-                    yield from _pieces(block, np.random.default_rng([seed, block]).standard_normal((height, width)))
+                    yield from pieces_of(block, np.random.default_rng([seed, block]).standard_normal((height, width)), PIECE)
 
         spark = self.cells.sparkSession
         drawn = spark.range(self.blocks).select(F.col("id").cast("int").alias("block")).mapInArrow(draw, DENSE)
@@ -425,7 +377,7 @@ class _Blocks:
                 full = np.zeros((len(some[0][1]), width))
                 for begin, x in some:
                     full[:, begin : begin + x.shape[1]] = x
-                yield from _pieces(block, full, at)
+                yield from pieces_of(block, full, PIECE, at)
 
         tables = [x.select("block", "at", F.lit(i).alias("part"), "data") for i, x in enumerate(found)]
         out = cut_lineage(self._by_block(reduce(DataFrame.unionByName, tables), "at").mapInArrow(joined, DENSE))
@@ -499,12 +451,12 @@ class _Blocks:
                 slots = ahead_of(part)
                 slot, other, weight = listed(rows, True)
                 to, found = sums_of_rows(slot, other, weight, filled(rows, np.zeros((len(slots), width))))
-                taken[to] += found
+                add_rows(taken, to, found)
                 given = ~is_ahead[slot]
                 cells = zip((slots[other[given]], slot[given], weight[given]), (listed(rows, False)[i] for i in (1, 0, 2)))
                 to, found = sums_of_rows(*map(np.concatenate, cells), own)
                 if part == block:
-                    taken[to] += found
+                    add_rows(taken, to, found)
                 else:
                     yield from sums(part, block, to, found)
             yield from ended()
@@ -514,13 +466,13 @@ class _Blocks:
             for (block, _), rows in runs(batches, 2):
                 if block != here:
                     if here is not None:
-                        yield from _pieces(here, total)
+                        yield from pieces_of(here, total, PIECE)
                     here = block
                     total.fill(0)
                 for slots, data in zip(rows.column("slots"), rows.column("data")):
                     total[slots.values.to_numpy()] += matrix_of(data, width)
             if here is not None:
-                yield from _pieces(here, total)
+                yield from pieces_of(here, total, PIECE)
 
         own = dense.table.mapInArrow(own_rows, DENSE).select("block", F.lit(-1).alias("part"), "at", "data")
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
@@ -541,7 +493,8 @@ class _Blocks:
                 for i, data in enumerate(batch.column("data")):
                     a = first(data)
                     total += a.T @ (a if against is None else second(batch.column(against)[i]))
-            yield pa.RecordBatch.from_pandas(_cells(total), pa.schema([("i", pa.int32()), ("j", pa.int32()), ("x", pa.float64())]), preserve_index=False)
+            places = [pa.array(x.ravel(), pa.int32()) for x in np.indices(shape)]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(total.ravel())], names=["i", "j", "x"])
 
         with settings(left.table.sparkSession, WRITING):
             return _collected(_summed(both.mapInArrow(products, "i int, j int, x double")), left.width)
@@ -571,13 +524,6 @@ class _Blocks:
         return dense.table.mapInArrow(cut, "block int, slot int, vector array<double>")
 
 
-def _pieces(block: int, rows: np.ndarray, begin: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of a dense table, from a slot on."""
-    for at in range(0, len(rows), PIECE):
-        columns = [pa.array([x], pa.int32()) for x in (block, begin + at)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[at : at + PIECE].tobytes()], pa.binary())], names=["block", "at", "data"])
-
-
 def _placed_cells(counts: Counted, in_class: int, height: int, front: np.ndarray) -> DataFrame:
     """Positive associations of counted pairs as cells of :class:`_Blocks`; a class of words is ``in_class`` blocks."""
     totals, everything = _totals(counts)
@@ -595,7 +541,7 @@ def _placed_cells(counts: Counted, in_class: int, height: int, front: np.ndarray
             begins = np.searchsorted(places, np.arange(in_class) * height)
             rank[places] = np.arange(len(places)) - begins[places // height]
             ranks.append(rank)
-        for a, b, _, weight, turned in _weights(cells, *sums, everything):
+        for a, b, _, weight, turned in weights_of(cells, *sums, everything, ROWS_WEIGHED):
             (word, word_rank, kind), (context, rank, other_kind) = [(a, ranks[0], classes[0]), (b, ranks[1], classes[1])][:: -1 if turned else 1]
             kept = (rank[context] >= 0) | (word_rank[word] < 0)
             word, context, weight = word[kept], context[kept], weight[kept]
