@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions.scalars import has_prefix, lacks_prefix
-from wardlens.operators.arrays import add_rows, flat, list_column, runs, starts_of, sums_of_rows
+from wardlens.operators.arrays import add_rows, flat, giving_back, list_column, runs, starts_of, sums_of_rows
 from wardlens.operators.nearest import nearest_rows, similarities
 from wardlens.plans.features import shuffled
 from wardlens.session import cut_lineage
@@ -324,7 +324,7 @@ def _words_of_blocks(listed: DataFrame, key: str) -> DataFrame:
 
     fields = ["block", "keys", "word", "slots", "ns"]
     split = listed.select(key, tokens("text").alias("words"))
-    return split.mapInArrow(run, f"block bigint, keys array<{kind.simpleString()}>, word string, slots array<int>, ns array<int>")
+    return split.mapInArrow(giving_back(run), f"block bigint, keys array<{kind.simpleString()}>, word string, slots array<int>, ns array<int>")
 
 
 def _sums_of_blocks(words: DataFrame, size: int, key: str) -> DataFrame:
@@ -358,7 +358,7 @@ def _sums_of_blocks(words: DataFrame, size: int, key: str) -> DataFrame:
             yield from ended()
 
     dealt = words.select("block", "keys", "slots", "ns", "vector").repartition("block").sortWithinPartitions("block", F.col("keys").isNull())
-    return dealt.mapInArrow(run, f"{key} {kind.simpleString()}, sums array<double>, n bigint")
+    return dealt.mapInArrow(giving_back(run), f"{key} {kind.simpleString()}, sums array<double>, n bigint")
 
 
 def word_mean_vectors(vectors: DataFrame, notes: DataFrame, size: int, text: str = "text", key: str = "row_id") -> DataFrame:

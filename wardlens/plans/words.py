@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from wardlens.operators.arrays import (
     add_rows,
     flat,
+    give_back,
+    giving_back,
     list_column,
     matrix_of,
     pairs_added_up,
@@ -119,7 +121,7 @@ def _parts(notes: DataFrame, window: int, seed: int, grid: int) -> DataFrame:
             yield from added(held)
 
     schema = "first int, second int, word array<bigint>, runs array<int>, context array<bigint>, n array<int>"
-    return chunks.mapInArrow(run, schema)
+    return chunks.mapInArrow(giving_back(run), schema)
 
 
 def _for_both(table: DataFrame, kind: str, grid: int) -> DataFrame:
@@ -141,7 +143,9 @@ def _grouped(
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         second = right.column("as_second").to_numpy()
-        return pa.Table.from_batches(found(left, right.filter(pa.array(~second)), right.filter(pa.array(second))) if left.num_rows else [], pa.schema(fields))
+        out = pa.Table.from_batches(found(left, right.filter(pa.array(~second)), right.filter(pa.array(second))) if left.num_rows else [], pa.schema(fields))
+        give_back()
+        return out
 
     keys = ["first", "second"]
     return cells.groupBy(*keys).cogroup(_for_both(table, kind, grid).groupBy(*keys)).applyInArrow(run, schema)
@@ -380,7 +384,7 @@ class _Blocks:
                 yield from pieces_of(block, full, PIECE, at)
 
         tables = [x.select("block", "at", F.lit(i).alias("part"), "data") for i, x in enumerate(found)]
-        out = cut_lineage(self._by_block(reduce(DataFrame.unionByName, tables), "at").mapInArrow(joined, DENSE))
+        out = cut_lineage(self._by_block(reduce(DataFrame.unionByName, tables), "at").mapInArrow(giving_back(joined), DENSE))
         for x in found:
             remove_table(x)
         return _Dense(out, width)
@@ -478,8 +482,8 @@ class _Blocks:
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
         shared = dense.table.mapInArrow(in_front, "part int, at int, data binary").select(everywhere, "part", "at", "data")
         factors = own.unionByName(shared).unionByName(self.cells, allowMissingColumns=True)
-        parts = self._by_block(factors, "part").mapInArrow(products, "block int, giver int, slots array<int>, data binary")
-        return cut_lineage(self._by_block(parts, "giver").mapInArrow(added, DENSE))
+        parts = self._by_block(factors, "part").mapInArrow(giving_back(products), "block int, giver int, slots array<int>, data binary")
+        return cut_lineage(self._by_block(parts, "giver").mapInArrow(giving_back(added), DENSE))
 
     def inner(self, left: _Dense, right: _Dense | None = None) -> np.ndarray:
         """Left transposed times right (left itself, if None), a matrix of width squared numbers."""
